@@ -10,7 +10,7 @@ from pyspark.sql import Column, functions as F, types as T
 
 from .. import fixed_values as V
 
-_STRIP = rf"\A{V.WS}+|{V.WS}+\z"
+_STRIP = rf"(?U)\A[{V.JVM_WS_CHARS}]+|[{V.JVM_WS_CHARS}]+\z"
 
 
 def _col(c) -> Column:
@@ -28,7 +28,7 @@ def strip(text) -> Column:
 
 def collapse(text) -> Column:
     """Every whitespace run becomes one space."""
-    return F.regexp_replace(_col(text), f"{V.WS}+", " ")
+    return F.regexp_replace(_col(text), f"{V.JVM_WS}+", " ")
 
 
 def match_form(text) -> Column:
@@ -37,11 +37,11 @@ def match_form(text) -> Column:
 
 
 def words(text) -> Column:
-    return F.regexp_extract_all(_col(text), F.lit(f"{V.NON_WS}+"), F.lit(0))
+    return F.regexp_extract_all(_col(text), F.lit(f"{V.JVM_NON_WS}+"), F.lit(0))
 
 
 def word_count(text) -> Column:
-    return F.regexp_count(_col(text), F.lit(f"{V.NON_WS}+"))
+    return F.regexp_count(_col(text), F.lit(f"{V.JVM_NON_WS}+"))
 
 
 def search_tokens(text) -> Column:
@@ -67,7 +67,7 @@ def clean_markup(text) -> Column:
     """Drop comments, template shortcodes and caption lines, then squeeze blank lines."""
     text = F.regexp_replace(_col(text), r"(?s)<!--.*?-->", "")
     text = F.regexp_replace(text, r"(?s)\{\{[%<].*?[%>]\}\}", "")
-    text = F.regexp_replace(text, rf"(?md)^{V.WS}*\{{\{{.*$", "")
+    text = F.regexp_replace(text, rf"(?md)^{V.JVM_WS}*\{{\{{.*$", "")
     text = F.regexp_replace(text, r"\n{3,}", "\n\n")
     return strip(text)
 
@@ -91,7 +91,7 @@ def excerpt(text, chars: int = V.EXCERPT_CHARS) -> Column:
 
 def truncate_error(text, limit: int = V.ERROR_CHARS) -> Column:
     text = _col(text)
-    cut = F.regexp_replace(F.substring(text, 1, limit), rf"{V.WS}+\z", "")
+    cut = F.regexp_replace(F.substring(text, 1, limit), rf"{V.JVM_WS}+\z", "")
     return F.when(F.length(text) <= limit, text).otherwise(F.concat(cut, F.lit(" ... [truncated]")))
 
 
@@ -123,7 +123,7 @@ def decoded_runs(text) -> Column:
         lambda b: b.isNotNull() & F.is_valid_utf8(b.cast("string")))
     readable = F.filter(
         F.transform(raw, lambda b: b.cast("string")),
-        lambda s: F.length(F.regexp_replace(s, rf"[^\p{{L}}{V.WS_CHARS}]", ""))
+        lambda s: F.length(F.regexp_replace(s, rf"(?U)[^\p{{L}}{V.JVM_WS_CHARS}]", ""))
         / F.greatest(F.length(s), F.lit(1)) > V.READABLE_SHARE)
     return F.array_join(readable, " ")
 

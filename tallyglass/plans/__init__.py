@@ -2,7 +2,7 @@
 
 import importlib
 
-FAMILIES = ("text",)
+FAMILIES = ("text", "corpus")
 
 
 def load_all() -> None:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from .. import fixed_values as V
 from ..functions import price, text as X
+from ..functions.arrays import unfold_structs
 from ..session import spread
 from .registry import query, table
 from .sql_text import clean, collapse, count, q, re2, strip, sub, words
@@ -143,7 +144,7 @@ INVALIDATOR_SQL = " UNION ALL ".join(
 @query("prj_09_prefix_audit", INVALIDATOR_SQL)
 def prefix_audit(spark, sf_dir):
     docs = spread(table(spark, sf_dir, "documents", "doc_id", "text"))
-    return docs.select("doc_id", F.inline(X.invalidators("text")))
+    return unfold_structs(docs, X.invalidators("text"), ["doc_id"])
 
 
 ROUTE_CASE = " ".join(f"WHEN contains(lower(text), {q(m)}) THEN {q(m)}" for m in V.REASONING_MARKERS)
@@ -323,7 +324,7 @@ def damage(spark, sf_dir):
     # One scan: the damages are exploded from an array instead of unioning three reads.
     made = F.array(*[F.struct(F.lit(name).alias("damage"), F.md5(fn("text")).alias("digest"))
                      for name, fn in X.DAMAGES.items()])
-    return docs.select("doc_id", F.inline(made))
+    return unfold_structs(docs, made, ["doc_id"])
 
 
 @query("prj_31_truncate_error", f"""

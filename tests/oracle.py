@@ -73,7 +73,7 @@ def main(argv):
 
     sf_dir = os.environ.get("ORACLE_SF_DIR", "/root/testdata/sf0.01")
     spark = build_session("oracle", "local[8]", **{
-        "spark.sql.shuffle.partitions": 8, "spark.driver.memory": "12g"})
+        "spark.sql.shuffle.partitions": 8, "spark.driver.memory": "12g", "spark.ui.showConsoleProgress": "false"})
     spark.sparkContext.setLogLevel("ERROR")
     con = duck(sf_dir)
     queries, oracles = entry.queries(), entry.oracle_sql()
