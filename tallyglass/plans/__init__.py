@@ -2,7 +2,7 @@
 
 import importlib
 
-FAMILIES = ("text", "corpus")
+FAMILIES = ("text", "corpus", "retrieval")
 
 
 def load_all() -> None:
