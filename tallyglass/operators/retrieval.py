@@ -21,9 +21,11 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from .. import fixed_values as V
 from ..functions import text as X
 from ..functions.arrays import unfold, unfold_structs
+from ..session import materialise
 
 QUERY_BLOCK = 1024        # queries held by a task at once
 SCORE_DIGITS = 9          # copies of a text must tie, whatever order their terms were summed in
+SMALL_TERMS = 500_000     # most query terms a broadcast may hold
 SMALL_SIDE_ROWS = 50_000  # most rows a broadcast side may have
 
 
@@ -187,12 +189,21 @@ def vector_first(vector: Column) -> Column:
 # -------------------------------------------------------------------- BM25
 
 def postings(chunks: DataFrame, id_col: str, text: str) -> DataFrame:
-    """(id, term, tf, dl) of every chunk, counted inside the chunk's own row: no shuffle."""
-    tokens = chunks.select(F.col(id_col).alias("id"), X.search_tokens(text).alias("tokens"))
-    n = F.size("tokens")
-    counted = F.transform(F.array_distinct("tokens"), lambda t: F.struct(
-        t.alias("term"), (n - F.size(F.array_remove("tokens", t))).alias("tf"), n.alias("dl")))
-    return unfold_structs(tokens, counted, ["id"])
+    """(id, term, tf, dl) of every chunk, counted inside the chunk's own row: no shuffle.
+
+    The sorted tokens are cut where the term changes. Each chunk also yields one row with the
+    empty term and tf = dl, which carries the chunk count and length into the statistics.
+    """
+    tokens = chunks.select(F.col(id_col).alias("id"), F.sort_array(X.search_tokens(text)).alias("sorted"))
+    n = F.size("sorted")
+    starts = F.filter(F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>")),
+                      lambda i: ~F.get("sorted", i - 1).eqNullSafe(F.get("sorted", i - 2)))
+    cut = tokens.select("id", "sorted", starts.alias("starts"))
+    counted = F.transform("starts", lambda first, j: F.struct(
+        F.element_at("sorted", first).alias("term"),
+        (F.coalesce(F.get("starts", j + 1), n + 1) - first).alias("tf"), n.alias("dl")))
+    size = F.array(F.struct(F.lit("").alias("term"), n.alias("tf"), n.alias("dl")))
+    return unfold_structs(cut, F.concat(counted, size), ["id"])
 
 
 def query_terms(queries: DataFrame, query_id: str, text: str) -> DataFrame:
@@ -201,74 +212,62 @@ def query_terms(queries: DataFrame, query_id: str, text: str) -> DataFrame:
     return rows.groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
 
 
-def corpus_statistics(posted: DataFrame, chunks: DataFrame, id_col: str, text: str):
-    """Document frequencies, and one row of (n_chunks, avg_dl, mean_idf).
+def corpus_statistics(posted: DataFrame) -> DataFrame:
+    """(term, df, idf, avg_dl, mean_idf) of the whole vocabulary from one pass over the postings.
 
     A term that occurs in most chunks is counted map-side first, so it is one row per task in the
-    shuffle. Persist both when many query sets are scored against the same corpus.
+    shuffle. The frequencies are written once, because three branches below read them.
     """
-    frequency = posted.groupBy("term").agg(F.count("*").alias("df"))
-    sizes = chunks.select(F.size(X.search_tokens(text)).alias("dl")).agg(
-        F.count("*").alias("n_chunks"), F.avg("dl").alias("avg_dl"))
+    frequency = materialise(posted.groupBy("term").agg(
+        F.count("*").alias("df"), F.sum("tf").alias("total")))
+    # The row of the empty term is the only one kept here: two constants for every term.
+    sizes = frequency.filter("term = ''").select(
+        F.col("df").alias("n_chunks"), F.try_divide("total", "df").alias("avg_dl"))
     idf = F.log((F.col("n_chunks") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    # `sizes` is a global aggregate: exactly one row, so this attaches two constants.
-    weighted = frequency.join(F.broadcast(sizes)).withColumn("idf", idf)
-    totals = weighted.agg(F.avg("idf").alias("mean_idf"))
-    return weighted, totals
+    weighted = frequency.filter("term <> ''").join(F.broadcast(sizes)).withColumn("idf", idf)
+    return weighted.join(F.broadcast(weighted.agg(F.avg("idf").alias("mean_idf"))))
 
 
-def bm25_scores(chunks: DataFrame, queries: DataFrame, *, id_col: str, text: str, query_id: str,
-                query: str, k1: float = V.BM25_K1, b: float = V.BM25_B,
-                epsilon: float = V.BM25_EPSILON) -> DataFrame:
-    """(query_id, id, score) of every chunk that shares a term with a query (Okapi BM25).
+def bm25_parts(chunks: DataFrame, queries: DataFrame, *, id_col: str, text: str, query_id: str,
+               query: str, k1: float = V.BM25_K1, b: float = V.BM25_B,
+               epsilon: float = V.BM25_EPSILON) -> DataFrame:
+    """(query_id, id, part): the Okapi BM25 contribution of every shared term.
 
     A negative idf is replaced by a quarter of the mean idf of the whole vocabulary.
     """
     posted = postings(chunks, id_col, text)
-    weighted, totals = corpus_statistics(posted, chunks, id_col, text)
     asked = query_terms(queries, query_id, query)
-    vocabulary = asked.select("term").distinct()
-    weights = weighted.join(vocabulary, "term", "left_semi").join(F.broadcast(totals))
-    weights = weights.select("term", "avg_dl", F.when(
+    small = asked.limit(SMALL_TERMS + 1).count() <= SMALL_TERMS
+    weights = corpus_statistics(posted).select("term", "avg_dl", F.when(
         F.col("idf") < 0, epsilon * F.col("mean_idf")).otherwise(F.col("idf")).alias("idf"))
-    asked = asked.join(weights, "term")
-    # The chunk side is not shuffled for this join while the query terms stay small.
-    matched = posted.join(small_side(asked, 1_000_000), "term")
+    # The vocabulary is cut down to the query terms before anything else is joined to it.
+    asked = weights.join(F.broadcast(asked) if small else asked, "term")
+    # The chunk side is not shuffled for this join while the query terms are few.
+    matched = posted.join(F.broadcast(asked) if small else asked, "term")
     part = F.col("qtf") * F.col("idf") * F.col("tf") * (k1 + 1) / (
         F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avg_dl")))
-    return matched.groupBy("query_id", "id").agg(F.round(F.sum(part), SCORE_DIGITS).alias("score"))
+    return matched.select("query_id", "id", part.alias("part"))
 
 
 def bm25_search(chunks: DataFrame, queries: DataFrame, k: int, *, id_col: str, text: str,
-                query_id: str, query: str, order: tuple[str, ...] = (), fill: bool = True,
-                **options) -> DataFrame:
-    """Top k chunks per query; ties keep corpus order (`order`, then id).
+                query_id: str, query: str, fill: bool = True, **options) -> DataFrame:
+    """Top k chunks per query; ties keep corpus order, which is the order of `id_col`.
 
-    The published ranking orders *every* chunk, so a query with fewer than k matches is filled up
-    with zero-score chunks in corpus order. The first 2k chunks are always enough for that.
+    The terms of a chunk are summed inside the task that read it, and k rows per task and query
+    survive to the ranking. The published ranking orders *every* chunk, so a query with fewer
+    than k matches is filled up with zero-score chunks in corpus order: the first k chunks enter
+    every query's sum with a part of zero, which is always enough.
     """
-    scored = bm25_scores(chunks, queries, id_col=id_col, text=text, query_id=query_id,
-                         query=query, **options)
-    order = order or (id_col,)
-    place = [F.col(c).alias(f"_o{i}") for i, c in enumerate(order)]
-    names = [f"_o{i}" for i in range(len(order))]
-    if list(order) == [id_col]:
-        placed = scored.withColumn("_o0", F.col("id"))
-    else:
-        placed = scored.join(chunks.select(F.col(id_col).alias("id"), *place), "id")
-    best = rank_rows(placed, "query_id", [F.desc("score"), *[F.asc(n) for n in names]], k)
-    if not fill:
-        return best.drop(*names)
-    first = chunks.select(F.col(id_col).alias("id"), *place).orderBy(*names).limit(2 * k)
-    filler = first.agg(F.array_sort(F.collect_list(F.struct(*names, "id"))).alias("first"))
-    found = best.groupBy("query_id").agg(F.collect_list("id").alias("found"))  # k ids at most
-    short = queries.select(F.col(query_id).alias("query_id")).join(found, "query_id", "left") \
-        .filter(F.coalesce(F.size("found"), F.lit(0)) < k).join(F.broadcast(filler))
-    spare = F.filter("first", lambda c: ~F.coalesce(F.array_contains("found", c["id"]), F.lit(False)))
-    filled = unfold(short, spare, ["query_id"], item="c").select(
-        "query_id", F.col("c.id").alias("id"), F.lit(0.0).alias("score"), *[F.col(f"c.{n}") for n in names])
-    both = best.drop("rank").unionByName(filled)
-    return rank_rows(both, "query_id", [F.desc("score"), *[F.asc(n) for n in names]], k).drop(*names)
+    parts = bm25_parts(chunks, queries, id_col=id_col, text=text, query_id=query_id, query=query,
+                       **options)
+    if fill:
+        first = chunks.select(F.col(id_col).alias("id")).orderBy("id").limit(k) \
+            .agg(F.collect_list("id").alias("first"))  # k ids
+        spare = queries.select(F.col(query_id).alias("query_id")).join(F.broadcast(first))
+        zeros = unfold(spare, "first", ["query_id"], item="id").withColumn("part", F.lit(0.0))
+        parts = parts.unionByName(zeros)
+    scored = parts.groupBy("query_id", "id").agg(F.round(F.sum("part"), SCORE_DIGITS).alias("score"))
+    return rank_rows(scored, "query_id", [F.desc("score"), F.asc("id")], k)
 
 
 # --------------------------------------------------------- fusion and rerank
@@ -342,7 +341,7 @@ def keyword_search(corpus: DataFrame, queries: DataFrame, n: int, *, id_col: str
     terms = unfold(corpus, X.distinct_terms(text), [
         F.col(id_col).alias("id"), F.col(order).alias("_order")], item="term")
     asked = unfold(queries, X.distinct_terms(query), [F.col(query_id).alias("query_id")], item="term")
-    matched = terms.join(small_side(asked, 1_000_000), "term")
+    matched = terms.join(small_side(asked, SMALL_TERMS), "term")
     scored = matched.groupBy("query_id", "id", "_order").agg(F.count("*").alias("score"))
     return rank_rows(scored, "query_id", [F.desc("score"), F.asc("_order")], n).drop("_order")
 

@@ -71,3 +71,16 @@ def constant_table(spark: SparkSession, rows, columns: str) -> DataFrame:
     """A small fixed dimension as a LocalRelation, so its size is known to the optimiser."""
     body = ", ".join("(" + ", ".join(sql_literal(v) for v in row) + ")" for row in rows)
     return spark.sql(f"SELECT * FROM VALUES {body} AS t({columns})")
+
+
+def materialise(df: DataFrame) -> DataFrame:
+    """Write an intermediate table to the shared checkpoint folder and read it back.
+
+    For results that several branches of one plan use: they are computed once, survive the loss
+    of executors, and their size is known to the optimiser afterwards.
+    """
+    import uuid
+
+    folder = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/tables/{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
