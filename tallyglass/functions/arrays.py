@@ -26,5 +26,14 @@ def unfold_structs(df: DataFrame, array, keep=()) -> DataFrame:
     return rows.select(*names, "_item.*")
 
 
-def joined(parts: Column, glue: str = " ") -> Column:
-    return F.array_join(parts, glue)
+
+
+def keep_where(df: DataFrame, condition: Column) -> DataFrame:
+    """Filter on an expensive computed column without recomputing it.
+
+    A plain filter would be pushed below the projections and repeat their expressions in its
+    predicate; the outer explode in between keeps them evaluated once.
+    """
+    marked = df.select("*", F.posexplode_outer(
+        F.when(condition, F.array(F.lit(True)))).alias("_position", "_kept"))
+    return marked.filter(F.col("_position").isNotNull()).drop("_position", "_kept")

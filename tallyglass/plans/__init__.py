@@ -2,7 +2,7 @@
 
 import importlib
 
-FAMILIES = ("text", "corpus", "retrieval")
+FAMILIES = ("text", "corpus", "retrieval", "guard")
 
 
 def load_all() -> None:
