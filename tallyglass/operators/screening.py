@@ -31,11 +31,17 @@ def folds(samples: DataFrame, n: int = V.FOLDS, id_col: str = "id") -> DataFrame
 
 # ---------------------------------------------------------------- patterns
 
+def _plain_pattern(regex: str) -> str:
+    """Plain text is lowercase with single spaces, so only word characters need Unicode classes;
+    leaving the global Unicode flag off keeps matching fast."""
+    return "(?is)" + regex.replace(r"\w", r"[\p{L}\p{N}_]")
+
+
 def pattern_finding(plain: str | Column, patterns=V.INJECTION_PATTERNS) -> Column:
     """Struct (score, matched, reasons) of the weighted patterns on already plain text."""
     plain = X._col(plain)
     hits = F.filter(F.array(*[
-        F.when(plain.rlike(X.unicode_pattern(regex, "is")), F.struct(
+        F.when(plain.rlike(_plain_pattern(regex)), F.struct(
             F.lit(name).alias("name"), F.lit(weight).alias("weight"), F.lit(why).alias("why")))
         for name, regex, weight, why in patterns]), lambda h: h.isNotNull())
     return F.struct(hits.alias("hits"))

@@ -2,7 +2,7 @@
 
 import importlib
 
-FAMILIES = ("text", "corpus", "retrieval", "guard")
+FAMILIES = ("text", "corpus", "retrieval", "guard", "spend", "traffic")
 
 
 def load_all() -> None:
