@@ -208,14 +208,14 @@ def p95_from_buckets(spark, sf_dir):
     return done.select("model", "n", F.round("quantile", 6).alias("p95"))
 
 
-MARKS_SQL = f"""(SELECT event_id, model, ts AS at, 1 AS delta FROM {REQUESTS_SQL} WHERE duration_s >= 5
+MARKS_SQL = f"""(SELECT event_id, model, ts AS at_ts, 1 AS delta FROM {REQUESTS_SQL} WHERE duration_s >= 5
     UNION ALL SELECT event_id, model, ts + to_microseconds(floor(duration_s * 1000000)::BIGINT), -1 FROM {REQUESTS_SQL})"""
 
 
 @query("win_07_in_flight", f"""
     SELECT event_id, delta, (s - least(0, min(s) OVER w))::BIGINT AS in_flight
-    FROM (SELECT *, sum(delta) OVER w AS s FROM {MARKS_SQL} WINDOW w AS (PARTITION BY model ORDER BY at, event_id, delta ROWS UNBOUNDED PRECEDING))
-    WINDOW w AS (PARTITION BY model ORDER BY at, event_id, delta ROWS UNBOUNDED PRECEDING)""")
+    FROM (SELECT *, sum(delta) OVER w AS s FROM {MARKS_SQL} WINDOW w AS (PARTITION BY model ORDER BY at_ts, event_id, delta ROWS UNBOUNDED PRECEDING))
+    WINDOW w AS (PARTITION BY model ORDER BY at_ts, event_id, delta ROWS UNBOUNDED PRECEDING)""")
 def in_flight(spark, sf_dir):
     """Every request leaves; only those of five seconds or more were seen entering, so the floor bites."""
     rows = requests(spark, sf_dir)
