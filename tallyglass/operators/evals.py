@@ -48,7 +48,8 @@ def field_value(path: str = "field") -> Column:
     return (F.when(F.col(path) == "text", F.col("text"))
             .when(F.col(path) == "cost_usd", F.col("cost_usd").cast("string"))
             .when(F.col(path) == "latency_s", F.col("latency_s").cast("string"))
-            .when(F.startswith(F.col(path), F.lit("payload.")), F.get_json_object(F.col("payload"), F.concat(F.lit("$."), inner))))
+            .when(F.startswith(F.col(path), F.lit("payload.")), F.call_function(
+                "get_json_object", F.col("payload"), F.concat(F.lit("$."), inner))))
 
 
 def _says(haystack: str, phrase: Column) -> Column:

@@ -2,7 +2,7 @@
 
 import importlib
 
-FAMILIES = ("text", "corpus", "retrieval", "guard", "spend", "traffic")
+FAMILIES = ("text", "corpus", "retrieval", "guard", "spend", "traffic", "runs", "history")
 
 
 def load_all() -> None:
