@@ -2,7 +2,7 @@
 
 import importlib
 
-FAMILIES = ("text", "corpus", "retrieval", "guard", "spend", "traffic", "runs", "history")
+FAMILIES = ("text", "corpus", "retrieval", "guard", "spend", "traffic", "runs", "history", "stores", "streams")
 
 
 def load_all() -> None:
