@@ -58,9 +58,11 @@ def require(spark: SparkSession, path: str) -> str:
 
 def markdown_corpus(spark: SparkSession, root: str, base_url: str, prefix: str = "") -> DataFrame:
     """Every `*.md` below a folder: front-matter title, cleaned body; untitled pages and bodies
-    under 400 characters are left out. The id comes from the path relative to the folder."""
-    raw = spark.read.option("wholetext", True).option("recursiveFileLookup", True) \
-        .option("pathGlobFilter", "*.md").text(require(spark, root)) \
+    under 400 characters are left out. The id comes from the path relative to the folder.
+
+    Spark treats file names that start with an underscore as hidden and does not list them;
+    section index pages of that form have to be exported under another name."""
+    raw = spark.read.text(require(spark, root), wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.md") \
         .select("value", F.col("_metadata.file_path").alias("file"))
     base = root.rstrip("/").removeprefix("file:")
     path = F.regexp_replace("file", "^(file:)?/*" + X.re.escape(base.lstrip("/")) + "/", "")
