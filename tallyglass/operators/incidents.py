@@ -106,13 +106,11 @@ def find_resources(resources: DataFrame, wanted: DataFrame) -> DataFrame:
             F.coalesce(e["reason"], F.lit("")).alias("reason"), F.coalesce(e["msg"], F.lit("")).alias("message"))))
 
 
-def unknown_requests(requests: DataFrame, inventory: DataFrame, scope: str, name: str, shown: int = 50) -> DataFrame:
-    """Requests for names their scope does not have, with up to `shown` known names in order."""
-    missing = requests.join(inventory.select(scope, name).distinct(), [scope, name], "left_anti")
-    place = F.row_number().over(Window.partitionBy(scope).orderBy(name))
-    first = inventory.select(scope, name).distinct().withColumn("_p", place).filter(F.col("_p") <= shown)
-    known = first.groupBy(scope).agg(F.array_sort(F.collect_list(name)).alias("known"))
-    return missing.join(known, scope, "left")
+def unknown_requests(requests: DataFrame, inventory: DataFrame, scope: str, name: str) -> tuple[DataFrame, DataFrame]:
+    """Requests for names their scope does not have, and the names those scopes do have, as rows."""
+    names = inventory.select(scope, name).distinct()
+    missing = requests.join(names, [scope, name], "left_anti")
+    return missing, names.join(missing.select(scope), scope, "left_semi")
 
 
 def valid_proposals(proposals: DataFrame, actions: DataFrame) -> tuple[DataFrame, DataFrame]:

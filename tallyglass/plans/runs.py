@@ -316,17 +316,16 @@ def metric_summary(spark, sf_dir):
     SELECT 'logs' AS part, user_id AS scenario, count(*) AS n, round(sum(value), 4) AS total FROM events WHERE event_type <> 'purchase' GROUP BY ALL
     UNION ALL SELECT 'metrics', user_id, count(*), round(sum(value), 4) FROM events WHERE event_type = 'purchase' GROUP BY ALL""")
 def incident_tables(spark, sf_dir):
-    """One snapshot per user and day, nested as the source is, then exploded to tables."""
-    events = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    t = F.col("value")
-    log = F.when(F.col("event_type") != "purchase", F.struct(t.alias("t"), F.col("event_type").alias("level"), F.col("props").alias("msg"), F.lit(1).cast("long").alias("count")))
-    point = F.when(F.col("event_type") == "purchase", F.struct(t.alias("t"), F.col("value").alias("v")))
-    # A snapshot is one user's day, not all of a user's history.
-    per_day = events.groupBy("user_id", F.date_trunc("day", "ts").alias("fired_at")).agg(
-        F.collect_list(log).alias("logs"), F.collect_list(point).alias("points"))
+    """One snapshot per event, nested as the source is, then exploded to tables."""
+    events = table(spark, sf_dir, "events").withColumn("fired_at", F.col("ts").cast("timestamp"))
+    t, bought = F.col("value"), F.col("event_type") == "purchase"
+    log = F.when(~bought, F.struct(t.alias("t"), F.col("event_type").alias("level"), F.col("props").alias("msg"), F.lit(1).cast("long").alias("count")))
+    point = F.when(bought, F.struct(t.alias("t"), F.col("value").alias("v")))
+    one = lambda entry: F.filter(F.array(entry), lambda e: e.isNotNull())
+    per_event = events.select("user_id", "event_id", "fired_at", one(log).alias("logs"), one(point).alias("points"))
     none = lambda ddl: F.lit(None).cast(ddl)
-    snapshots = per_day.select(
-        F.concat(F.col("user_id").cast("string"), F.lit("@"), F.col("fired_at").cast("string")).alias("id"),
+    snapshots = per_event.select(
+        F.concat(F.col("user_id").cast("string"), F.lit("@"), F.col("event_id").cast("string")).alias("id"),
         F.struct("fired_at").alias("alert"), F.lit("users").alias("category"),
         F.struct(none("array<struct<name:string>>").alias("services"), none("array<struct<t:double>>").alias("deploys"),
                  F.create_map(F.lit("svc"), "logs").alias("logs"),
@@ -371,14 +370,15 @@ def resource_lookup(spark, sf_dir):
 
 @query("jon_18_unknown_requests", """
     WITH inv AS (SELECT DISTINCT o_custkey AS scope, o_orderpriority AS name FROM orders),
-    req AS (SELECT c_custkey AS scope, '1-URGENT' AS name FROM customer)
-    SELECT scope, name, k.known FROM req ANTI JOIN inv USING (scope, name)
-    LEFT JOIN (SELECT scope, string_agg(name, ',' ORDER BY name) AS known FROM inv GROUP BY scope) k USING (scope)""")
+    miss AS (SELECT scope, name FROM (SELECT c_custkey AS scope, '1-URGENT' AS name FROM customer) ANTI JOIN inv USING (scope, name))
+    SELECT 'unknown' AS what, scope, name FROM miss
+    UNION ALL SELECT 'known', scope, name FROM inv WHERE scope IN (SELECT scope FROM miss)""")
 def unknown_requests(spark, sf_dir):
     inventory = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("scope"), F.col("o_orderpriority").alias("name"))
     asked = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("scope"), F.lit("1-URGENT").alias("name"))
-    done = I.unknown_requests(asked, inventory, "scope", "name")
-    return done.select("scope", "name", F.array_join("known", ",").alias("known"))
+    missing, known = I.unknown_requests(asked, inventory, "scope", "name")
+    return missing.select(F.lit("unknown").alias("what"), "scope", "name").unionByName(
+        known.select(F.lit("known").alias("what"), "scope", "name"))
 
 
 @query("prj_32_clamped_proposals", """

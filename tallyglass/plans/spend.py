@@ -8,6 +8,7 @@ from .. import fixed_values as V
 from ..functions import price as P, text as X
 from ..operators import usage as U
 from ..session import spread
+from ..sources.readers import conversations_as_workloads
 from .registry import query, table
 from .sql_text import count, values
 from .text import PROSE_CASE, PROSE_MARKERS
@@ -230,7 +231,7 @@ def prune_superseded(spark, sf_dir):
 
 
 @query("agg_36_measure_workload", f"""
-    WITH pre AS (SELECT conv_id, coalesce(string_agg(text, chr(10) ORDER BY turn) FILTER (WHERE role = 'system'), '') AS text,
+    WITH pre AS (SELECT conv_id, coalesce(arg_min(text, turn) FILTER (WHERE role = 'system'), '') AS text,
         count(*) FILTER (WHERE role = 'assistant') AS turns FROM conversations GROUP BY conv_id),
     msgs AS (SELECT conv_id, turn AS position, role, text AS content FROM conversations WHERE role <> 'system'),
     dup AS (SELECT conv_id, position, role, CASE WHEN role = 'user' AND length(content) > 200 AND position > first
@@ -246,13 +247,8 @@ def prune_superseded(spark, sf_dir):
       round(base, 8) AS baseline_usd, round(cached, 8) AS cached_usd, round((base - cached) / base * 100, 4) AS cache_saving_percent,
       round(((pt + v) * n - (pt + pv) * n) / ((pt + v) * n) * 100, 4) AS prune_saving_percent FROM spend""")
 def measure_workload(spark, sf_dir):
-    turns = table(spark, sf_dir, "conversations")
-    system = F.array_sort(F.collect_list(F.when(F.col("role") == "system", F.struct("turn", "text"))))
-    prefixes = turns.groupBy("conv_id").agg(
-        F.array_join(F.transform(system, lambda s: s["text"]), "\n").alias("prefix"),
-        F.count_if(F.col("role") == "assistant").alias("turns")).withColumn("output_tokens", F.lit(500))
-    volatile = turns.filter("role <> 'system'").select(
-        "conv_id", F.col("turn").alias("position"), "role", F.col("text").alias("content"))
+    prefixes, volatile = conversations_as_workloads(table(spark, sf_dir, "conversations"))
+    prefixes = prefixes.withColumn("output_tokens", F.lit(500))
     done = U.measure(volatile, prefixes)
     return done.select("conv_id", "cacheable", "baseline_tokens", "pruned_tokens", "n_removed",
                        F.round("baseline_usd", 8).alias("baseline_usd"), F.round("cached_usd", 8).alias("cached_usd"),
@@ -262,14 +258,11 @@ def measure_workload(spark, sf_dir):
 
 @query("src_10_prompt_workload", """
     SELECT conv_id, count(*) FILTER (WHERE role <> 'system') AS n_messages,
-      md5(coalesce(string_agg(text, chr(10) ORDER BY turn) FILTER (WHERE role = 'system'), '')) AS system_digest,
+      md5(coalesce(arg_min(text, turn) FILTER (WHERE role = 'system'), '')) AS system_digest,
       count(*) FILTER (WHERE role = 'assistant') AS turns FROM conversations GROUP BY conv_id""")
 def prompt_workload(spark, sf_dir):
-    from ..sources.readers import conversations_as_workloads
-
-    done = conversations_as_workloads(table(spark, sf_dir, "conversations"))
-    return done.select("conv_id", F.size("messages").cast("long").alias("n_messages"),
-                       F.md5("system").alias("system_digest"), "turns")
+    prefixes, _ = conversations_as_workloads(table(spark, sf_dir, "conversations"))
+    return prefixes.select("conv_id", "n_messages", F.md5("prefix").alias("system_digest"), "turns")
 
 
 BODY_SQL = """CASE WHEN event_type = 'error' THEN '{"usage": null}' WHEN event_type = 'view' THEN '{}'

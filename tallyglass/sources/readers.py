@@ -163,16 +163,19 @@ def finished_scenarios(spark: SparkSession, path: str) -> DataFrame:
     return last_wins(rows.select("scenario_id", "value", "_file", "_line"), "scenario_id", ["_file", "_line"])
 
 
-def conversations_as_workloads(turns: DataFrame) -> DataFrame:
-    """Turns grouped into prompt workloads: system text, ordered messages, number of turns.
-
-    One conversation is one request's messages, so it fits a row by nature."""
-    system = F.array_sort(F.collect_list(F.when(F.col("role") == "system", F.struct("turn", "text"))))
-    said = F.array_sort(F.collect_list(F.when(F.col("role") != "system", F.struct("turn", "role", "text"))))
-    return turns.groupBy("conv_id").agg(
-        F.array_join(F.transform(system, lambda s: s["text"]), "\n").alias("system"),
-        F.transform(said, lambda m: F.struct(m["role"].alias("role"), m["text"].alias("content"))).alias("messages"),
-        F.count_if(F.col("role") == "assistant").alias("turns"))
+def conversations_as_workloads(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Turns as prompt workloads: (prefix rows, message rows).
+
+    A prefix row holds the first system text, the number of messages and of answered turns; the
+    messages stay rows of (conv_id, position, role, content), so a long conversation is never
+    gathered into one value.
+    """
+    system = F.col("role") == "system"
+    prefixes = turns.groupBy("conv_id").agg(
+        F.coalesce(F.min_by(F.when(system, F.col("text")), F.when(system, F.col("turn"))), F.lit("")).alias("prefix"),
+        F.count_if(~system).alias("n_messages"), F.count_if(F.col("role") == "assistant").alias("turns"))
+    messages = turns.filter(~system).select("conv_id", F.col("turn").alias("position"), "role", F.col("text").alias("content"))
+    return prefixes, messages
 
 
 def workloads(spark: SparkSession, path: str) -> DataFrame:
