@@ -2,7 +2,7 @@
 
 import importlib
 
-OPERATORS = ("quality_rules",)
+OPERATORS = ("quality_rules", "bpe", "quality_classifier", "toxicity", "minhash", "line_dedup")
 
 
 def load_all() -> None:
