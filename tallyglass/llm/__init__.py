@@ -2,7 +2,7 @@
 
 import importlib
 
-OPERATORS = ("quality_rules", "bpe", "quality_classifier", "toxicity", "minhash", "line_dedup")
+OPERATORS = ("quality_rules", "bpe", "quality_classifier", "toxicity", "minhash", "line_dedup", "packing")
 
 
 def load_all() -> None:

@@ -2,7 +2,7 @@
 
 1. Terms. On at most `SAMPLE` labelled rows (the least by hash of their id, never those whose
    crc32(id) mod 3 is 1) words and word beginnings of 4, 5 and 6 bytes are counted by class; those
-   that mark toxic texts are kept, at most `TERMS`, and dealt in order of strength to `LEXICONS` lexicons.
+   that mark toxic texts are kept (odds of `MIN_ODDS`, `MIN_SHARE` of the toxic rows), at most `TERMS`, and dealt in order of strength to `LEXICONS` lexicons.
 2. Voters. A lexicon votes toxic if the text has one of its terms. Pattern voters vote toxic for two
    different terms, for three hits, for a hit in every hundred words, and for two hits close together.
    All texts outside that fold are voted on; a row per pattern of votes comes back, 2^voters at most.
@@ -27,12 +27,12 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyglass.llm import ftrl
 from tallyglass.llm.quality_classifier import held_out, labelled_sample
-from tallyglass.llm.shingles import _UP, _VALUES, in_chunks, joined, mix, word_hashes
+from tallyglass.llm.shingles import _UP, _VALUES, in_chunks, joined, mix, text_shingles, word_hashes
 from tallyglass.plans.registry import query, table
 from tallyglass.session import materialise
 
@@ -43,6 +43,7 @@ LEXICONS = 6
 PATTERNS = 4
 VOTERS = LEXICONS + PATTERNS
 MIN_DOCS = 4
+MIN_SHARE = 0.02      # of the toxic sample: words of a few copies of one text are no terms
 MIN_ODDS = 30.0
 EDGE = 0.02
 WIDTH = 1 << 18
@@ -83,6 +84,26 @@ def features(texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return of, (mix(h) % np.uint64(WIDTH)).astype(np.int64), np.ones(len(h))
 
 
+def _one_of_copies(sample: DataFrame) -> DataFrame:
+    """The sample without copies: of rows that share their least shingle the first stays.
+
+    Words that are peculiar to one often copied text would look like terms otherwise.
+    """
+    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, order = batch.column(1).to_pylist(), batch.column(0).to_pylist()
+            least = np.array(order, np.int64).view(np.uint64)      # a text without words stands for itself
+            for a, b in in_chunks(texts):
+                of, h, _ = text_shingles(texts[a:b])               # sorted: the first of a text is its least
+                own, first = np.unique(of, return_index=True)
+                least[a + own] = h[first]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(least.view(np.int64))], names=["order", "text", "label", "weight", "near"])
+
+    rows = sample.mapInArrow(marked, "order long, text string, label double, weight double, near long")
+    rank = F.row_number().over(Window.partitionBy("near", "label").orderBy("order"))
+    return rows.withColumn("rank", rank).where("rank = 1").drop("rank", "near")
+
+
 def mine_terms(sample: DataFrame) -> np.ndarray:
     """Hashes of the strongest toxic terms, by odds with add-one smoothing. Counts are summed by Spark."""
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -99,9 +120,10 @@ def mine_terms(sample: DataFrame) -> np.ndarray:
     sizes = sample.agg(F.sum("label").alias("yes"), F.sum(1 - F.col("label")).alias("no")).first()
     if not sizes["yes"] or not sizes["no"]:
         return np.zeros(0, np.uint64)
+    enough = max(MIN_DOCS, MIN_SHARE * sizes["yes"])
     odds = (F.col("yes") / F.lit(sizes["yes"])) / ((F.col("no") + 0.5) / F.lit(sizes["no"] + 0.5))
     strong = sample.select("text", "label").mapInArrow(counted, "h long, yes long, no long").groupBy("h").agg(
-        F.sum("yes").alias("yes"), F.sum("no").alias("no")).where((F.col("yes") >= MIN_DOCS) & (odds >= MIN_ODDS))
+        F.sum("yes").alias("yes"), F.sum("no").alias("no")).where((F.col("yes") >= enough) & (odds >= MIN_ODDS))
     rows = strong.orderBy(F.desc(odds), "h").limit(TERMS).select("h").collect()   # TERMS rows at most
     return np.array([r["h"] for r in rows], np.int64).view(np.uint64)
 
@@ -214,7 +236,7 @@ def _voted(batches: Iterator[pa.RecordBatch], terms: np.ndarray) -> Iterator[pa.
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str = "doc_id", text: str = "text",
         most: int = SAMPLE) -> np.ndarray:
     """Weights of the classifier, learned without the held-out fold."""
-    sample = materialise(labelled_sample(docs, labels, label, id_col, text, most))
+    sample = materialise(_one_of_copies(labelled_sample(docs, labels, label, id_col, text, most)))
     terms = mine_terms(sample)
     if not len(terms):
         return np.append(np.zeros(WIDTH), -40.0)
