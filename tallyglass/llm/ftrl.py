@@ -28,10 +28,10 @@ def sigmoid(x):
 
 
 def ftrl(rows: list[tuple[np.ndarray, np.ndarray, float, float]], width: int, epochs: int, alpha: float = 0.3,
-         beta: float = 1.0, l1: float = 0.02, l2: float = 0.001) -> np.ndarray:
+         beta: float = 1.0, l1: float = 0.02, l2: float = 0.001, l1_row: float = 0.0) -> np.ndarray:
     """Weights (the last is the intercept) after some passes over (features, values, label, weight) rows."""
     z, n = np.zeros(width + 1), np.zeros(width + 1)
-    penalty = np.full(width + 1, l1)
+    penalty = np.full(width + 1, l1 + l1_row * len(rows))   # l1_row: in proportion to the rows
     penalty[width] = 0.0
 
     def weights(at):

@@ -47,7 +47,7 @@ MIN_SHARE = 0.02      # of the toxic sample: words of a few copies of one text a
 MIN_ODDS = 30.0
 EDGE = 0.02
 WIDTH = 1 << 18
-EPOCHS = 3
+EPOCHS = 5
 THRESHOLD = 0.7
 BEGINNINGS = (4, 5, 6)
 
@@ -247,7 +247,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str =
     table_ = docs.sparkSession.createDataFrame(pd.DataFrame({"pattern": np.arange(1 << VOTERS), "label": by_pattern}))
     chosen = usable.join(F.broadcast(some), "order").join(F.broadcast(table_), "pattern").select(   # both of fixed size
         "order", "text", "label", F.lit(1.0).alias("weight"))
-    return ftrl.train(chosen, features, WIDTH, EPOCHS, l1=0.5)
+    return ftrl.train(chosen, features, WIDTH, EPOCHS, alpha=1.0, l1=0.0, l1_row=0.004)
 
 
 def classify(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str = "doc_id", text: str = "text",
