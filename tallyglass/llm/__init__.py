@@ -2,7 +2,8 @@
 
 import importlib
 
-OPERATORS = ("quality_rules", "bpe", "quality_classifier", "toxicity", "minhash", "line_dedup", "packing")
+OPERATORS = ("quality_rules", "bpe", "quality_classifier", "toxicity", "minhash", "line_dedup", "packing",
+             "token_counts", "fingerprint")
 
 
 def load_all() -> None:

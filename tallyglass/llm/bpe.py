@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyglass.plans.registry import query, table
+from tallyglass.session import materialise
 
 LONG = 4096
 CACHE = 400_000       # pieces a task remembers; then it starts anew
@@ -226,7 +227,6 @@ def encode_long(docs: DataFrame, text: str, path: str, keys: list[str]) -> DataF
     by = [F.col(f"`{k}`") for k in keys]
     level = docs.select(text, *by).mapInArrow(cut, f"{kinds}, run long, leaf long, part string, ends boolean") \
         .repartition(*by, "run", "leaf").mapInArrow(leaf_ids, shape)
-    from tallyglass.session import materialise
     level = materialise(level)
     most = level.agg(F.max("leaf")).first()[0] or 0
     while most > 0:
@@ -251,13 +251,12 @@ def encode(docs: DataFrame, text: str, path: str, keep: list[str]) -> DataFrame:
 
 def _both_ways(docs, text, path, keep, kinds, finish, names):
     columns = [F.col(f"`{k}`") for k in keep]
-    types = ", ".join(f"`{k}` {dict(docs.dtypes)[k]}" for k in keep)
+    shape = ", ".join([kinds, *(f"`{k}` {dict(docs.dtypes)[k]}" for k in keep)])
     short = docs.where(~is_long(F.col(text))).select(text, *columns).mapInArrow(
-        lambda it: _encoded(it, path, finish, [*names, *keep]), f"{kinds}, {types}")
+        lambda it: _encoded(it, path, finish, [*names, *keep]), shape)
     long = docs.where(is_long(F.col(text))).select(F.monotonically_increasing_id().alias("_row"), text, *columns)
     if long.isEmpty():   # stops at the first such row
         return short
-    from tallyglass.session import materialise
     long = materialise(long)
     ids = long.select("_row", *columns).join(encode_long(long, text, path, ["_row"]), "_row", "left").select(
         F.coalesce("ids", F.expr("cast('' as binary)")).alias("ids"), *columns)
@@ -267,7 +266,7 @@ def _both_ways(docs, text, path, keep, kinds, finish, names):
         for batch in batches:
             yield pa.RecordBatch.from_arrays([*finish(c, batch.column(0).to_pylist()), *batch.columns[1:]], names=[*names, *keep])
 
-    return short.unionByName(ids.mapInArrow(finished, f"{kinds}, {types}"))
+    return short.unionByName(ids.mapInArrow(finished, shape))
 
 
 def digests(c: Codec, ids: list[bytes]) -> list[pa.Array]:
