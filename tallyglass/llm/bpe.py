@@ -52,6 +52,10 @@ _SPACED = re.compile(f" ?[{_LETTER}]+| ?[{_DIGIT}]+|{_ENDINGS}| ?[^{_SPACE}{_LET
                      f"[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
 _NOT_PLAIN = re.compile(f"[^\\x00-\\u{_PLAIN - 1:04x}]")
 
+# The alphabet of the merges: a printable character for each byte, its own where that is printable.
+_SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_ALPHABET = {b: 256 + i for i, b in enumerate(sorted(set(range(256)) - set(_SHOWN)))}
+
 
 class Codec:
     """One tokenizer file inside a task."""
@@ -67,9 +71,7 @@ class Codec:
         self.whole.no_padding()
         bare = spec | {"normalizer": None, "added_tokens": [], "post_processor": None, "decoder": None, "truncation": None, "padding": None}
         build = lambda **x: Tokenizer.from_str(json.dumps(bare | x))
-        as_bytes = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
-        self.piece = build(pre_tokenizer=as_bytes)
-        self.closed = build(pre_tokenizer=None)
+        self.closed = build(pre_tokenizer=None)     # takes strings in the alphabet of the merges, one piece at a time
         self.suffix = spec["model"].get("end_of_word_suffix") or ""
         self.open = build(pre_tokenizer=None, model=spec["model"] | {"end_of_word_suffix": None}) if self.suffix else self.closed
         self.lower = spec["normalizer"] is not None
@@ -84,8 +86,9 @@ class Codec:
         if len(self.cache) > CACHE:
             self.cache.clear()
         new = list(pieces)
-        for p, e in zip(new, self.piece.encode_batch(new, add_special_tokens=False)):
-            self.cache[p] = np.array(e.ids, "<u4").tobytes()
+        merge = self.closed.model.tokenize     # without the outer steps of the library, which cost more than the merges
+        for p in new:
+            self.cache[p] = np.array([t.id for t in merge(p.encode().decode("latin-1").translate(_ALPHABET))], "<u4").tobytes()
 
     def _plain(self, text: str) -> list[str] | None:
         """Pieces of a text that has plain characters and no special token, else nothing."""

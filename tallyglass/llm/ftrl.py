@@ -14,6 +14,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from tallyglass.llm.shingles import in_chunks
 
@@ -71,18 +72,18 @@ def train(sample: DataFrame, featurise: Featuriser, width: int, epochs: int, **o
     return sum(np.frombuffer(r["w"], "<f8") * (r["n"] / total) for r in fitted)
 
 
-def score(docs: DataFrame, id_col: str, text: str, featurise: Featuriser, weights: np.ndarray) -> DataFrame:
-    """`id_col, score` for every row, from whole texts; nothing is shuffled."""
+def score(docs: DataFrame, text: str, featurise: Featuriser, weights: np.ndarray, keep: list[str], name: str = "score") -> DataFrame:
+    """The `keep` columns of every row and its score, from whole texts; nothing is shuffled."""
     shared = docs.sparkSession.sparkContext.broadcast(weights.astype(np.float64))   # of fixed width
+    rows = docs.select(F.col(f"`{text}`"), *[F.col(f"`{c}`") for c in keep])
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = shared.value
         for batch in batches:
-            texts, out = batch.column(1).to_pylist(), np.zeros(batch.num_rows)
+            texts, out = batch.column(0).to_pylist(), np.zeros(batch.num_rows)
             for a, b in in_chunks(texts):
                 of, at, x = featurise(texts[a:b])
                 out[a:b] = np.bincount(of, w[at] * x, minlength=b - a)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sigmoid(out + w[-1]))], names=[id_col, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(sigmoid(out + w[-1]))], names=[*keep, name])
 
-    kind = dict(docs.select(id_col).dtypes)[id_col]
-    return docs.select(id_col, text).mapInArrow(scored, f"`{id_col}` {kind}, score double")
+    return rows.mapInArrow(scored, StructType([*rows.schema.fields[1:], StructField(name, DoubleType())]))

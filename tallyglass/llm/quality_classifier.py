@@ -89,7 +89,7 @@ def classify(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col:
     """`id_col, held_out, score, predicted` for every row of docs."""
     sample = labelled_sample(docs, labels, label, id_col, text, most)
     weights = ftrl.train(sample, features, WIDTH, EPOCHS)
-    scored = ftrl.score(docs, id_col, text, features, weights)
+    scored = ftrl.score(docs, text, features, weights, [id_col])
     return scored.select(id_col, held_out(id_col).alias("held_out"), "score",
                          (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 

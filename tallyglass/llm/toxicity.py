@@ -254,10 +254,16 @@ def classify(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: s
              most: int = SAMPLE) -> DataFrame:
     """`id_col, held_out, score, predicted` for every row of docs."""
     weights = fit(docs, labels, label, id_col, text, most)
-    return ftrl.score(docs, id_col, text, features, weights).select(
+    return ftrl.score(docs, text, features, weights, [id_col]).select(
         id_col, held_out(id_col).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
+def without_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of docs, columns as they are, that are not predicted toxic."""
+    weights = fit(docs, labels, "toxic", id_col, text)
+    return ftrl.score(docs, text, features, weights, docs.columns, "tx_score").where(F.col("tx_score") < THRESHOLD).drop("tx_score")
+
+
 @query("op6_toxicity")
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
