@@ -62,6 +62,7 @@ def link_buckets(members: DataFrame, verify: Callable[[DataFrame], DataFrame],
         pairs = pairs.where(ok(F.col("leader.payload"), F.col("payload")))
     links = materialise(verify(pairs.select(F.col("leader.id").alias("a"), F.col("id").alias("b")).distinct()))
     groups, members, width = components(links), members.drop("leader"), 8
+    done = 1
     while True:
         named = members.join(groups, "id", "left").withColumn("root", F.coalesce("root", "id"))
         mixed = named.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
@@ -70,7 +71,8 @@ def link_buckets(members: DataFrame, verify: Callable[[DataFrame], DataFrame],
             return links, groups
         # A limit by rank is applied before the shuffle too, so a large bucket is not sorted in one task.
         rank = F.row_number().over(Window.partitionBy("bucket").orderBy("id"))
-        heads = members.withColumn("rank", rank).where(F.col("rank") <= width).select("bucket", F.struct(
+        # Those of earlier rounds have met every member already.
+        heads = members.withColumn("rank", rank).where(F.col("rank") <= width).where(F.col("rank") > done).select("bucket", F.struct(
             "id", "root", *(["payload"] if payload else [])).alias("h"))
         pairs = members.join(heads, "bucket").where("id > h.id AND root <> h.root")
         if payload:
@@ -82,4 +84,4 @@ def link_buckets(members: DataFrame, verify: Callable[[DataFrame], DataFrame],
         largest = members.groupBy("bucket").count().agg(F.max("count")).first()[0]
         if width >= largest:
             return links, groups
-        members, width = members.drop("root"), width * 8
+        members, done, width = members.drop("root"), width, width * 8
