@@ -255,13 +255,13 @@ def encode(docs: DataFrame, text: str, path: str, keep: list[str]) -> DataFrame:
 def _both_ways(docs, text, path, keep, kinds, finish, names):
     columns = [F.col(f"`{k}`") for k in keep]
     shape = ", ".join([kinds, *(f"`{k}` {dict(docs.dtypes)[k]}" for k in keep)])
-    short = docs.where(~is_long(F.col(text))).select(text, *columns).mapInArrow(
+    short = docs.where(~is_long(F.col(text))).select(F.col(text).alias("_text"), *columns).mapInArrow(
         lambda it: _encoded(it, path, finish, [*names, *keep]), shape)
-    long = docs.where(is_long(F.col(text))).select(F.monotonically_increasing_id().alias("_row"), text, *columns)
+    long = docs.where(is_long(F.col(text))).select(F.monotonically_increasing_id().alias("_row"), F.col(text).alias("_text"), *columns)
     if long.isEmpty():   # stops at the first such row
         return short
     long = materialise(long)
-    ids = long.select("_row", *columns).join(encode_long(long, text, path, ["_row"]), "_row", "left").select(
+    ids = long.select("_row", *columns).join(encode_long(long, "_text", path, ["_row"]), "_row", "left").select(
         F.coalesce("ids", F.expr("cast('' as binary)")).alias("ids"), *columns)
 
     def finished(batches):
