@@ -80,7 +80,14 @@ def link_buckets(members: DataFrame, verify: Callable[[DataFrame], DataFrame],
         found = materialise(verify(pairs.select(F.col("h.id").alias("a"), F.col("id").alias("b")).distinct()))
         if not found.isEmpty():
             links = links.union(found)
-            groups = components(links)
+            # Only the roots of the groups so far take part; what they join is small.
+            root = lambda n: groups.select(F.col("id").alias(n), F.col("root").alias(f"r{n}"))  # noqa: E731, B023
+            between = found.join(root("a"), "a", "left").join(root("b"), "b", "left").select(
+                F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b")).distinct()
+            joined = components(between)
+            moved = groups.join(joined.select(F.col("id").alias("root"), F.col("root").alias("to")), "root", "left") \
+                .select("id", F.coalesce("to", "root").alias("root"))
+            groups = materialise(moved.union(joined.join(groups.select("id"), "id", "left_anti").select("id", "root")))
         largest = members.groupBy("bucket").count().agg(F.max("count")).first()[0]
         if width >= largest:
             return links, groups
