@@ -20,6 +20,15 @@ from pyspark.sql import functions as F
 from tallyglass.session import materialise
 
 
+SMALL = 100_000   # rows of three longs at most that one task takes without a shuffle
+
+
+def _compact(df: DataFrame) -> DataFrame:
+    """Written to the shared folder; a small table becomes one partition, which needs no shuffles to be grouped or joined."""
+    df = materialise(df)
+    return df.coalesce(1) if df.count() <= SMALL else df
+
+
 def components(links: DataFrame) -> DataFrame:
     """`id, root` for every id in links(a, b): the root is the least id that it is connected to.
 
@@ -27,20 +36,20 @@ def components(links: DataFrame) -> DataFrame:
     centre needs one round, a chain of n nodes about log n. Ids are longs without nulls.
     """
     spark = links.sparkSession
-    links = materialise(links.select("a", "b").where("a <> b"))
+    links = _compact(links.select("a", "b").where("a <> b"))
     labels = None
     while not links.isEmpty():
         both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        step = materialise(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("root")))
+        step = _compact(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("root")))
         at = lambda name: step.select(F.col("id").alias(name), F.col("root").alias(f"r_{name}"))  # noqa: E731, B023
-        links = materialise(links.join(at("a"), "a").join(at("b"), "b")
+        links = _compact(links.join(at("a"), "a").join(at("b"), "b")
                             .select(F.least("r_a", "r_b").alias("a"), F.greatest("r_a", "r_b").alias("b"))
                             .where("a <> b").distinct())
         if labels is None:
             labels = step
         else:
             onward = step.select(F.col("id").alias("root"), F.col("root").alias("next"))
-            labels = materialise(labels.join(onward, "root", "left").select(
+            labels = _compact(labels.join(onward, "root", "left").select(
                 "id", F.coalesce("next", "root").alias("root")))
     return labels if labels is not None else spark.createDataFrame([], "id long, root long")
 
@@ -55,18 +64,18 @@ def link_buckets(members: DataFrame, verify: Callable[[DataFrame], DataFrame],
     payload = "payload" in members.columns
     member = F.struct("id", *(["payload"] if payload else []))
     leaders = members.groupBy("bucket").agg(F.min(member).alias("m"), F.max("id").alias("last")).where("m.id <> last")
-    members = materialise(members.join(leaders.select("bucket", F.col("m").alias("leader")), "bucket"))
+    members = _compact(members.join(leaders.select("bucket", F.col("m").alias("leader")), "bucket"))
     ok = pairs_where or (lambda a, b: F.lit(True))
     pairs = members.where("id <> leader.id")
     if payload:
         pairs = pairs.where(ok(F.col("leader.payload"), F.col("payload")))
-    links = materialise(verify(pairs.select(F.col("leader.id").alias("a"), F.col("id").alias("b")).distinct()))
+    links = _compact(verify(pairs.select(F.col("leader.id").alias("a"), F.col("id").alias("b")).distinct()))
     groups, members, width = components(links), members.drop("leader"), 8
     done = 1
     while True:
         named = members.join(groups, "id", "left").withColumn("root", F.coalesce("root", "id"))
         mixed = named.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
-        members = materialise(named.join(mixed.select("bucket"), "bucket", "left_semi"))
+        members = _compact(named.join(mixed.select("bucket"), "bucket", "left_semi"))
         if members.isEmpty():
             return links, groups
         # A limit by rank is applied before the shuffle too, so a large bucket is not sorted in one task.
@@ -77,7 +86,7 @@ def link_buckets(members: DataFrame, verify: Callable[[DataFrame], DataFrame],
         pairs = members.join(heads, "bucket").where("id > h.id AND root <> h.root")
         if payload:
             pairs = pairs.where(ok(F.col("h.payload"), F.col("payload")))
-        found = materialise(verify(pairs.select(F.col("h.id").alias("a"), F.col("id").alias("b")).distinct()))
+        found = _compact(verify(pairs.select(F.col("h.id").alias("a"), F.col("id").alias("b")).distinct()))
         if not found.isEmpty():
             links = links.union(found)
             # Only the roots of the groups so far take part; what they join is small.
@@ -87,7 +96,7 @@ def link_buckets(members: DataFrame, verify: Callable[[DataFrame], DataFrame],
             joined = components(between)
             moved = groups.join(joined.select(F.col("id").alias("root"), F.col("root").alias("to")), "root", "left") \
                 .select("id", F.coalesce("to", "root").alias("root"))
-            groups = materialise(moved.union(joined.join(groups.select("id"), "id", "left_anti").select("id", "root")))
+            groups = _compact(moved.union(joined.join(groups.select("id"), "id", "left_anti").select("id", "root")))
         largest = members.groupBy("bucket").count().agg(F.max("count")).first()[0]
         if width >= largest:
             return links, groups
