@@ -138,9 +138,10 @@ ASSERTIONS: dict[str, Callable[[], tuple[Column, Column]]] = {
 }
 
 
-def run_assertions(specs: DataFrame, answers: DataFrame, registry=None) -> DataFrame:
+def run_assertions(specs: DataFrame, answers: DataFrame, registry=None, cases: DataFrame | None = None) -> DataFrame:
     """Check rows (case_id, name, passed, reason, kind, weight). A case without a subject gets one
-    failed check; an unknown assertion type is a failed check too."""
+    failed check; an unknown assertion type is a failed check too. `cases` (id) names the cases, so
+    that one without any assertion is not forgotten."""
     registry = ASSERTIONS if registry is None else registry
     joined = specs.join(answers.withColumn("_there", F.lit(True)), "case_id", "left")
     rows = joined.withColumn("_said", X.match_form("text"))
@@ -151,7 +152,8 @@ def run_assertions(specs: DataFrame, answers: DataFrame, registry=None) -> DataF
         "case_id", "name", F.coalesce(passed, F.lit(False)).alias("passed"), F.coalesce(reason, F.concat(
             F.lit("unknown assertion type "), F.coalesce("kind", F.lit("None")), F.lit("; have "),
             F.lit(", ".join(sorted(registry))))).alias("reason"))
-    absent = rows.filter("_there IS NULL").select("case_id").distinct().select(
+    asked = specs.select("case_id") if cases is None else cases.select(F.col("id").alias("case_id"))
+    absent = asked.distinct().join(answers.select("case_id"), "case_id", "left_anti").select(
         "case_id", F.lit("subject").alias("name"), F.lit(False).alias("passed"),
         F.lit("no recorded subject for this case").alias("reason"))
     return checks.unionByName(absent).withColumn("kind", F.lit("deterministic")).withColumn("weight", F.lit(1.0))
@@ -239,7 +241,7 @@ def run_suite(cases: DataFrame, answers: DataFrame, judge: Callable | None = Non
 
     Returns (check rows, new verdicts to append to the cache). Failed cases never reach the judge.
     """
-    checks = run_assertions(assertion_specs(cases), answers).unionByName(budget_checks(cases, answers))
+    checks = run_assertions(assertion_specs(cases), answers, cases=cases).unionByName(budget_checks(cases, answers))
     if judge is None:
         return checks, None
     from ..session import materialise

@@ -136,6 +136,14 @@ def request_counters(requests: DataFrame) -> DataFrame:
     return rows.groupBy("tenant", "model", "m.metric", "m.label").agg(F.sum("m.value").alias("value"))
 
 
+def is_served(requests: DataFrame) -> Column:
+    """An upstream answered: neither refused nor out of providers. Inputs without these columns count whole."""
+    have = set(requests.columns)
+    denied = F.col("denial").isNotNull() if "denial" in have else F.lit(False)
+    failed = F.col("provider").isNull() if "provider" in have else F.lit(False)
+    return ~denied & ~failed
+
+
 def histogram_columns(value: str = "duration_s") -> list[Column]:
     """Cumulative bucket counts and the total as one partial aggregate: no row per bucket."""
     return [*[F.count_if(F.col(value) <= le).alias(f"le_{i}") for i, le in enumerate(V.LATENCY_BUCKETS)],
@@ -143,8 +151,8 @@ def histogram_columns(value: str = "duration_s") -> list[Column]:
 
 
 def latency_histogram(requests: DataFrame, by: list[str], value: str = "duration_s") -> DataFrame:
-    """Cumulative latency buckets as rows (le, n), `+Inf` included."""
-    wide = requests.groupBy(*by).agg(*histogram_columns(value))
+    """Cumulative latency buckets of served requests as rows (le, n), `+Inf` included."""
+    wide = requests.where(is_served(requests)).groupBy(*by).agg(*histogram_columns(value))
     bounds = [(str(le), f"le_{i}") for i, le in enumerate(V.LATENCY_BUCKETS)] + [("+Inf", "le_inf")]
     cells = F.array(*[F.struct(F.lit(le).alias("le"), F.col(c).alias("n")) for le, c in bounds])
     return wide.select(*by, F.inline(cells))
@@ -167,7 +175,8 @@ def bucket_quantile(quantile: float) -> Column:
 
 
 def latency_quantile(requests: DataFrame, by: list[str], quantile: float = 0.95, value: str = "duration_s") -> DataFrame:
-    wide = requests.groupBy(*by).agg(*histogram_columns(value))
+    """Interpolated quantile of the latency of served requests."""
+    wide = requests.where(is_served(requests)).groupBy(*by).agg(*histogram_columns(value))
     return wide.select(*by, F.col("le_inf").alias("n"), bucket_quantile(quantile).alias("quantile"))
 
 
@@ -210,10 +219,24 @@ def bucket_start(ts, seconds: int = BUCKET_S) -> Column:
 
 
 def good_and_total(requests: DataFrame, by: list[str] = (), ts: str = "ts") -> DataFrame:
-    """Requests and successes (2xx) per five-minute bucket."""
-    ok = (F.col("status") >= 200) & (F.col("status") < 300)
+    """Served requests and successes (2xx) among them per five-minute bucket.
+
+    A bucket in which everything was refused is there, with zeros: the counters existed.
+    """
+    served, ok = is_served(requests), (F.col("status") >= 200) & (F.col("status") < 300)
     return requests.groupBy(*by, bucket_start(ts).alias("bucket")).agg(
-        F.count("*").alias("total"), F.count_if(ok).alias("good"))
+        F.count_if(served).alias("total"), F.count_if(served & ok).alias("good"))
+
+
+def with_idle_buckets(buckets: DataFrame, by: list[str] = ()) -> DataFrame:
+    """The series from its first to its last bucket, with zeros where nothing happened.
+
+    The alert rules are evaluated at every interval, so idle ones count. The rows grow with time.
+    """
+    ends = buckets.groupBy(*by).agg(F.min("bucket").alias("_from"), F.max("bucket").alias("_to")).where("_from IS NOT NULL")
+    every = ends.select(*by, F.explode(F.sequence("_from", "_to", F.lit(BUCKET_S).cast("long"))).alias("bucket"))
+    filled = every.join(buckets, [*by, "bucket"], "left")
+    return filled.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("total", "good")})
 
 
 def _series(by: list[str]):
@@ -221,8 +244,9 @@ def _series(by: list[str]):
 
 
 def availability(buckets: DataFrame, by: list[str] = (), horizons=(300, 3600, 21600)) -> DataFrame:
-    """Success ratio over trailing horizons at the end of every bucket, guarded against zero."""
-    by, out = list(by), buckets
+    """Success ratio over trailing horizons at the end of every bucket, idle ones too, guarded against zero."""
+    by = list(by)
+    out = with_idle_buckets(buckets, by)
     for seconds in horizons:
         frame = _series(by).orderBy("bucket").rangeBetween(-(seconds - BUCKET_S), 0)
         ratio = F.sum("good").over(frame) / F.greatest(
@@ -258,7 +282,10 @@ def burn_alerts(ratios: DataFrame, by: list[str] = ()) -> DataFrame:
 
 def latency_alert(requests: DataFrame, ts: str = "ts", value: str = "duration_s",
                   objective: float = V.LATENCY_OBJECTIVE_S) -> DataFrame:
-    """p95 per five minutes above the objective for ten minutes. Refused requests are left out."""
+    """p95 of served requests per five minutes above the objective for ten minutes.
+
+    Without observations there is no quantile, and the condition does not hold.
+    """
     cut = requests.withColumn("bucket", bucket_start(ts))
     p95 = latency_quantile(cut, ["bucket"], 0.95, value)
     return held(p95, F.col("quantile") > objective, V.LATENCY_HELD_S)
@@ -378,14 +405,20 @@ def _sessions(rows: DataFrame, key: str, slot: Column, quiet_before: Column | No
     return slotted.join(numbered, [key, "_slot"]).drop("_slot")
 
 
+def refill_slot() -> Column:
+    """Slots as long as an empty bucket takes to refill; one slot if it never does."""
+    return F.coalesce(F.floor(F.try_divide("t", F.try_divide("burst", "rate"))), F.lit(0))
+
+
 def token_bucket(requests: DataFrame) -> DataFrame:
     """Token-bucket decision of every request (event_id, tenant, ts, rate, burst).
 
     A tenant that was idle for burst / rate seconds has a full bucket whatever happened before,
-    so its requests are cut there and the pieces are decided in parallel.
+    so its requests are cut there and the pieces are decided in parallel. A bucket of rate 0
+    never refills: its requests are one piece.
     """
     rows = requests.withColumn("t", seconds("ts"))
-    cut = _sessions(rows, "tenant", F.floor(F.col("t") / (F.col("burst") / F.col("rate"))))
+    cut = _sessions(rows, "tenant", refill_slot())
     keep = cut.select("tenant", "session", "t", "event_id", "rate", "burst")
     return ordered_fold(keep, ["tenant", "session"], ["t", "event_id"], bucket_step, BUCKET_SCHEMA)
 
@@ -412,7 +445,7 @@ def admit(requests: DataFrame) -> DataFrame:
     marked = rows.join(asked, "tenant", "left")
     # The margin keeps float sums in another order on the safe side.
     free = F.coalesce(F.col("_asked") < F.col("budget_usd") * (1 - 1e-9), F.lit(True))
-    cut = _sessions(marked, "tenant", F.floor(F.col("t") / (F.col("burst") / F.col("rate"))))
+    cut = _sessions(marked, "tenant", refill_slot())
     cut = cut.withColumn("session", F.when(free, F.col("session")).otherwise(F.lit(0)))
     keep = cut.select("tenant", "session", "t", "event_id", "denial", "estimated_usd", "budget_usd", "rate", "burst")
     return ordered_fold(keep, ["tenant", "session"], ["t", "event_id"], admit_step, ADMIT_SCHEMA)

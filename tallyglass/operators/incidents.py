@@ -65,19 +65,23 @@ def metric_summary(points: DataFrame, by: list[str], order: str = "seq", value:
 
 
 def near_alerts(alerts: DataFrame, telemetry: DataFrame, key: str, lookback: float,
-                alert_ts: str = "fired_at", ts: str = "ts") -> DataFrame:
-    """Telemetry of the same key at most `lookback` minutes before an alert.
+                alert_ts: str = "fired_at", ts: str = "ts", until: float | None = None) -> DataFrame:
+    """Telemetry of the same key from `lookback` minutes before an alert on, without an upper bound
+    unless `until` (minutes after the alert) sets one.
 
-    Both sides are cut into slices of the lookback; an alert meets its own slice and the one
-    before. A hot key is thereby joined slice by slice instead of all against all.
+    With both bounds the two sides are cut into slices and an alert meets the slices of its range,
+    so that a hot key is joined slice by slice. Without an end every later row is a result.
     """
-    width = int(abs(lookback) * 60_000_000)
+    if until is None:
+        minutes = (F.unix_micros(F.col(alert_ts).cast("timestamp")) - F.unix_micros(F.col(ts).cast("timestamp"))) / F.lit(60_000_000.0)
+        return alerts.join(telemetry, key).withColumn("minutes_before", minutes).where(F.col("minutes_before") <= abs(lookback))
+    width, after = max(int(abs(lookback) * 60_000_000), int(until * 60_000_000), 1), int(until * 60_000_000)
     slice_of = lambda c: F.floor(F.unix_micros(F.col(c).cast("timestamp")) / F.lit(width))
-    left = alerts.withColumn("_slice", F.explode(F.array(slice_of(alert_ts), slice_of(alert_ts) - 1)))
+    left = alerts.withColumn("_slice", F.explode(F.sequence(slice_of(alert_ts) - 1, slice_of(alert_ts) + int(after > 0))))
     right = telemetry.withColumn("_slice", slice_of(ts))
     gap = F.unix_micros(F.col(alert_ts).cast("timestamp")) - F.unix_micros(F.col(ts).cast("timestamp"))
     joined = left.join(right, [key, "_slice"]).withColumn("minutes_before", gap / F.lit(60_000_000.0))
-    return joined.filter((gap >= 0) & (gap <= width)).drop("_slice")
+    return joined.filter((gap >= -after) & (gap <= int(abs(lookback) * 60_000_000))).drop("_slice")
 
 
 def overlay(shared: DataFrame, local: DataFrame, key: str = "id") -> DataFrame:
@@ -192,22 +196,26 @@ def pending(events: DataFrame) -> DataFrame:
     return current_state(events).filter("state = 'pending'")
 
 
-def apply_requests(requests: DataFrame, actions: DataFrame, state: DataFrame) -> tuple[DataFrame, DataFrame]:
+def apply_requests(requests: DataFrame, actions: DataFrame, state: DataFrame, order: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(accepted events, rejected rows) of a batch of `request` and `approve` entries.
 
     A request needs a known action and becomes pending with the action's risk; an approval needs
-    a pending request. Nothing is rewritten: accepted entries are appended as new events.
+    a pending request. Nothing is rewritten: accepted entries are appended as new events. Of
+    several approvals of a pending request in one batch the first by `order` is accepted.
     """
-    known = actions.select("action_id", F.coalesce("risk", F.lit("unknown")).alias("_risk"))
+    known = actions.groupBy("action_id").agg(F.max(F.coalesce("risk", F.lit("unknown"))).alias("_risk"))
+    first = Window.partitionBy("request_id", "kind").orderBy(order or F.lit(0))
+    requests = requests.withColumn("_place", F.row_number().over(first))
     now = state.select("request_id", F.col("state").alias("_state"))
     joined = requests.join(known, "action_id", "left").join(now, "request_id", "left")
     problem = (
         F.when((F.col("kind") == "request") & F.col("_risk").isNull(), F.concat(F.lit("unknown action_id "), "action_id"))
         .when((F.col("kind") == "approve") & F.col("_state").isNull(), F.concat(F.lit("no change request "), "request_id"))
         .when((F.col("kind") == "approve") & (F.col("_state") != "pending"), F.concat(
-            "request_id", F.lit(" is already "), "_state", F.lit(", not pending"))))
+            "request_id", F.lit(" is already "), "_state", F.lit(", not pending")))
+        .when((F.col("kind") == "approve") & (F.col("_place") > 1), F.concat("request_id", F.lit(" is already approved, not pending"))))
     judged = joined.withColumn("problem", problem).withColumn(
         "state", F.when(F.col("kind") == "request", "pending").otherwise("approved")) \
         .withColumn("risk", F.when(F.col("kind") == "request", F.col("_risk")))
-    done = judged.drop("_risk", "_state")
+    done = judged.drop("_risk", "_state", "_place")
     return done.filter("problem IS NULL").drop("problem"), done.filter("problem IS NOT NULL").drop("state", "risk")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, functions as F
@@ -12,8 +14,8 @@ from .screening import fold_summary, pick_threshold, union_predictions
 STRENGTH = 0.1  # inverse regularisation
 
 
-def train(samples: DataFrame, vector: str = "embedding", strength: float = STRENGTH, max_iter: int = 100):
-    """Fit on (vector, is_attack) with balanced class weights n / (2 n_class)."""
+def train(samples: DataFrame, vector: str = "embedding", strength: float = STRENGTH, max_iter: int = 2000):
+    """Fit on (vector, is_attack) with balanced class weights n / (2 n_class); warns if it has not converged."""
     sizes = {r["is_attack"]: r["count"] for r in samples.groupBy("is_attack").count().collect()}
     total = sum(sizes.values())
     if len(sizes) < 2:
@@ -21,9 +23,12 @@ def train(samples: DataFrame, vector: str = "embedding", strength: float = STREN
     weight = F.when(F.col("is_attack"), total / (2 * sizes[True])).otherwise(total / (2 * sizes[False]))
     rows = samples.select(array_to_vector(F.col(vector).cast("array<double>")).alias("features"),
                           F.col("is_attack").cast("double").alias("label"), weight.alias("weight"))
-    return LogisticRegression(
+    model = LogisticRegression(
         regParam=1.0 / (strength * total), elasticNetParam=0.0, weightCol="weight",
         standardization=False, maxIter=max_iter).fit(rows)
+    if model.summary.totalIterations >= max_iter:
+        warnings.warn(f"no convergence after {max_iter} iterations", stacklevel=2)
+    return model
 
 
 def score(model, samples: DataFrame, vector: str = "embedding") -> DataFrame:

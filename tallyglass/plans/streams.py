@@ -51,16 +51,18 @@ def breaker(spark, sf_dir):
     return jobs.drain(jobs.breaker(streaming(spark, traffic.breaker_attempts, sf_dir)))
 
 
+CLOSED = "(epoch_us(ts) // 300000000 * 300 + 300) * 1000000 <= (SELECT max(epoch_us(ts)) - 600000000 FROM events)"
+
+
 @query("str_05_availability_stream", f"""
-    SELECT bucket, count(*) AS total, count(*) FILTER (WHERE status = 200) AS good
-    FROM (SELECT *, epoch_us(ts) // 300000000 * 300 AS bucket FROM {REQUESTS_SQL})
-    WHERE (bucket + 300) * 1000000 <= (SELECT max(epoch_us(ts)) - 600000000 FROM events) GROUP BY bucket""")
+    SELECT epoch_us(ts) // 300000000 * 300 AS bucket, count(*) FILTER (WHERE {traffic.SERVED}) AS total,
+      count(*) FILTER (WHERE {traffic.SERVED} AND status = 200) AS good FROM {REQUESTS_SQL} WHERE {CLOSED} GROUP BY 1""")
 def availability(spark, sf_dir):
     """Buckets the watermark (ten minutes behind the newest request) has closed."""
     return jobs.drain(jobs.availability_buckets(streaming(spark, traffic.requests, sf_dir)))
 
 
-@query("str_06_burn_rate_stream")
+@query("str_06_burn_rate_stream", traffic.burn_sql(traffic.ratio_sql(CLOSED)))
 def burn_rate(spark, sf_dir):
     closed = jobs.drain(jobs.availability_buckets(streaming(spark, traffic.requests, sf_dir)))
     return G.burn_alerts(G.availability(closed))

@@ -18,6 +18,9 @@ REQUESTS_SQL = f"""(SELECT event_id, ts, user_id AS tenant, event_type AS model,
     CASE WHEN event_type = 'error' THEN 503 ELSE 200 END AS status, value AS duration_s, value / 1000 AS cost_usd,
     {K_SQL} AS k, CASE WHEN value > 150 THEN 'rate_limit_exceeded' WHEN value > 100 THEN 'budget_exhausted' END AS denial FROM events)"""
 
+SERVED = "(denial IS NULL AND provider IS NOT NULL)"
+SERVED_SQL = f"(SELECT * FROM {REQUESTS_SQL} WHERE {SERVED})"
+
 
 def requests(spark, sf_dir):
     k = F.get_json_object("props", "$.k").cast("int")
@@ -183,8 +186,8 @@ def metric_series(spark, sf_dir):
 
 BOUNDS = [(str(le), le) for le in V.LATENCY_BUCKETS]
 HISTOGRAM_SQL = " UNION ALL ".join(
-    f"SELECT model, '{name}' AS le, count(*) FILTER (WHERE duration_s <= {le}) AS n FROM {REQUESTS_SQL} GROUP BY model" for name, le in BOUNDS
-) + f" UNION ALL SELECT model, '+Inf', count(*) FROM {REQUESTS_SQL} GROUP BY model"
+    f"SELECT model, '{name}' AS le, count(*) FILTER (WHERE duration_s <= {le}) AS n FROM {SERVED_SQL} GROUP BY model" for name, le in BOUNDS
+) + f" UNION ALL SELECT model, '+Inf', count(*) FROM {SERVED_SQL} GROUP BY model"
 
 
 @query("agg_30_latency_histogram", HISTOGRAM_SQL)
@@ -202,7 +205,7 @@ def p95_sql(by: str, source: str) -> str:
              (SELECT {by}, count(*) AS n FROM {source} GROUP BY {by}) USING ({by}) GROUP BY {by}))"""
 
 
-@query("agg_31_p95_from_buckets", f"SELECT model, n, round(p95, 6) AS p95 FROM {p95_sql('model', REQUESTS_SQL)}")
+@query("agg_31_p95_from_buckets", f"SELECT model, n, round(p95, 6) AS p95 FROM {p95_sql('model', SERVED_SQL)}")
 def p95_from_buckets(spark, sf_dir):
     done = G.latency_quantile(requests(spark, sf_dir), ["model"])
     return done.select("model", "n", F.round("quantile", 6).alias("p95"))
@@ -253,10 +256,20 @@ def chain_outcome(spark, sf_dir):
 # ----------------------------------------------------------- service levels
 
 BUCKET = "(epoch_us(ts) // 300000000 * 300)"
-RATIO_SQL = f"""(SELECT *, {", ".join(
-    f"sum(good) OVER (ORDER BY bucket RANGE BETWEEN {h - 300} PRECEDING AND CURRENT ROW) / greatest(sum(total) OVER (ORDER BY bucket RANGE BETWEEN {h - 300} PRECEDING AND CURRENT ROW), 1e-9) AS ratio_{h}"
-    for h in (300, 3600, 21600))}
-    FROM (SELECT {BUCKET} AS bucket, count(*) AS total, count(*) FILTER (WHERE status = 200) AS good FROM {REQUESTS_SQL} GROUP BY 1))"""
+
+
+def ratio_sql(closed: str = "true") -> str:
+    """Ratios over a generated series of buckets; `closed` limits the counted ones."""
+    ratios = ", ".join(
+        f"sum(good) OVER (ORDER BY bucket RANGE BETWEEN {h - 300} PRECEDING AND CURRENT ROW) / greatest(sum(total) OVER (ORDER BY bucket RANGE BETWEEN {h - 300} PRECEDING AND CURRENT ROW), 1e-9) AS ratio_{h}"
+        for h in (300, 3600, 21600))
+    counted = f"""(SELECT {BUCKET} AS bucket, count(*) FILTER (WHERE {SERVED}) AS n, count(*) FILTER (WHERE {SERVED} AND status = 200) AS g
+        FROM {REQUESTS_SQL} WHERE {closed} GROUP BY 1)"""
+    return f"""(SELECT *, {ratios} FROM (SELECT s.bucket, coalesce(g, 0) AS good, coalesce(n, 0) AS total
+      FROM (SELECT unnest(generate_series(min(bucket), max(bucket), 300)) AS bucket FROM {counted}) s LEFT JOIN {counted} c ON c.bucket = s.bucket))"""
+
+
+RATIO_SQL = ratio_sql()
 
 
 @query("str_05_availability", f"""SELECT bucket, good, total, round(ratio_300, 6) AS ratio_300, round(ratio_3600, 6) AS ratio_3600,
@@ -274,40 +287,42 @@ def held_sql(source: str, condition: str, seconds: int, keep: str) -> str:
               FROM (SELECT *, {condition} AS c FROM {source}))))"""
 
 
-BURN_SQL = " UNION ALL ".join(
-    f"SELECT '{name}' AS alert, '{sev}' AS severity, bucket, burning, firing FROM "
-    + held_sql(RATIO_SQL, f"(1 - ratio_{long} > {factor * V.ERROR_BUDGET} AND 1 - ratio_{short} > {factor * V.ERROR_BUDGET})", secs, "total")
-    for name, long, short, factor, secs, sev in V.BURN_ALERTS)
+def burn_sql(ratios: str) -> str:
+    return " UNION ALL ".join(
+        f"SELECT '{name}' AS alert, '{sev}' AS severity, bucket, burning, firing FROM "
+        + held_sql(ratios, f"(1 - ratio_{long} > {factor * V.ERROR_BUDGET} AND 1 - ratio_{short} > {factor * V.ERROR_BUDGET})", secs, "total")
+        for name, long, short, factor, secs, sev in V.BURN_ALERTS)
 
 
-@query("str_06_burn_rate_alerts", BURN_SQL)
+@query("str_06_burn_rate_alerts", burn_sql(RATIO_SQL))
 def burn_rate_alerts(spark, sf_dir):
     return G.burn_alerts(G.availability(G.good_and_total(requests(spark, sf_dir))))
 
 
 BUCKETED_SQL = f"(SELECT *, {BUCKET} AS bucket FROM {REQUESTS_SQL})"
+SERVED_BUCKETS_SQL = f"(SELECT *, {BUCKET} AS bucket FROM {SERVED_SQL})"
 
 
-@query("win_10_held_for", f"""SELECT bucket, firing FROM {held_sql(p95_sql("bucket", BUCKETED_SQL), "p95 > 30", 600, "n")}""")
+@query("win_10_held_for", f"""SELECT bucket, firing FROM {held_sql(p95_sql("bucket", SERVED_BUCKETS_SQL), "p95 > 30", 600, "n")}""")
 def held_for(spark, sf_dir):
     return G.latency_alert(requests(spark, sf_dir)).select("bucket", "firing")
 
 
 @query("str_07_other_alerts", f"""
-    SELECT 'latency' AS alert, NULL::BIGINT AS tenant, bucket, firing FROM {held_sql(p95_sql("bucket", BUCKETED_SQL), "p95 > 30", 600, "n")}
-    UNION ALL SELECT 'upstream', NULL, bucket, firing FROM {held_sql(f"(SELECT bucket, count(*) FILTER (WHERE provider IS NULL) AS n FROM {BUCKETED_SQL} GROUP BY 1)", "n > 0", 180, "n")}
+    SELECT 'latency' AS alert, NULL::BIGINT AS tenant, bucket, firing FROM {held_sql(p95_sql("bucket", SERVED_BUCKETS_SQL), "p95 > 30", 600, "n")}
+    UNION ALL SELECT 'upstream', NULL, bucket, firing FROM {held_sql(f"(SELECT bucket, count(*) FILTER (WHERE denial IS NULL AND provider IS NULL) AS n FROM {BUCKETED_SQL} GROUP BY 1)", "n > 0", 180, "n")}
     UNION ALL SELECT 'near_budget', tenant, bucket, coalesce(bucket - since >= 1800, false) FROM (
       SELECT *, min(bucket) FILTER (WHERE used > 0.9) OVER (PARTITION BY tenant) AS since FROM (
         SELECT tenant, bucket, sum(c) OVER (PARTITION BY tenant ORDER BY bucket) / 1.0 AS used FROM (
-          SELECT tenant, bucket, sum(cost_usd) AS c FROM {BUCKETED_SQL} GROUP BY 1, 2)))""")
+          SELECT tenant, bucket, sum(cost_usd) AS c FROM {SERVED_BUCKETS_SQL} GROUP BY 1, 2)))""")
 def other_alerts(spark, sf_dir):
     rows = requests(spark, sf_dir)
     none = F.lit(None).cast("long").alias("tenant")
     latency = G.latency_alert(rows).select(F.lit("latency").alias("alert"), none, "bucket", "firing")
-    upstream = G.upstream_alert(rows.withColumn("exhausted", F.col("provider").isNull())).select(
+    upstream = G.upstream_alert(rows.withColumn("exhausted", F.col("denial").isNull() & F.col("provider").isNull())).select(
         F.lit("upstream").alias("alert"), none, "bucket", "firing")
     budgets = rows.select("tenant").distinct().withColumn("budget_usd", F.lit(1.0))
-    near = G.near_budget_alert(rows, budgets).select(F.lit("near_budget").alias("alert"), "tenant", "bucket", "firing")
+    near = G.near_budget_alert(rows.where(G.is_served(rows)), budgets).select(F.lit("near_budget").alias("alert"), "tenant", "bucket", "firing")
     return latency.unionByName(upstream).unionByName(near)
 
 

@@ -89,14 +89,14 @@ def breaker(attempts: DataFrame) -> DataFrame:
 # -------------------------------------------------------------- service levels
 
 def availability_buckets(requests: DataFrame, watermark: str = WATERMARK) -> DataFrame:
-    """Five-minute request and success counts, final once the watermark has passed.
+    """Five-minute counts of served requests and successes, final once the watermark has passed.
 
     Horizons and alerts are computed from these rows with `gateway.availability` and
     `gateway.burn_alerts`: a sliding six-hour window would multiply every request by 72.
     """
-    ok = (F.col("status") >= 200) & (F.col("status") < 300)
+    served, ok = G.is_served(requests), (F.col("status") >= 200) & (F.col("status") < 300)
     cut = requests.withWatermark("ts", watermark).groupBy(F.window("ts", "5 minutes").alias("w")).agg(
-        F.count("*").alias("total"), F.count_if(ok).alias("good"))
+        F.count_if(served).alias("total"), F.count_if(served & ok).alias("good"))
     return cut.select((F.unix_micros("w.start") / F.lit(1_000_000)).cast("long").alias("bucket"), "total", "good")
 
 

@@ -1,6 +1,7 @@
 """Folds cut at exact reset points equal one sequence per key, and streams equal batches."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from tallyglass.operators import gateway as G
 from tallyglass.plans import streams, traffic
@@ -81,3 +82,34 @@ def test_breaker_probe():
         (_, allowed, mode, _), state = G.breaker_step(row(float(t), ok), state)
         modes.append((allowed, mode))
     assert modes == [(True, "closed"), (True, "open"), (False, "open"), (True, "open"), (False, "open"), (True, "closed")]
+
+
+def _requests(spark, rows):
+    return spark.createDataFrame([(f"2024-01-01 {t}", d, p, s, float(v)) for t, d, p, s, v in rows],
+                                 "ts string, denial string, provider string, status int, duration_s double").withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+def test_service_levels_count_served_requests_and_idle_buckets(spark):
+    rows = _requests(spark, [("00:00:10", None, "a", 200, 1), ("00:01:00", "rate_limit_exceeded", "a", 200, 200), ("00:02:00", None, None, 503, 90),
+                             ("00:20:00", None, "a", 503, 40), ("00:21:00", None, "a", 200, 2)])
+    out = {r["bucket"] % 86400: r for r in G.availability(G.good_and_total(rows)).collect()}
+    assert sorted(out) == [0, 300, 600, 900, 1200]          # 300 to 900 are idle
+    assert [(out[b]["good"], out[b]["total"]) for b in sorted(out)] == [(1, 1), (0, 0), (0, 0), (0, 0), (1, 2)]
+    assert [out[b]["ratio_300"] for b in sorted(out)] == [1.0, 0.0, 0.0, 0.0, 0.5]
+    assert out[900]["ratio_3600"] == 1.0 and out[1200]["ratio_3600"] == pytest.approx(2 / 3)
+    counts = {r["le"]: r["n"] for r in G.latency_histogram(rows, []).collect()}
+    assert counts["+Inf"] == 3 and counts["1.0"] == 1
+
+
+def test_condition_holds_over_an_idle_bucket(spark):
+    # Everything fails, one bucket of the fifteen minutes is idle: the condition goes on.
+    rows = _requests(spark, [(f"00:{m:02d}:00", None, "a", 503, 1) for m in (0, 5, 15, 20)])
+    firing = {r["bucket"] % 86400: r["firing"] for r in G.burn_alerts(G.availability(G.good_and_total(rows))).where("alert = 'budget_burning_fast'").collect()}
+    assert firing[1200]
+
+
+def test_rate_zero_never_refills(spark):
+    rows = spark.createDataFrame([(i, "t", f"2024-01-0{i + 1} 00:00:00", 0.0, 2) for i in range(4)],
+                                 "event_id long, tenant string, ts string, rate double, burst int").withColumn("ts", F.col("ts").cast("timestamp"))
+    allowed = [r["allowed"] for r in sorted(G.token_bucket(rows).collect(), key=lambda r: r["event_id"])]
+    assert allowed == [True, True, False, False]
