@@ -19,7 +19,7 @@ REQUESTS_SQL = f"""(SELECT event_id, ts, user_id AS tenant, event_type AS model,
     {K_SQL} AS k, CASE WHEN value > 150 THEN 'rate_limit_exceeded' WHEN value > 100 THEN 'budget_exhausted' END AS denial FROM events)"""
 
 SERVED = "(denial IS NULL AND provider IS NOT NULL)"
-SERVED_SQL = f"(SELECT * FROM {REQUESTS_SQL} WHERE {SERVED})"
+ANSWERED_SQL = f"(SELECT * FROM {REQUESTS_SQL} WHERE {SERVED})"
 
 
 def requests(spark, sf_dir):
@@ -186,8 +186,8 @@ def metric_series(spark, sf_dir):
 
 BOUNDS = [(str(le), le) for le in V.LATENCY_BUCKETS]
 HISTOGRAM_SQL = " UNION ALL ".join(
-    f"SELECT model, '{name}' AS le, count(*) FILTER (WHERE duration_s <= {le}) AS n FROM {SERVED_SQL} GROUP BY model" for name, le in BOUNDS
-) + f" UNION ALL SELECT model, '+Inf', count(*) FROM {SERVED_SQL} GROUP BY model"
+    f"SELECT model, '{name}' AS le, count(*) FILTER (WHERE duration_s <= {le}) AS n FROM {ANSWERED_SQL} GROUP BY model" for name, le in BOUNDS
+) + f" UNION ALL SELECT model, '+Inf', count(*) FROM {ANSWERED_SQL} GROUP BY model"
 
 
 @query("agg_30_latency_histogram", HISTOGRAM_SQL)
@@ -205,7 +205,7 @@ def p95_sql(by: str, source: str) -> str:
              (SELECT {by}, count(*) AS n FROM {source} GROUP BY {by}) USING ({by}) GROUP BY {by}))"""
 
 
-@query("agg_31_p95_from_buckets", f"SELECT model, n, round(p95, 6) AS p95 FROM {p95_sql('model', SERVED_SQL)}")
+@query("agg_31_p95_from_buckets", f"SELECT model, n, round(p95, 6) AS p95 FROM {p95_sql('model', ANSWERED_SQL)}")
 def p95_from_buckets(spark, sf_dir):
     done = G.latency_quantile(requests(spark, sf_dir), ["model"])
     return done.select("model", "n", F.round("quantile", 6).alias("p95"))
@@ -300,7 +300,7 @@ def burn_rate_alerts(spark, sf_dir):
 
 
 BUCKETED_SQL = f"(SELECT *, {BUCKET} AS bucket FROM {REQUESTS_SQL})"
-SERVED_BUCKETS_SQL = f"(SELECT *, {BUCKET} AS bucket FROM {SERVED_SQL})"
+SERVED_BUCKETS_SQL = f"(SELECT *, {BUCKET} AS bucket FROM {ANSWERED_SQL})"
 
 
 @query("win_10_held_for", f"""SELECT bucket, firing FROM {held_sql(p95_sql("bucket", SERVED_BUCKETS_SQL), "p95 > 30", 600, "n")}""")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -40,7 +41,10 @@ def spread(df: DataFrame, factor: int = 1) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The reliable shared folder of the cluster, or a fresh local one when none is set (tests)."""
+    """The reliable shared folder of the cluster; a fresh local one only if the master is local.
+
+    On a cluster each executor would write to its own disk, so a missing setting is an error.
+    """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
     current = context.getCheckpointDir()
@@ -49,6 +53,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
             context.setCheckpointDir(configured)
         return configured
     if current is None:
+        if not re.match(r"local(\[|$)", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         current = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         context.setCheckpointDir(current)
     return current
