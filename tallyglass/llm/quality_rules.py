@@ -151,7 +151,7 @@ def with_verdict(df: DataFrame, refs: dict, text: str = "text") -> DataFrame:
     else:
         chars = common = F.lit(0.0)
     judged_chars, judged_words = F.col("qr_word_chars") >= MIN_CHARS, F.col("qr_n_words") >= MIN_WORDS
-    df = df.withColumn("qr_hits", F.concat(F.lit(" "), F.array_join(_hits(), "  "), F.lit(" ")))
+    df = df.withColumn("qr_hits", F.array_join(F.transform(_hits(), lambda w: F.concat(F.lit(" "), w, F.lit(" "))), ""))
     df = df.withColumn("qr_p", F.when(judged_chars, _char_shares())).withColumn("qr_q", F.when(judged_words, _word_shares()))
     df = df.withColumns({
         "qr_char_distance": F.when(judged_chars, chars),
@@ -169,7 +169,46 @@ def judge(df: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
     return with_verdict(df, references(df, text, lang), text)
 
 
-@query("op10_quality_rules")
+def _sql() -> str:
+    """The same rows in DuckDB, from the definitions: windows as text, histograms by filtering lists."""
+    rest, chars = ["t"], []
+    for pattern in CLASSES:
+        quoted = pattern.replace("'", "''")
+        rest.append(f"regexp_replace({rest[-1]}, '{quoted}+', '', 'g')")
+        chars.append(f"length({rest[-2]}) - length({rest[-1]})")
+    chars.append(f"length({rest[-1]})")
+    vocabulary = ", ".join(f"'{w}'" for w in VOCABULARY)
+    known = ", ".join(f"'{x}'" for x in COMMON_WORDS)
+    js = lambda p, q: (f"sqrt(greatest(list_sum(list_transform(list_zip({p}, {q}), lambda z: "
+                       "CASE WHEN z[1] > 0 THEN z[1] * log2(z[1] / ((z[1] + z[2]) / 2)) ELSE 0 END + "
+                       "CASE WHEN z[2] > 0 THEN z[2] * log2(z[2] / ((z[1] + z[2]) / 2)) ELSE 0 END)) / 2, 0))")
+    return f"""
+WITH d AS (SELECT doc_id, lang, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM d),
+f AS (SELECT *, len(ws) AS k, length(t) AS n, [{", ".join(chars)}] AS cc,
+    list_transform([{vocabulary}], lambda v: len(list_filter(ws, lambda x: x = v))) AS vc,
+    list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM w),
+h AS (SELECT *, list_transform(cc, lambda c: c / n) AS p, list_transform(list_append(vc, k - list_sum(vc)::BIGINT), lambda c: c / k) AS q FROM f),
+rp AS (SELECT lang, list(a ORDER BY i) AS rc FROM (SELECT lang, i, avg(p[i]) AS a FROM h, unnest(range(1, {N_CLASSES + 1})) AS u(i)
+    WHERE k >= {MIN_WORDS} AND n >= {MIN_CHARS} AND lang IN ({known}) GROUP BY 1, 2) GROUP BY 1),
+rq AS (SELECT lang, list(a ORDER BY i) AS rw FROM (SELECT lang, i, avg(q[i]) AS a FROM h, unnest(range(1, {len(VOCABULARY) + 2})) AS u(i)
+    WHERE k >= {MIN_WORDS} AND n >= {MIN_CHARS} AND lang IN ({known}) GROUP BY 1, 2) GROUP BY 1),
+win AS (SELECT doc_id, i, array_to_string(ws[i:i + {WINDOW - 1}], ' ') AS g FROM w, unnest(range(1, greatest(len(ws) - {WINDOW - 2}, 1))) AS u(i)),
+dup AS (SELECT doc_id, i FROM win QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1),
+cov AS (SELECT doc_id, sum(least({WINDOW}, coalesce(nx - i, {WINDOW})))::BIGINT AS r
+    FROM (SELECT *, lead(i) OVER (PARTITION BY doc_id ORDER BY i) AS nx FROM dup) GROUP BY 1),
+js AS (SELECT doc_id, min({js("p", "rc")}) AS jc, min({js("q", "rw")}) AS jw FROM h, rp JOIN rq USING (lang) WHERE k > 0 GROUP BY 1),
+m AS (SELECT doc_id, k::BIGINT AS n_words, (n - cc[2])::BIGINT AS word_chars, cc[6]::BIGINT AS n_symbols, (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines,
+    coalesce(r, 0) AS n_repeat_words, CASE WHEN n - cc[2] >= {MIN_CHARS} THEN coalesce(jc, 0) END AS jc, CASE WHEN k >= {MIN_WORDS} THEN coalesce(jw, 0) END AS jw
+    FROM h LEFT JOIN cov USING (doc_id) LEFT JOIN js USING (doc_id))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+    n_words < {BASE_MIN_WORDS} OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+    NOT (n_words < {BASE_MIN_WORDS} OR 100 * n_repeat_words > 30 * n_words) AND NOT coalesce(jc > {MAX_CHAR_DISTANCE}, false)
+    AND NOT coalesce(jc + jw - {NOISE} / sqrt(n_words) > {MAX_SUM}, false) AS kept,
+    round(jc, 6) AS char_distance, round(jw, 6) AS word_distance FROM m"""
+
+
+@query("op10_quality_rules", _sql())
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang")
     judged = judge(docs)
