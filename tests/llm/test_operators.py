@@ -338,6 +338,25 @@ def test_fuzzy_lines(spark):
     assert {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(rows).collect()} == want
 
 
+@pytest.mark.parametrize("n", [5, 10, 20, 50])
+def test_fuzzy_lines_are_found_by_edit_similarity_alone(spark, n):
+    """Pairs of lines with nothing but their edit similarity in common; most were no candidates with 3 bits of a SimHash."""
+    rnd = random.Random(n)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    word = lambda: "".join(rnd.choice(letters) for _ in range(rnd.randint(2, 9)))
+    rows = []
+    for i in range(60):
+        x = " ".join(word() for _ in range(n))
+        y = list(x)
+        for at in rnd.sample([k for k, c in enumerate(x) if c != " "], 1 if i % 2 else max(1, len(x) // 20)):
+            y[at] = rnd.choice(letters.replace(x[at], ""))
+        if edit(x, "".join(y)) <= len(x) * 0.1 + 1e-9:
+            rows += [(2 * i, x, None, None, None), (2 * i + 1, "".join(y), None, None, None)]
+    got = {r["doc_id"]: r["ld_dropped"] for r in line_dedup.dedup_lines(frame(spark, rows)).collect()}
+    assert sum(got[k] for k in got if k % 2 == 0) == 0
+    assert sum(got[k] for k in got if k % 2) >= 0.95 * len(rows) / 2
+
+
 def test_fuzzy_line_edges(spark, odd):
     got = line_dedup.dedup_lines(odd)
     assert got.columns == [*odd.columns, "ld_lines", "ld_dropped"] and got.count() == odd.count()
