@@ -357,6 +357,14 @@ def test_fuzzy_lines_are_found_by_edit_similarity_alone(spark, n):
     assert sum(got[k] for k in got if k % 2) >= 0.95 * len(rows) / 2
 
 
+def test_a_line_of_gigabytes_in_all_occurrences(spark):
+    """Over 2^31 letters of one word in all: sums over the occurrences overflowed."""
+    line = F.repeat(F.lit("ab"), 500_000)
+    lines = spark.range(2_200, numPartitions=4).select(line.alias("line"), F.lit(7).cast("long").alias("line_id"))
+    once = line_dedup.simhashes(lines.limit(1)).collect()
+    assert line_dedup.simhashes(lines).collect() == once and len(once) == 1
+
+
 def test_fuzzy_line_edges(spark, odd):
     got = line_dedup.dedup_lines(odd)
     assert got.columns == [*odd.columns, "ld_lines", "ld_dropped"] and got.count() == odd.count()
