@@ -10,9 +10,14 @@ that two texts share in proportion to their weighted Jaccard similarity. The shi
 dealt into `BINS` bins by hash and each bin takes its own sample; an empty bin samples from the
 whole text with its own random numbers. Long texts so cost one draw a shingle.
 
+A second signature with bands of its own takes every distinct shingle alike. In a large group of near copies, or
+a small table, the shared shingles weigh less than those of each edit, so that the weighted similarity
+depends on how often a text was copied; the plain one does not. The query and the pipeline link texts if either is
+`SIMILARITY` or more; without `plain` only the weighted one counts.
+
 Groups. `ROWS` samples in a row form a band; texts that share a band are candidates, linked through
 `linking.link_buckets` (no pairs inside a group, none across groups lost), compared by the last bits of
-their samples and verified by the exact weighted Jaccard similarity of their whole texts. Equal texts are one class before that.
+their samples and verified by the exact Jaccard similarities of their whole texts. Equal texts are one class before that.
 
 Edge cases: null text counts as empty; equal texts, empty ones too, are one class. A text of fewer
 than five words has one shingle, all its words; texts without words only match their equals. The
@@ -23,6 +28,7 @@ Distinct texts are told apart by a 64-bit hash. An empty table gives an empty re
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +50,7 @@ RARE = 100
 # A pair is not verified if more than this many of the samples' last bits differ: at the least similarity
 # 6.4 of 64 are expected to, with a deviation of 2.4, so that fewer than one link in 100,000 is missed.
 MAX_BITS = 18
+SKETCHES = ("weighted", "plain")
 _DRAWS = 1 << 20  # draws held at once for empty bins
 
 
@@ -116,12 +123,18 @@ def draws(h: np.ndarray, weight: np.ndarray, salt: np.ndarray) -> tuple[np.ndarr
     return np.log(c) - r * (level - beta) - r, mix(h + mix(level.astype(np.int64).astype(np.uint64)))
 
 
-def signatures(of: np.ndarray, h: np.ndarray, weight: np.ndarray, n_texts: int, bins: int = BINS) -> np.ndarray:
-    """A row of `bins` sample codes for each text; rows of texts without shingles are zero."""
+def plain_draws(h: np.ndarray, salt: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The same for shingles of one weight, which need no levels."""
+    return _uniform(h, salt * np.uint64(8) + np.uint64(6)), mix(h)
+
+
+def signatures(of: np.ndarray, h: np.ndarray, weight: np.ndarray | None, n_texts: int, bins: int = BINS) -> np.ndarray:
+    """A row of `bins` sample codes for each text; rows of texts without shingles are zero. Without weights all count alike."""
+    drawn = lambda at, salt: plain_draws(h[at], salt) if weight is None else draws(h[at], weight[at], salt)
     out = np.zeros((n_texts, bins), np.uint64)
     filled = np.zeros((n_texts, bins), bool)
     bin_of = (mix(h) >> np.uint64(20)) % np.uint64(bins)
-    value, code = draws(h, weight, np.zeros(len(h), np.uint64))
+    value, code = drawn(slice(None), np.zeros(len(h), np.uint64))
     slot = of * bins + bin_of.astype(np.int64)
     order = np.lexsort((value, slot))
     first = np.ones(len(order), bool)
@@ -140,7 +153,7 @@ def signatures(of: np.ndarray, h: np.ndarray, weight: np.ndarray, n_texts: int,
         n = count[d]
         group = np.repeat(np.arange(len(d)), n)
         pick = np.arange(len(group)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(begin[d], n)
-        value, code = draws(h[pick], weight[pick], np.repeat(e + 1, n).astype(np.uint64))
+        value, code = drawn(pick, np.repeat(e + 1, n).astype(np.uint64))
         starts = np.cumsum(n) - n
         least = np.minimum.reduceat(value, starts)
         hit = np.flatnonzero(value == least[group])
@@ -150,30 +163,30 @@ def signatures(of: np.ndarray, h: np.ndarray, weight: np.ndarray, n_texts: int,
     return out
 
 
-def bands(sig: np.ndarray, rows: int = ROWS) -> np.ndarray:
+def bands(sig: np.ndarray, rows: int = ROWS, kind: int = 0) -> np.ndarray:
     n = sig.shape[1] // rows
     keys = np.zeros((len(sig), n), np.uint64)
     for k in range(n):
-        key = mix(np.full(len(sig), k + 1, np.uint64))
+        key = mix(np.full(len(sig), k + 1 + kind * n, np.uint64))
         for r in range(rows):
             key = mix(key * np.uint64(0x100000001B3) + sig[:, k * rows + r])
         keys[:, k] = key
     return keys
 
 
-def _signed(batches: Iterator[pa.RecordBatch], idf: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _signed(batches: Iterator[pa.RecordBatch], idf: np.ndarray, plain: bool) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids, texts = batch.column(0), batch.column(1).to_pylist()
         for a, b in in_chunks(texts):
             of, h, tf = text_shingles(texts[a:b], SHINGLE)
             weight = tf * idf[(h % np.uint64(DF_BINS)).astype(np.int64)]
-            sig = signatures(of, h, weight, b - a)
-            keys = bands(sig).view(np.int64)
-            sketch = ((sig & np.uint64(1)) << np.arange(BINS, dtype=np.uint64)).sum(axis=1, dtype=np.uint64).view(np.int64)
+            sigs = [signatures(of, h, w, b - a) for w in ((weight, None) if plain else (weight,))]
+            keys = np.concatenate([bands(sig, kind=k).view(np.int64) for k, sig in enumerate(sigs)], axis=1)
+            sketches = [((sig & np.uint64(1)) << np.arange(BINS, dtype=np.uint64)).sum(axis=1, dtype=np.uint64).view(np.int64) for sig in sigs]
             has = np.bincount(of, minlength=b - a) > 0
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(has * keys.shape[1]))), pa.int32()),
                                              pa.array(keys[has].reshape(-1)))
-            yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), lists, pa.array(sketch)], names=["id", "bands", "payload"])
+            yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), lists, *map(pa.array, sketches)], names=["id", "bands", *SKETCHES[:len(sigs)]])
 
 
 def weighted_jaccard(a: tuple, b: tuple) -> float:
@@ -185,7 +198,12 @@ def weighted_jaccard(a: tuple, b: tuple) -> float:
     return float(both / (a[1].sum() + b[1].sum() - both))
 
 
-def _verified(batches: Iterator[pa.RecordBatch], idf: np.ndarray, least: float) -> Iterator[pa.RecordBatch]:
+def plain_jaccard(a: tuple, b: tuple) -> float:
+    """The same, every hash alike."""
+    return weighted_jaccard(*((x[0], np.ones(len(x[0]))) for x in (a, b)))
+
+
+def _verified(batches: Iterator[pa.RecordBatch], idf: np.ndarray, least: float, plain: float | None) -> Iterator[pa.RecordBatch]:
     def vector(text):
         _, h, tf = text_shingles([text], SHINGLE)
         return h, tf * idf[(h % np.uint64(DF_BINS)).astype(np.int64)]
@@ -197,24 +215,27 @@ def _verified(batches: Iterator[pa.RecordBatch], idf: np.ndarray, least: float)
         for i in range(len(a)):
             if known[0] != a[i]:
                 known = (a[i], vector(ta[i]))
-            keep.append(weighted_jaccard(known[1], vector(tb[i])) >= least)
+            other = vector(tb[i])
+            keep.append(weighted_jaccard(known[1], other) >= least or plain is not None and plain_jaccard(known[1], other) >= plain)
         yield pa.RecordBatch.from_pydict({"a": [x for x, k in zip(a, keep) if k], "b": [x for x, k in zip(b, keep) if k]},
                                          schema=pa.schema([("a", pa.int64()), ("b", pa.int64())]))
 
 
 def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
-                           least: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
+                           least: float = SIMILARITY, plain: float | None = None) -> tuple[DataFrame, DataFrame]:
     """(texts, links): texts(tid, class, n_links) for each distinct text; links(a, b) between text ids.
 
-    `class` is the least text id that a text is connected to.
+    `class` is the least text id that a text is connected to. `plain` is the plain similarity that links too.
     """
     spark = docs.sparkSession
     clean = docs.select(text_id(F.col(text)).alias("tid"), F.coalesce(F.col(text), F.lit("")).alias("t"))
     counts, n_docs = document_frequencies(clean.select("t"))
     idf = spark.sparkContext.broadcast(idf_table(counts, n_docs))   # DF_BINS doubles
-    signed = materialise(clean.mapInArrow(lambda it: _signed(it, idf.value), "id long, bands array<long>, payload long"))
-    members = signed.select("id", "payload", F.explode("bands").alias("bucket")).distinct()
-    alike = lambda a, b: F.bit_count(a.bitwiseXOR(b)) <= MAX_BITS
+    kinds = SKETCHES if plain is not None else SKETCHES[:1]
+    signed = materialise(clean.mapInArrow(lambda it: _signed(it, idf.value, plain is not None), "id long, bands array<long>" + "".join(f", {k} long" for k in kinds)))
+    members = signed.select("id", F.struct(*kinds).alias("payload"), F.explode("bands").alias("bucket")).distinct()
+    near = lambda a, b, k: F.bit_count(a[k].bitwiseXOR(b[k])) <= MAX_BITS
+    alike = lambda a, b: reduce(lambda x, y: x | y, [near(a, b, k) for k in kinds])
 
     def verify(pairs: DataFrame) -> DataFrame:
         pairs = materialise(pairs)
@@ -222,7 +243,7 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text: str =
         texts = materialise(clean.join(asked, "tid", "left_semi").dropDuplicates(["tid"]))
         side = lambda n: texts.select(F.col("tid").alias(n), F.col("t").alias(f"t{n}"))
         both = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "ta", "tb")
-        return both.mapInArrow(lambda it: _verified(it, idf.value, least), "a long, b long")
+        return both.mapInArrow(lambda it: _verified(it, idf.value, least, plain), "a long, b long")
 
     links, groups = link_buckets(members, verify, alike)
     ends = links.select(F.explode(F.array("a", "b")).alias("tid")).groupBy("tid").agg(F.count("*").alias("n_links"))
@@ -231,9 +252,10 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text: str =
     return texts.select("tid", F.coalesce("root", "tid").alias("class"), F.coalesce("n_links", F.lit(0)).alias("n_links")), links
 
 
-def classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", least: float = SIMILARITY) -> DataFrame:
+def classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", least: float = SIMILARITY,
+            plain: float | None = None) -> DataFrame:
     """`id_col, tid, class_id, class_size, n_links, kept` for each row of docs; one row of a class is kept."""
-    texts, _ = near_duplicate_classes(docs, id_col, text, least)
+    texts, _ = near_duplicate_classes(docs, id_col, text, least, plain)
     rows = docs.select(F.col(id_col), text_id(F.col(text)).alias("tid"))
     texts = materialise(texts)
     named = materialise(rows.join(texts, "tid"))
@@ -244,9 +266,10 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", least:
                       ((F.col("tid") == F.col("head.t")) & F.col(id_col).eqNullSafe(F.col("head.id"))).alias("kept"))
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", least: float = SIMILARITY) -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", least: float = SIMILARITY,
+             plain: float | None = None) -> DataFrame:
     """The rows of docs that are kept: exactly one for each class, with its columns as they are."""
-    kept = classes(docs, id_col, text, least).where("kept").select(
+    kept = classes(docs, id_col, text, least, plain).where("kept").select(
         F.col("tid").alias("nd_tid"), F.col(id_col).alias("nd_id")).distinct()
     rows = docs.withColumn("nd_key", text_id(F.col(text))).join(
         kept, (F.col("nd_key") == F.col("nd_tid")) & F.col(id_col).eqNullSafe(F.col("nd_id")))
@@ -257,4 +280,4 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", least:
 @query("op4_minhash_near_dedup")
 def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
-    return classes(docs).select("doc_id", "class_id", "class_size", "n_links", "kept")
+    return classes(docs, plain=SIMILARITY).select("doc_id", "class_id", "class_size", "n_links", "kept")
