@@ -13,8 +13,9 @@ The default shares are those of the corpus, with which all queues last to the en
 hold until a queue is empty. Windows are full but for the last one. Documents are cut where packets
 or windows end; a document's pieces that stand next to each other in one window are one piece.
 
-More than `MAX_QUEUES` sources share that many queues by hash, so that the table of queues, which
-all tasks get, is bounded; every document is packed in any case.
+Of more than `MAX_QUEUES` sources those with a target keep queues of their own; the others share `MAX_QUEUES`
+queues by hash, so that the table of queues, which all tasks get, is bounded, and a shared queue has
+the sum of its sources' shares. Every document is packed in any case.
 
 Edge cases: null text counts as empty and is one separator token. A null source is a queue of its
 own. Repeated rows are packed as often as they stand there. Tokenised texts with equal sources follow
@@ -139,7 +140,9 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text: str = "text",
     spark = docs.sparkSession
     named = F.when(F.col(source).isNull(), "n").otherwise(F.concat(F.lit("s"), F.col(source).cast("string")))
     few = docs.select(named.alias("q")).distinct().limit(MAX_QUEUES + 1).count() <= MAX_QUEUES
-    queue = named if few else F.pmod(F.xxhash64(named), F.lit(MAX_QUEUES)).cast("string")
+    wanted = {f"s{k}": v for k, v in (targets or {}).items()}
+    hashed = F.concat(F.lit("h"), F.pmod(F.xxhash64(named), F.lit(MAX_QUEUES)).cast("string"))
+    queue = named if few else F.when(named.isin(list(wanted)), named).otherwise(hashed) if wanted else hashed
     rows = docs.select(F.col(text).alias("pk_text"), queue.alias("pk_queue"), F.col(id_col).alias("pk_id"))
     kind = dict(rows.dtypes)["pk_id"]
     folder = f"{checkpoint_dir(spark).rstrip('/')}/tables/{uuid.uuid4().hex}"
@@ -150,12 +153,17 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text: str = "text",
     shares = tokens.groupBy("queue", "part").agg(F.sum("n").alias("n"))     # a row for each task and queue
     before = F.coalesce(F.sum("n").over(Window.partitionBy("queue").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     base = materialise(shares.select("queue", "part", "n", before.alias("base")))
-    queues = base.groupBy("queue").agg(F.sum("n").alias("n")).orderBy("queue").collect()   # MAX_QUEUES rows at most
+    queues = base.groupBy("queue").agg(F.sum("n").alias("n")).orderBy("queue").collect()   # MAX_QUEUES rows and one for each target at most
     names = {r["queue"]: i for i, r in enumerate(queues)}
     weights = None
-    if targets and few:
+    if targets:
         least = min(targets.values())
-        weights = [targets.get(r["queue"][1:], least) for r in queues]
+        if few:
+            weights = [targets.get(r["queue"][1:], least) for r in queues]
+        else:
+            sources = docs.select(named.alias("q"), queue.alias("queue")).distinct().groupBy("queue").count()
+            n_sources = {r["queue"]: r["count"] for r in sources.collect()}     # a row for each queue
+            weights = [wanted.get(r["queue"], least * n_sources[r["queue"]]) for r in queues]
     schedule = Schedule([r["n"] for r in queues], weights, quantum)
     located = tokens.join(base.select("queue", "part", "base"), ["queue", "part"]).select(
         "id", "queue", (F.col("first") + F.col("base")).alias("first"), "n", "ids")
