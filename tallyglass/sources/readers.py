@@ -56,14 +56,35 @@ def require(spark: SparkSession, path: str) -> str:
     return path
 
 
+def hidden_pages(spark: SparkSession, root: str) -> list[tuple[str, str]]:
+    """(text, file) of the `*.md` below a folder that Spark's listing hides by a leading underscore or dot, read by the driver."""
+    jvm = spark.sparkContext._jvm
+    top = jvm.org.apache.hadoop.fs.Path(root)
+    fs = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    base = fs.makeQualified(top).toString().rstrip("/") + "/"
+    found, files = [], fs.listFiles(top, True)
+    while files.hasNext():
+        path = files.next().getPath()
+        parts = path.toString().removeprefix(base).split("/")
+        if parts[-1].endswith(".md") and any(p.startswith(".") or p.startswith("_") and "=" not in p for p in parts):
+            stream = fs.open(path)
+            try:
+                found.append((jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"), path.toString()))
+            finally:
+                stream.close()
+    return found
+
+
 def markdown_corpus(spark: SparkSession, root: str, base_url: str, prefix: str = "") -> DataFrame:
     """Every `*.md` below a folder: front-matter title, cleaned body; untitled pages and bodies
     under 400 characters are left out. The id comes from the path relative to the folder.
 
-    Spark treats file names that start with an underscore as hidden and does not list them;
-    section index pages of that form have to be exported under another name."""
+    Spark treats file names that start with an underscore as hidden and does not list them; such
+    pages (`_index.md` of each section) are read by the driver, which has to hold their texts."""
     raw = spark.read.text(require(spark, root), wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.md") \
         .select("value", F.col("_metadata.file_path").alias("file"))
+    if hidden := hidden_pages(spark, root):
+        raw = raw.union(spark.createDataFrame(hidden, raw.schema))
     base = root.rstrip("/").removeprefix("file:")
     path = F.regexp_replace("file", "^(file:)?/*" + X.re.escape(base.lstrip("/")) + "/", "")
     front = r"(?s)\A---\r?\n(.*?)\r?\n---\r?\n?"

@@ -106,3 +106,13 @@ def test_markdown_scan(spark, tmp_path):
     assert [(r.title, r.path, r.url) for r in rows] == [("A page", "a/page.md", "https://x.org/a/page/")]
     with pytest.raises(FileNotFoundError):
         readers.saved_documents(spark, str(tmp_path / "nothing"))
+
+
+def test_section_index_pages_are_read(spark, tmp_path):
+    body = "text " * 100
+    (tmp_path / "docs" / "a").mkdir(parents=True)
+    for name in ("_index.md", "page.md"):
+        (tmp_path / "docs" / "a" / name).write_text(f"---\ntitle: {name}\n---\n{body}é")
+    rows = readers.markdown_corpus(spark, str(tmp_path / "docs"), "https://x.org").collect()
+    assert {(r.title, r.path, r.url) for r in rows} == {("_index.md", "a/_index.md", "https://x.org/a/"), ("page.md", "a/page.md", "https://x.org/a/page/")}
+    assert {r.content[-1] for r in rows} == {"é"}
