@@ -3,7 +3,7 @@
 import importlib
 
 OPERATORS = ("quality_rules", "bpe", "quality_classifier", "toxicity", "minhash", "line_dedup", "packing",
-             "token_counts", "fingerprint", "warc")
+             "token_counts", "fingerprint", "warc", "decontamination")
 
 
 def load_all() -> None:
