@@ -3,7 +3,7 @@
 import importlib
 
 OPERATORS = ("quality_rules", "bpe", "quality_classifier", "toxicity", "minhash", "line_dedup", "packing",
-             "token_counts", "fingerprint", "warc", "decontamination")
+             "token_counts", "fingerprint", "warc", "decontamination", "conversations", "collocations")
 
 
 def load_all() -> None:
