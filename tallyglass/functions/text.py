@@ -52,7 +52,8 @@ def search_tokens(text) -> Column:
     parts = F.flatten(F.transform(
         camel, lambda word: F.transform(
             F.regexp_extract_all(word, F.lit("[A-Z]?[a-z0-9]+"), F.lit(0)), F.lower)))
-    return F.concat(plain, parts)
+    # Most texts have no capital inside a word; one plain scan tells.
+    return F.when(text.rlike("[A-Za-z0-9][A-Z]"), F.concat(plain, parts)).otherwise(plain)
 
 
 def distinct_terms(text, min_chars: int = 3) -> Column:

@@ -1,8 +1,6 @@
-"""Rankings: exact and approximate vector search, BM25, fusion, reranking, gated search.
+"""What is done with rankings: fusion, reranking, gated and two-source search.
 
-A ranking is a DataFrame of (query_id, rank, id, score). Corpus rows are never paired with each
-other: the query side is the small one. It is broadcast in blocks of a fixed number of queries,
-and a larger query set simply means more passes.
+A ranking is a DataFrame of (query_id, rank, id, score); `vectors` and `lexical` make them.
 """
 
 from __future__ import annotations
@@ -12,262 +10,12 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
-from pyspark.ml.feature import BucketedRandomProjectionLSH
-from pyspark.ml.functions import array_to_vector
-from pyspark.sql import Column, DataFrame, Window, functions as F
-from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import fixed_values as V
 from ..functions import text as X
-from ..functions.arrays import unfold, unfold_structs
 from ..session import materialise
-
-QUERY_BLOCK = 1024        # queries held by a task at once
-SCORE_DIGITS = 9          # copies of a text must tie, whatever order their terms were summed in
-SMALL_TERMS = 500_000     # most query terms a broadcast may hold
-SMALL_SIDE_ROWS = 50_000  # most rows a broadcast side may have
-
-
-def small_side(df: DataFrame, limit: int = SMALL_SIDE_ROWS) -> DataFrame:
-    """Mark a side for broadcast only when it has at most `limit` rows; otherwise the optimiser
-    plans a shuffled join with its own skew handling."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
-
-
-def rank_rows(df: DataFrame, by: str, order: list[Column], k: int | None = None) -> DataFrame:
-    """Number rows within `by`; with `k` the limit is applied before and after the shuffle."""
-    ranked = df.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(*order)))
-    return ranked.filter(F.col("rank") <= k) if k is not None else ranked
-
-
-# ------------------------------------------------------------- dense search
-
-class _BestRows:
-    """The best k (score, id) of one query over everything a task has seen."""
-
-    def __init__(self, k: int):
-        self.k, self.scores, self.ids = k, None, None
-
-    def add(self, scores: np.ndarray, ids: np.ndarray):
-        if self.scores is not None:
-            scores, ids = np.concatenate([self.scores, scores]), np.concatenate([self.ids, ids])
-        if len(scores) > self.k:
-            floor = np.partition(scores, len(scores) - self.k)[len(scores) - self.k]
-            near = scores >= floor
-            scores, ids = scores[near], ids[near]
-        order = np.lexsort((ids, -scores))[:self.k]
-        self.scores, self.ids = scores[order], ids[order]
-
-
-def _matrix(column: pa.Array) -> np.ndarray:
-    """A list column of equal lengths as a float64 matrix, without a Python loop."""
-    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    if len(column) and len(flat) % len(column):
-        raise ValueError("vectors of different lengths in one corpus")
-    return flat.reshape(len(column), -1)
-
-
-def exact_search(corpus: DataFrame, queries: DataFrame, k: int, *, id_col: str, vector: str,
-                 query_id: str, query_vector: str, block: int = QUERY_BLOCK) -> DataFrame:
-    """Exact nearest neighbours by inner product of unit vectors, best first, ties by id.
-
-    Each task multiplies its Arrow batches with one block of queries and keeps k rows per query,
-    so only tasks x queries x k rows are shuffled, whatever the corpus size.
-    """
-    n_queries = queries.count()
-    n_blocks = max(1, -(-n_queries // block))
-    types = {f.name: f.dataType for f in queries.select(query_id).schema.fields
-             + corpus.select(id_col).schema.fields}
-    from pyspark.sql import types as T
-    schema = T.StructType([T.StructField("query_id", types[query_id]),
-                           T.StructField("id", types[id_col]),
-                           T.StructField("score", T.DoubleType())])
-    arrow = to_arrow_schema(schema)
-    side = corpus.filter(F.col(vector).isNotNull() & (F.size(vector) > 0)).select(
-        F.col(id_col).alias("id"), F.col(vector).alias("v"))
-    context = corpus.sparkSession.sparkContext
-    passes = []
-    for number in range(n_blocks):
-        chosen = queries if n_blocks == 1 else queries.filter(
-            F.pmod(F.xxhash64(query_id), F.lit(n_blocks)) == number)
-        rows = chosen.select(query_id, query_vector).collect()  # one block: a fixed number of rows
-        if not rows:
-            continue
-        held = context.broadcast((
-            [r[0] for r in rows], np.array([r[1] for r in rows], dtype=np.float64)))
-
-        def best(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            names, matrix = held.value
-            kept = [_BestRows(k) for _ in names]
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                vectors = _matrix(batch.column(1))
-                if vectors.shape[1] != matrix.shape[1]:
-                    raise ValueError(f"corpus vectors have {vectors.shape[1]} values, "
-                                     f"query vectors {matrix.shape[1]}")
-                ids = np.array(batch.column(0).to_pylist())
-                scores = np.round(matrix @ vectors.T, SCORE_DIGITS)
-                for row, best_rows in enumerate(kept):
-                    best_rows.add(scores[row], ids)
-            out = [(name, i, s) for name, rows in zip(names, kept) if rows.ids is not None
-                   for i, s in zip(rows.ids.tolist(), rows.scores.tolist())]
-            if out:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, type=f.type) for c, f in zip(zip(*out), arrow)], schema=arrow)
-
-        passes.append(side.mapInArrow(best, schema))
-    if not passes:
-        return corpus.sparkSession.createDataFrame([], schema).withColumn("rank", F.lit(0))
-    partial = reduce(DataFrame.unionByName, passes)
-    return rank_rows(partial, "query_id", [F.desc("score"), F.asc("id")], k)
-
-
-def side_search(queries: DataFrame, side: DataFrame, k: int, *, query_id: str, query_vector: str,
-                id_col: str, vector: str, digits: int = 4) -> DataFrame:
-    """Cosine search of many queries over a small side corpus (at most one query block of rows).
-
-    Rows are scored where they are: no shuffle at all. A larger side corpus goes through
-    `exact_search`, which passes over it in blocks.
-    """
-    rows = side.select(id_col, vector).limit(QUERY_BLOCK + 1).collect()
-    if len(rows) > QUERY_BLOCK:
-        found = exact_search(side, queries, k, id_col=id_col, vector=vector,
-                             query_id=query_id, query_vector=query_vector)
-        return found.withColumn("score", F.round("score", digits))
-    rows.sort(key=lambda r: r[0])
-    items = F.array(*[F.struct(F.lit(r[0]).alias("id"),
-                               F.array(*[F.lit(float(x)) for x in r[1]]).alias("v")) for r in rows])
-    scored = queries.select(F.col(query_id).alias("query_id"), F.transform(items, lambda item: F.struct(
-        F.aggregate(F.zip_with(item["v"], F.col(query_vector), lambda a, b: a * b.cast("double")),
-                    F.lit(0.0), lambda total, x: total + x).alias("score"),
-        item["id"].alias("id"))).alias("scored"))
-    best = F.slice(F.array_sort("scored", lambda a, b: F.when(a["score"] > b["score"], -1)
-                                .when(a["score"] < b["score"], 1)
-                                .when(a["id"] < b["id"], -1).when(a["id"] > b["id"], 1).otherwise(0)), 1, k)
-    rows_out = unfold(scored, best, ["query_id"], item="hit", position="rank")
-    return rows_out.select("query_id", (F.col("rank") + 1).alias("rank"), F.col("hit.id").alias("id"),
-                           F.round("hit.score", digits).alias("score"))
-
-
-def approximate_search(corpus: DataFrame, queries: DataFrame, k: int, *, id_col: str, vector: str,
-                       query_id: str, query_vector: str, bucket_length: float = 0.5,
-                       tables: int = 8, distance: float = 1.5, seed: int = 42) -> DataFrame:
-    """Approximate neighbours: random-projection buckets joined by equality, then exact scores."""
-    as_vector = lambda c: array_to_vector(F.col(c).cast("array<double>"))
-    side = corpus.filter(F.col(vector).isNotNull()).select(
-        F.col(id_col).alias("id"), as_vector(vector).alias("unit"), F.col(vector).alias("v"))
-    asked = queries.select(F.col(query_id).alias("query_id"), as_vector(query_vector).alias("unit"),
-                           F.col(query_vector).alias("q"))
-    model = BucketedRandomProjectionLSH(
-        inputCol="unit", outputCol="buckets", bucketLength=bucket_length, numHashTables=tables,
-        seed=seed).fit(side)
-    hashed = lambda df: model.transform(df).drop("unit")
-    bucket = lambda df: unfold(
-        df, F.transform("buckets", lambda b: vector_first(b)), [c for c in df.columns if c != "buckets"],
-        item="bucket", position="table")
-    left = bucket(hashed(asked).select("query_id", "buckets"))
-    right = bucket(hashed(side).select("id", "buckets"))
-    pairs = small_side(left).join(right, ["table", "bucket"]).select("query_id", "id").distinct()
-    dot = F.aggregate(F.zip_with("v", "q", lambda a, b: a.cast("double") * b.cast("double")),
-                      F.lit(0.0), lambda total, x: total + x)
-    scored = pairs.join(side.select("id", "v"), "id").join(
-        small_side(asked.select("query_id", "q")), "query_id")
-    scored = scored.select("query_id", "id", dot.alias("score"))
-    near = scored.filter(2 - 2 * F.col("score") <= distance * distance)
-    return rank_rows(near, "query_id", [F.desc("score"), F.asc("id")], k)
-
-
-def vector_first(vector: Column) -> Column:
-    from pyspark.ml.functions import vector_to_array
-
-    return vector_to_array(vector)[0].cast("long")
-
-
-# -------------------------------------------------------------------- BM25
-
-def postings(chunks: DataFrame, id_col: str, text: str) -> DataFrame:
-    """(id, term, tf, dl) of every chunk, counted inside the chunk's own row: no shuffle.
-
-    The sorted tokens are cut where the term changes. Each chunk also yields one row with the
-    empty term and tf = dl, which carries the chunk count and length into the statistics.
-    """
-    tokens = chunks.select(F.col(id_col).alias("id"), F.sort_array(X.search_tokens(text)).alias("sorted"))
-    n = F.size("sorted")
-    starts = F.filter(F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>")),
-                      lambda i: ~F.get("sorted", i - 1).eqNullSafe(F.get("sorted", i - 2)))
-    cut = tokens.select("id", "sorted", starts.alias("starts"))
-    counted = F.transform("starts", lambda first, j: F.struct(
-        F.element_at("sorted", first).alias("term"),
-        (F.coalesce(F.get("starts", j + 1), n + 1) - first).alias("tf"), n.alias("dl")))
-    size = F.array(F.struct(F.lit("").alias("term"), n.alias("tf"), n.alias("dl")))
-    return unfold_structs(cut, F.concat(counted, size), ["id"])
-
-
-def query_terms(queries: DataFrame, query_id: str, text: str) -> DataFrame:
-    """(query_id, term, qtf): a repeated query word counts as often as it occurs."""
-    rows = unfold(queries, X.search_tokens(text), [F.col(query_id).alias("query_id")], item="term")
-    return rows.groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
-
-
-def corpus_statistics(posted: DataFrame) -> DataFrame:
-    """(term, df, idf, avg_dl, mean_idf) of the whole vocabulary from one pass over the postings.
-
-    A term that occurs in most chunks is counted map-side first, so it is one row per task in the
-    shuffle. The frequencies are written once, because three branches below read them.
-    """
-    frequency = materialise(posted.groupBy("term").agg(
-        F.count("*").alias("df"), F.sum("tf").alias("total")))
-    # The row of the empty term is the only one kept here: two constants for every term.
-    sizes = frequency.filter("term = ''").select(
-        F.col("df").alias("n_chunks"), F.try_divide("total", "df").alias("avg_dl"))
-    idf = F.log((F.col("n_chunks") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weighted = frequency.filter("term <> ''").join(F.broadcast(sizes)).withColumn("idf", idf)
-    return weighted.join(F.broadcast(weighted.agg(F.avg("idf").alias("mean_idf"))))
-
-
-def bm25_parts(chunks: DataFrame, queries: DataFrame, *, id_col: str, text: str, query_id: str,
-               query: str, k1: float = V.BM25_K1, b: float = V.BM25_B,
-               epsilon: float = V.BM25_EPSILON) -> DataFrame:
-    """(query_id, id, part): the Okapi BM25 contribution of every shared term.
-
-    A negative idf is replaced by a quarter of the mean idf of the whole vocabulary.
-    """
-    posted = postings(chunks, id_col, text)
-    asked = query_terms(queries, query_id, query)
-    small = asked.limit(SMALL_TERMS + 1).count() <= SMALL_TERMS
-    weights = corpus_statistics(posted).select("term", "avg_dl", F.when(
-        F.col("idf") < 0, epsilon * F.col("mean_idf")).otherwise(F.col("idf")).alias("idf"))
-    # The vocabulary is cut down to the query terms before anything else is joined to it.
-    asked = weights.join(F.broadcast(asked) if small else asked, "term")
-    # The chunk side is not shuffled for this join while the query terms are few.
-    matched = posted.join(F.broadcast(asked) if small else asked, "term")
-    part = F.col("qtf") * F.col("idf") * F.col("tf") * (k1 + 1) / (
-        F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avg_dl")))
-    return matched.select("query_id", "id", part.alias("part"))
-
-
-def bm25_search(chunks: DataFrame, queries: DataFrame, k: int, *, id_col: str, text: str,
-                query_id: str, query: str, fill: bool = True, **options) -> DataFrame:
-    """Top k chunks per query; ties keep corpus order, which is the order of `id_col`.
-
-    The terms of a chunk are summed inside the task that read it, and k rows per task and query
-    survive to the ranking. The published ranking orders *every* chunk, so a query with fewer
-    than k matches is filled up with zero-score chunks in corpus order: the first k chunks enter
-    every query's sum with a part of zero, which is always enough.
-    """
-    parts = bm25_parts(chunks, queries, id_col=id_col, text=text, query_id=query_id, query=query,
-                       **options)
-    if fill:
-        first = chunks.select(F.col(id_col).alias("id")).orderBy("id").limit(k) \
-            .agg(F.collect_list("id").alias("first"))  # k ids
-        spare = queries.select(F.col(query_id).alias("query_id")).join(F.broadcast(first))
-        zeros = unfold(spare, "first", ["query_id"], item="id").withColumn("part", F.lit(0.0))
-        parts = parts.unionByName(zeros)
-    scored = parts.groupBy("query_id", "id").agg(F.round(F.sum("part"), SCORE_DIGITS).alias("score"))
-    return rank_rows(scored, "query_id", [F.desc("score"), F.asc("id")], k)
+from .blocks import rank_rows
 
 
 # --------------------------------------------------------- fusion and rerank
@@ -332,19 +80,7 @@ def collapse(ranking: DataFrame, doc: str = "doc_id") -> DataFrame:
     return rank_rows(best, "query_id", [F.asc("_best")]).drop("_best")
 
 
-# ------------------------------------------------------- keyword and gated
-
-def keyword_search(corpus: DataFrame, queries: DataFrame, n: int, *, id_col: str, text: str,
-                   query_id: str, query: str, order: str | None = None) -> DataFrame:
-    """Rank by the number of distinct shared terms over two characters; no overlap, no row."""
-    order = order or id_col
-    terms = unfold(corpus, X.distinct_terms(text), [
-        F.col(id_col).alias("id"), F.col(order).alias("_order")], item="term")
-    asked = unfold(queries, X.distinct_terms(query), [F.col(query_id).alias("query_id")], item="term")
-    matched = terms.join(small_side(asked, SMALL_TERMS), "term")
-    scored = matched.groupBy("query_id", "id", "_order").agg(F.count("*").alias("score"))
-    return rank_rows(scored, "query_id", [F.desc("score"), F.asc("_order")], n).drop("_order")
-
+# ------------------------------------------------------------------- gated
 
 def gated(ranking: DataFrame, n: int, floor: float = V.COSINE_FLOOR, doc: str = "doc_id",
           similarity: str = "similarity") -> DataFrame:
@@ -374,5 +110,6 @@ def two_source_search(vector_hits: DataFrame, keyword_hits: DataFrame, reference
     remote = reference.select("query_id", "rank", "id", F.col("score").cast("double")) \
         .withColumn("retrieval", F.lit("hybrid")).withColumn("source", F.lit("reference"))
     answered = remote.select("query_id").distinct().withColumn("note", F.lit("background only"))
-    both = local.unionByName(remote).join(answered, "query_id", "left")
+    # Written before it is joined: a few rows per query, which two branches read.
+    both = materialise(local.unionByName(remote)).join(answered, "query_id", "left")
     return both.withColumn("note", F.coalesce("note", F.lit("no reference was close enough")))

@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from .. import fixed_values as V
 from ..functions import text as X
-from ..operators import chunking as C, embedding as E, ranking_metrics as M, retrieval as R
-from ..session import spread
+from ..operators import chunking as C, embedding as E, lexical as L, ranking_metrics as M, retrieval as R, vectors as N
+from ..session import materialise, spread
 from .corpus import FIXED_SQL, document_corpus
 from .registry import query, table
 from .sql_text import collapse, q, strip
@@ -44,7 +44,7 @@ DENSE_SQL = f"""{PROTO_SQL},
 
 
 def dense_ranking(spark, sf_dir, k=V.FUSION_DEPTH):
-    return R.exact_search(vectors(spark, sf_dir), label_queries(spark, sf_dir), k, id_col="vec_id",
+    return N.exact_search(vectors(spark, sf_dir), label_queries(spark, sf_dir), k, id_col="vec_id",
                           vector="embedding", query_id="query_id", query_vector="prototype")
 
 
@@ -61,16 +61,70 @@ def top_k(spark, sf_dir):
     return dense_ranking(spark, sf_dir, 10).select("query_id", "rank", "id")
 
 
+@query("ret_01_within_strategy", f"""WITH {PROTO_SQL}
+    SELECT query_id, id, round(score, 6) AS score, rank FROM (
+      SELECT query_id, vec_id AS id, round(list_inner_product(embedding::DOUBLE[], prototype), 9) AS score,
+             row_number() OVER (PARTITION BY query_id
+               ORDER BY round(list_inner_product(embedding::DOUBLE[], prototype), 9) DESC, vec_id)::INT AS rank
+      FROM embeddings, protos WHERE label % 2 = 1) WHERE rank <= {V.EVAL_DEPTH}""")
+def within_strategy(spark, sf_dir):
+    """Search inside one chunking strategy; odd labels stand in for the vectors of one."""
+    corpus = vectors(spark, sf_dir).withColumn("strategy", F.when(F.col("label") % 2 == 1, "header").otherwise("fixed"))
+    found = N.exact_search(corpus, label_queries(spark, sf_dir), V.EVAL_DEPTH, id_col="vec_id", vector="embedding", query_id="query_id",
+                           query_vector="prototype", where=F.col("strategy") == "header")
+    return found.withColumn("score", F.round("score", 6))
+
+
+def cell_hits(spark, sf_dir, k=10):
+    """(approximate hits, exact hits) of every vector whose id is divisible by 100, over all vectors.
+
+    The number of cells to read is fitted on other vectors (ids that leave 50), 200 at most; a twentieth
+    of the corpus, `RESCORE` at least, is scored exactly.
+    """
+    corpus = materialise(vectors(spark, sf_dir))
+    index = N.build_cell_index(corpus, id_col="vec_id", vector="embedding")
+    names = dict(query_id="query_id", query_vector="q")
+    pick = lambda n: corpus.filter(F.col("vec_id") % 100 == n).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    probes = N.tune_probes(index, pick(50), k, **names)
+    near = N.cell_search(index, pick(0), k, probes=probes, rescore=max(RESCORE, int(index.sizes.sum()) // 20), **names)
+    exact = N.exact_search(corpus, pick(0), k, id_col="vec_id", vector="embedding", **names)
+    return near, exact, int(index.sizes.sum())
+
+
+RESCORE = 50
+
+
 @query("ret_02_approximate_search")
 def approximate(spark, sf_dir):
-    """Recall of the bucketed search against the exact one, per query."""
-    asked = label_queries(spark, sf_dir).cache()
-    corpus = vectors(spark, sf_dir)
-    options = dict(id_col="vec_id", vector="embedding", query_id="query_id", query_vector="prototype")
-    right = R.exact_search(corpus, asked, 10, **options).select("query_id", "id")
-    near = R.approximate_search(corpus, asked, 10, **options).select("query_id", "id", F.lit(1).alias("hit"))
-    return right.join(near, ["query_id", "id"], "left").groupBy("query_id").agg(
+    """Per query: the share of its true neighbours found, of the corpus read as codes, and of the corpus scored exactly."""
+    near, exact, n = cell_hits(spark, sf_dir)
+    hit = near.select("query_id", "id", F.lit(1).alias("hit"))
+    recall = exact.select("query_id", "id").join(hit, ["query_id", "id"], "left").groupBy("query_id").agg(
         (F.count("hit") / F.count("*")).alias("recall_at_10"))
+    shares = near.groupBy("query_id").agg((F.first("n_read") / n).alias("read_share"), (F.first("n_rescored") / n).alias("candidate_share"))
+    return recall.join(shares, "query_id")
+
+
+@query("ret_02_rescored_hits", """
+    WITH asked AS (SELECT vec_id AS query_id, embedding AS q FROM embeddings WHERE vec_id % 100 = 0),
+      scored AS (SELECT query_id, vec_id AS id, round(list_inner_product(embedding::DOUBLE[], q::DOUBLE[]), 9) AS score FROM asked, embeddings),
+      ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM scored)
+    SELECT query_id, 10::BIGINT AS n_hits, max(CASE WHEN rank = 1 THEN id END) AS nearest, round(max(score), 6) AS best_score,
+           0::BIGINT AS wrong_scores, (SELECT true) AS recall_reached, true AS share_kept
+    FROM ranked GROUP BY query_id""")
+def rescored_hits(spark, sf_dir):
+    """The hits' scores against plain inner products, and whether mean recall of 0.9 and a share of 0.2 hold."""
+    near, exact, n = cell_hits(spark, sf_dir)
+    near, exact = materialise(near), materialise(exact)
+    corpus = vectors(spark, sf_dir)
+    pair = near.join(corpus.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v")), "id").join(
+        corpus.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), "query_id")
+    dot = F.aggregate(F.zip_with("v", "q", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda s, x: s + x)
+    wrong = F.sum((F.abs(dot - F.col("score")) > 1e-8).cast("long"))
+    recall = exact.join(near.select("query_id", "id"), ["query_id", "id"], "left_semi").count() / max(1, exact.count())
+    return pair.groupBy("query_id").agg(
+        F.count("*").alias("n_hits"), F.min_by("id", "rank").alias("nearest"), F.round(F.max("score"), 6).alias("best_score"),
+        wrong.alias("wrong_scores"), F.lit(recall >= 0.9).alias("recall_reached"), (F.max("n_rescored") <= 0.2 * n).alias("share_kept"))
 
 
 # ----------------------------------------------------------------- metrics
@@ -184,10 +238,10 @@ def retrieved_and_relevant(spark, sf_dir):
     SELECT query_id, rank, id, score FROM (
       SELECT vec_id AS query_id, query_id AS id, round(list_inner_product(prototype, embedding::DOUBLE[]), 4) AS score,
              row_number() OVER (PARTITION BY vec_id
-               ORDER BY list_inner_product(prototype, embedding::DOUBLE[]) DESC, query_id)::INT AS rank
+               ORDER BY round(list_inner_product(prototype, embedding::DOUBLE[]), 9) DESC, query_id)::INT AS rank
       FROM embeddings, protos) WHERE rank <= 3""")
 def side_corpus(spark, sf_dir):
-    return R.side_search(vectors(spark, sf_dir), label_queries(spark, sf_dir), 3, query_id="vec_id",
+    return N.side_search(vectors(spark, sf_dir), label_queries(spark, sf_dir), 3, query_id="vec_id",
                          query_vector="embedding", id_col="query_id", vector="prototype")
 
 
@@ -202,16 +256,12 @@ def text_queries(spark, sf_dir):
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 
 
-PLACES = 1_000_000  # ordinals per document
-
-
 def lexical_ranking(spark, sf_dir, k=V.FUSION_DEPTH):
-    # Corpus order as one integer, which is cheaper to group and sort by than a struct.
-    chunks = chunk_table(spark, sf_dir).select((F.col("doc_id") * PLACES + F.col("ordinal")).alias("place"), "content")
-    found = R.bm25_search(chunks, text_queries(spark, sf_dir), k, id_col="place", text="content",
+    # Corpus order is the order of (document, ordinal).
+    chunks = chunk_table(spark, sf_dir).select(F.struct("doc_id", "ordinal").alias("place"), "content")
+    found = L.bm25_search(chunks, text_queries(spark, sf_dir), k, id_col="place", text="content",
                           query_id="query_id", query="query")
-    return found.select("query_id", "rank", F.expr(f"id div {PLACES}").alias("doc_id"),
-                        (F.col("id") % PLACES).cast("int").alias("ordinal"), "score")
+    return found.select("query_id", "rank", "id.doc_id", "id.ordinal", "score")
 
 
 def bm25_sql(chunks: str, queries: str, k: int) -> str:
@@ -265,26 +315,30 @@ def hydrate(spark, sf_dir):
                        F.col("id.ordinal").alias("ordinal"), F.md5("content").alias("digest"))
 
 
-# Fusion needs both legs on one id space: label L asks with its mean vector and with the text of
-# benchmark item L; ids are vec_id = doc_id.
-FUSION_QUERIES_SQL = """SELECT item_id AS query_id, text FROM benchmark
-    WHERE item_id IN (SELECT label FROM embeddings)"""
-FUSION_SQL = DENSE_SQL + "," + bm25_sql(
-    "SELECT doc_id, 0 AS ordinal, text FROM documents", FUSION_QUERIES_SQL, V.FUSION_DEPTH) + f""",
+# Fusion needs both legs on one id space. The tables have no vectors of texts: item i asks with its text and
+# with the mean vector of label i % 10; ids are vec_id = doc_id.
+ITEM_LABELS = 10
+FUSION_SQL = DENSE_SQL + "," + bm25_sql("SELECT doc_id, 0 AS ordinal, text FROM documents", QUERIES_SQL, V.FUSION_DEPTH) + f""",
+  dense_items AS (SELECT item_id AS query_id, id, rank FROM dense JOIN benchmark ON item_id % {ITEM_LABELS} = dense.query_id),
   fused AS (SELECT query_id, id, d.rank AS dr, l.rank AS lr,
       coalesce(1.0::DOUBLE / ({V.RRF_K} + d.rank), 0) + coalesce(1.0::DOUBLE / ({V.RRF_K} + l.rank), 0) AS score
-    FROM (SELECT query_id, id, rank FROM dense) d
-    FULL JOIN (SELECT query_id, doc_id AS id, rank FROM lexical) l USING (query_id, id)),
+    FROM dense_items d FULL JOIN (SELECT query_id, doc_id AS id, rank FROM lexical) l USING (query_id, id)),
   ranked AS (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id
       ORDER BY score DESC, dr NULLS LAST, lr NULLS LAST, id)::INT AS rank FROM fused)"""
 
 
+def item_vectors(spark, sf_dir):
+    """Every benchmark item with the vector it asks with."""
+    labels = label_queries(spark, sf_dir).select(F.col("query_id").alias("label"), "prototype")
+    items = text_queries(spark, sf_dir).select("query_id", (F.col("query_id") % ITEM_LABELS).cast("int").alias("label"))
+    return items.join(labels, "label").select("query_id", "prototype")
+
+
 def fusion_legs(spark, sf_dir):
-    dense = dense_ranking(spark, sf_dir)
-    labels = vectors(spark, sf_dir).select(F.col("label").alias("query_id")).distinct()
-    asked = text_queries(spark, sf_dir).join(labels, "query_id", "left_semi")
+    dense = N.exact_search(vectors(spark, sf_dir), item_vectors(spark, sf_dir), V.FUSION_DEPTH, id_col="vec_id",
+                           vector="embedding", query_id="query_id", query_vector="prototype")
     docs = spread(table(spark, sf_dir, "documents", "doc_id", "text"))
-    lexical = R.bm25_search(docs, asked, V.FUSION_DEPTH, id_col="doc_id", text="text",
+    lexical = L.bm25_search(docs, text_queries(spark, sf_dir), V.FUSION_DEPTH, id_col="doc_id", text="text",
                             query_id="query_id", query="query")
     return dense, lexical
 
@@ -334,45 +388,60 @@ KEYWORD_SQL = f"""
 @query("ret_09_keyword_overlap", KEYWORD_SQL)
 def keyword_overlap(spark, sf_dir):
     docs = spread(table(spark, sf_dir, "documents", "doc_id", "text"))
-    found = R.keyword_search(docs, text_queries(spark, sf_dir), 3, id_col="doc_id", text="text",
+    found = L.keyword_search(docs, text_queries(spark, sf_dir), 3, id_col="doc_id", text="text",
                              query_id="query_id", query="query")
     return found.select("query_id", "id", "score", "rank")
 
 
 GATED_FLOOR = 0.3  # the driver's vectors are spread wider than a language model's
+HITS_SQL = f"""
+  hits AS (SELECT ranked.query_id, ranked.rank, ranked.id, e.label,
+      round(list_inner_product(e.embedding::DOUBLE[], p.prototype), 9) AS similarity
+    FROM ranked JOIN embeddings e ON e.vec_id = ranked.id JOIN protos p ON p.query_id = ranked.query_id % {ITEM_LABELS}
+    WHERE ranked.rank <= {3 * V.GATED_FETCH_FACTOR}),
+  open_hits AS (SELECT * FROM hits WHERE similarity >= {GATED_FLOOR})"""
+
+
+def fused_hits(spark, sf_dir):
+    """The first hits in fused order, four times the limit, with the cosine between query and hit."""
+    fused = R.hybrid(*fusion_legs(spark, sf_dir), 3 * V.GATED_FETCH_FACTOR).select("query_id", "rank", "id")
+    rows = vectors(spark, sf_dir).select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"), "label")
+    dot = F.aggregate(F.zip_with("v", "prototype", lambda a, b: a.cast("double") * b), F.lit(0.0), lambda s, x: s + x)
+    return fused.join(rows, "id").join(item_vectors(spark, sf_dir), "query_id").select(
+        "query_id", "rank", "id", "label", F.round(dot, 9).alias("similarity"))
 
 
-@query("ret_11_gated_search", f"""WITH {DENSE_SQL},
-    kept AS (SELECT query_id, rank, score, id, label AS doc FROM dense WHERE rank <= 12 AND score >= {GATED_FLOOR}),
-    single AS (SELECT query_id, doc, min(rank) AS first, arg_min(score, rank) AS similarity FROM kept GROUP BY query_id, doc)
+@query("ret_11_gated_search", f"""WITH {FUSION_SQL}, {HITS_SQL},
+    single AS (SELECT query_id, label AS doc, min(rank) AS first, arg_min(similarity, rank) AS similarity FROM open_hits GROUP BY query_id, label)
     SELECT * FROM (SELECT query_id, doc, round(similarity, 4) AS similarity,
       row_number() OVER (PARTITION BY query_id ORDER BY first)::INT AS rank FROM single) WHERE rank <= 3""")
 def gated_search(spark, sf_dir):
-    """Four times the limit is fetched, gated by cosine, then one row per label remains."""
-    fetched = dense_ranking(spark, sf_dir, 3 * V.GATED_FETCH_FACTOR)
-    labelled = fetched.join(vectors(spark, sf_dir).select(F.col("vec_id").alias("id"), F.col("label").alias("doc")), "id")
-    kept = R.gated(labelled.withColumnRenamed("score", "similarity"), 3, GATED_FLOOR, doc="doc")
-    return kept.select("query_id", "doc", F.round("similarity", 4).alias("similarity"), "rank")
+    """Ranked by fusion, gated by cosine, then one row per label remains."""
+    kept = R.gated(fused_hits(spark, sf_dir), 3, GATED_FLOOR, doc="label")
+    return kept.select("query_id", F.col("label").alias("doc"), F.round("similarity", 4).alias("similarity"), "rank")
 
 
-@query("ret_12_two_source_search", f"""WITH {DENSE_SQL},
+@query("ret_12_two_source_search", f"""WITH {FUSION_SQL}, {HITS_SQL},
     words AS ({KEYWORD_SQL}),
     have AS (SELECT item_id AS query_id, item_id IN (SELECT label FROM embeddings) AS has_vector FROM benchmark),
     env AS (SELECT query_id, rank, id, score, 'semantic' AS retrieval FROM dense JOIN have USING (query_id) WHERE has_vector AND rank <= 3
       UNION ALL SELECT query_id, rank, id, score::DOUBLE, 'keyword' FROM words JOIN have USING (query_id) WHERE NOT has_vector),
-    ref AS (SELECT query_id, rank, id, score FROM dense WHERE rank <= 3 AND score >= {GATED_FLOOR}),
+    ref AS (SELECT * FROM (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY rank)::INT AS rank, id, similarity AS score
+      FROM open_hits) WHERE rank <= 3),
     both_sides AS (SELECT *, 'environment' AS source FROM env UNION ALL SELECT *, 'hybrid', 'reference' FROM ref)
     SELECT query_id, rank, id, round(score, 4) AS score, retrieval, source,
       CASE WHEN query_id IN (SELECT query_id FROM ref) THEN 'background only' ELSE 'no reference was close enough' END AS note
     FROM both_sides""")
 def two_source(spark, sf_dir):
+    """Environment hits by vector where an item has one of its own, by words elsewhere; reference hits are the gated hybrid ones."""
     docs = spread(table(spark, sf_dir, "documents", "doc_id", "text"))
     asked = text_queries(spark, sf_dir)
-    by_word = R.keyword_search(docs, asked, 3, id_col="doc_id", text="text", query_id="query_id", query="query")
+    by_word = L.keyword_search(docs, asked, 3, id_col="doc_id", text="text", query_id="query_id", query="query")
     by_vector = dense_ranking(spark, sf_dir, 3)
     labels = vectors(spark, sf_dir).select(F.col("label").alias("query_id")).distinct().withColumn("known", F.lit(True))
     have = asked.join(labels, "query_id", "left").select("query_id", F.coalesce("known", F.lit(False)).alias("has_vector"))
-    found = R.two_source_search(by_vector, by_word, by_vector.filter(F.col("score") >= GATED_FLOOR), have)
+    reference = R.gated(fused_hits(spark, sf_dir), 3, GATED_FLOOR, doc="id").withColumnRenamed("similarity", "score")
+    found = R.two_source_search(by_vector, by_word, reference, have)
     return found.withColumn("score", F.round("score", 4))
 
 
