@@ -47,17 +47,28 @@ def build_lexical_index(chunks: DataFrame, *, id_col: str, text: str, where: Col
     A chunk without text is a chunk of no terms.
     """
     chosen = chunks if where is None else chunks.filter(where)
-    # Each step a column of its own: an expression that is used twice would be computed twice.
-    split = unfold(chosen, F.array(F.sort_array(F.coalesce(X.search_tokens(text), F.array().cast("array<string>")))), [F.col(id_col).alias("id")], item="t")
-    n = F.size("t")
-    starts = F.filter(F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>")),
-                      lambda i: ~F.get("t", i - 1).eqNullSafe(F.get("t", i - 2)))
-    cut = unfold(split, F.array(starts), ["id", "t"], item="s")
-    counts = F.transform("s", lambda first, j: F.coalesce(F.get("s", j + 1), n + 1) - first)
-    rows = materialise(cut.select("id", n.alias("dl"), F.transform("s", lambda i: F.element_at("t", i)).alias("terms"), counts.alias("counts")))
+    split = unfold(chosen, F.array(F.coalesce(X.search_tokens(text), F.array().cast("array<string>"))), [F.col(id_col).alias("id")], item="tokens")
+    rows = materialise(split.mapInArrow(_counted, f"id {dict(split.dtypes)['id']}, dl int, terms array<string>, counts array<int>"))
     return LexicalIndex(rows, materialise(rows.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df"))))
 
 
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, tokens) to (id, number of tokens, distinct terms in order, their counts)."""
+    for batch in batches:
+        lists = batch.column(1)
+        words = lists.flatten().dictionary_encode()
+        n = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+        names = words.dictionary.take(order := pc.array_sort_indices(words.dictionary))
+        place = np.empty(len(order), np.int64)
+        place[order.to_numpy()] = np.arange(len(order))
+        code = np.repeat(np.arange(len(n)), n) * max(1, len(names)) + place[words.indices.to_numpy()]
+        found, counts = np.unique(code, return_counts=True)
+        ends = np.searchsorted(found, np.arange(len(n) + 1) * max(1, len(names))).astype(np.int32)
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0), pa.array(n, pa.int32()), pa.ListArray.from_arrays(ends, names.take(pa.array(found % max(1, len(names))))),
+             pa.ListArray.from_arrays(ends, pa.array(counts, pa.int32()))], names=["id", "dl", "terms", "counts"])
+
+
 def query_terms(queries: DataFrame, query_id: str, text: str) -> DataFrame:
     """(query_id, term, qtf): a repeated query word counts as often as it occurs."""
     rows = unfold(queries, X.search_tokens(text), [F.col(query_id).alias("query_id")], item="term")
