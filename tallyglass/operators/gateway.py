@@ -327,8 +327,11 @@ def bucket_step(row: dict, state):
 
 
 def ledger_step(row: dict, state):
-    """Reserve, settle or release an amount. State is (reserved, settled)."""
-    reserved, settled = (0.0, 0.0) if state is None else state
+    """Reserve, settle or release an amount. State is (reserved, settled, time of the newest row).
+
+    After `STATE_TTL_DAYS` without a row for its key the ledger starts anew.
+    """
+    reserved, settled, seen = (0.0, 0.0, row["t"]) if state is None or row["t"] - state[2] >= LEDGER_TTL_S else state
     ok, estimate = True, row["estimated_usd"]
     if row["kind"] == "reserve":
         ok = not reserved + estimate > row["budget_usd"]
@@ -338,7 +341,10 @@ def ledger_step(row: dict, state):
         settled += row["actual_usd"]
     else:
         reserved = max(0.0, reserved - estimate)
-    return (row["event_id"], ok, reserved, settled), (reserved, settled)
+    return (row["event_id"], ok, reserved, settled), (reserved, settled, max(seen, row["t"]))
+
+
+LEDGER_TTL_S = V.STATE_TTL_DAYS * 24 * 3600
 
 
 def admit_step(row: dict, state):
@@ -358,8 +364,8 @@ def admit_step(row: dict, state):
 
 
 def breaker_step(row: dict, state):
-    """Circuit breaker of one provider. State is (mode, failures, opened_at)."""
-    mode, failures, opened = ("closed", 0, -1.0) if state is None else state
+    """Circuit breaker of one provider. State is (mode, failures, opened_at, probe interval)."""
+    mode, failures, opened = ("closed", 0, -1.0) if state is None else state[:3]
     now, allowed = row["t"], True
     if mode == "open":
         if opened >= 0 and now - opened >= row["probe_after_s"]:
@@ -375,7 +381,17 @@ def breaker_step(row: dict, state):
             failures += 1
             if failures >= row["failure_threshold"]:
                 mode, opened = "open", now
-    return (row["event_id"], bool(allowed), mode, int(failures)), (mode, int(failures), float(opened))
+    return (row["event_id"], bool(allowed), mode, int(failures)), (mode, int(failures), float(opened), float(row["probe_after_s"]))
+
+
+def breaker_probe_ms(state: tuple) -> int | None:
+    """When an open breaker is due for a probe."""
+    mode, _, opened, probe_after_s = state
+    return int(-(-(opened + probe_after_s) * 1000 // 1)) if mode == "open" else None
+
+
+def breaker_half_open(state: tuple) -> tuple:
+    return ("half_open", *state[1:]) if state[0] == "open" else state
 
 
 BUCKET_SCHEMA = "event_id long, allowed boolean, retry_after_s double"
@@ -424,11 +440,15 @@ def token_bucket(requests: DataFrame) -> DataFrame:
 
 
 def budget_ledger(entries: DataFrame) -> DataFrame:
-    """Reserve / settle / release over (event_id, tenant, ts, kind, estimated_usd, actual_usd,
-    budget_usd). A tenant's outcome depends on all its earlier ones."""
-    rows = entries.withColumn("t", seconds("ts")).select(
-        "tenant", "t", "event_id", "kind", "estimated_usd", "actual_usd", "budget_usd")
-    return ordered_fold(rows, ["tenant"], ["t", "event_id"], ledger_step, LEDGER_SCHEMA)
+    """Reserve / settle / release over (event_id, tenant, ts, kind, estimated_usd, actual_usd, budget_usd).
+
+    A tenant's outcome depends on its earlier ones, back to the last silence of `STATE_TTL_DAYS`: with a whole
+    empty slot of that length in between, the pieces are folded apart.
+    """
+    rows = entries.withColumn("t", seconds("ts"))
+    cut = _sessions(rows, "tenant", F.floor(F.col("t") / LEDGER_TTL_S))
+    keep = cut.select("tenant", "session", "t", "event_id", "kind", "estimated_usd", "actual_usd", "budget_usd")
+    return ordered_fold(keep, ["tenant", "session"], ["t", "event_id"], ledger_step, LEDGER_SCHEMA)
 
 
 def admit(requests: DataFrame) -> DataFrame:

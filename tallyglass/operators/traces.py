@@ -34,9 +34,9 @@ def record_usage(spans: DataFrame) -> DataFrame:
         .drop("_model", *P.PRICES)
 
 
-def trace_totals(spans: DataFrame, by: str = "trace_id") -> DataFrame:
+def trace_totals(spans: DataFrame, *by) -> DataFrame:
     """Spans, cost, tokens by kind and errors per trace; `cost_usd` as from `record_usage`."""
-    return spans.groupBy(by).agg(
+    return spans.groupBy(*(by or ("trace_id",))).agg(
         F.count("*").alias("spans"), F.sum("cost_usd").alias("cost_usd"),
         F.sum(attribute(IN, "long")).alias("input_tokens"), F.sum(attribute(OUT, "long")).alias("output_tokens"),
         F.sum(attribute(READ, "long")).alias("cache_read_tokens"), F.sum(attribute(WRITE, "long")).alias("cache_write_tokens"),

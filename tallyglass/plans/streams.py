@@ -31,22 +31,22 @@ def streaming(spark, build, sf_dir):
     return build(_Stream(spark), sf_dir)
 
 
-@query("str_01_token_bucket_stream")
+@query("str_01_token_bucket_stream", traffic.BUCKET_SQL)
 def token_bucket(spark, sf_dir):
     return jobs.drain(jobs.token_bucket(streaming(spark, traffic.admission_requests, sf_dir)))
 
 
-@query("str_02_budget_ledger_stream")
+@query("str_02_budget_ledger_stream", traffic.LEDGER_SQL)
 def budget_ledger(spark, sf_dir):
-    return jobs.drain(jobs.budget_ledger(streaming(spark, traffic.ledger_entries, sf_dir)))
+    return traffic.rounded_ledger(jobs.drain(jobs.budget_ledger(streaming(spark, traffic.ledger_entries, sf_dir))))
 
 
-@query("str_03_admission_stream")
+@query("str_03_admission_stream", traffic.ADMIT_SQL)
 def admission(spark, sf_dir):
     return jobs.drain(jobs.admit(streaming(spark, traffic.admission_requests, sf_dir)))
 
 
-@query("str_04_breaker_stream")
+@query("str_04_breaker_stream", traffic.BREAKER_SQL)
 def breaker(spark, sf_dir):
     return jobs.drain(jobs.breaker(streaming(spark, traffic.breaker_attempts, sf_dir)))
 
@@ -69,9 +69,13 @@ def burn_rate(spark, sf_dir):
 
 
 @query("str_08_span_totals_stream", f"""
-    SELECT trace_id, count(*) AS spans, round(sum({SPAN_COST}), 8) AS cost_usd, count(*) FILTER (WHERE event_type = 'error') AS errors
-    FROM {SPANS_SQL} GROUP BY trace_id""")
+    WITH s AS (SELECT *, epoch_us(ts) + 1 AS ended, epoch_us(ts) + 1 - lag(epoch_us(ts) + 1) OVER w > 86400000000 AS fresh
+        FROM (SELECT *, start_ns // 1000 AS us, make_timestamp(start_ns // 1000) AS ts FROM {SPANS_SQL}) WINDOW w AS (PARTITION BY trace_id ORDER BY start_ns, event_id)),
+      lives AS (SELECT *, count(*) FILTER (WHERE fresh) OVER (PARTITION BY trace_id ORDER BY start_ns, event_id) AS life FROM s)
+    SELECT trace_id, min(ended) AS opened_us, count(*) AS spans, round(sum({SPAN_COST}), 8) AS cost_usd, count(*) FILTER (WHERE event_type = 'error') AS errors
+    FROM lives GROUP BY trace_id, life HAVING max(ended) + 86400000000 <= (SELECT max(epoch_us(ts)) + 1 - 600000000 FROM events)""")
 def span_totals(spark, sf_dir):
+    """Traces that were silent for a day before the watermark."""
     events = event_stream(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))
     k = F.get_json_object("props", "$.k")
     call = F.col("event_type").isin("purchase", "click")
@@ -81,8 +85,9 @@ def span_totals(spark, sf_dir):
         F.col("user_id").cast("string").alias("trace_id"), F.col("event_id").cast("string").alias("span_id"),
         start.alias("start_ns"), (start + 1000).alias("end_ns"), F.when(F.col("event_type") == "error", "error").otherwise("ok").alias("status"),
         F.when(call, model).otherwise(F.create_map().cast("map<string,string>")).alias("attributes"))
-    done = jobs.newest(jobs.drain(jobs.span_totals(rows), update=True), "trace_id")
-    return done.select("trace_id", "spans", F.round("cost_usd", 8).alias("cost_usd"), "errors")
+    done = jobs.drain(jobs.span_totals(rows))
+    return done.select("trace_id", F.unix_micros("opened").alias("opened_us"), "spans",
+                       F.round("cost_usd", 8).alias("cost_usd"), "errors")
 
 
 @query("str_09_taint_stream", f"""

@@ -338,7 +338,30 @@ def admission_requests(spark, sf_dir):
         F.when(F.col("k") >= 95, "unknown_tenant").alias("denial"))
 
 
-@query("str_01_token_bucket")
+def fold_sql(rows: str, key: str, first: str, following: str, final: str) -> str:
+    """A fold as a recursion over the place n of a row among its key's: `first` is the state before the first row,
+    `following` the state after a row of `c`, which holds the row and the state before it."""
+    return f"""WITH RECURSIVE r AS (SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY t, event_id) AS n FROM {rows}),
+      s AS (SELECT {key}, 0::BIGINT AS n, 0::BIGINT AS event_id, {first} FROM r GROUP BY {key}
+        UNION ALL SELECT c.{key}, c.n, c.event_id, {following} FROM (
+          SELECT r.*, s.* EXCLUDE ({key}, n, event_id) FROM s JOIN r ON r.{key} = s.{key} AND r.n = s.n + 1) c)
+      SELECT event_id, {final} FROM s WHERE n > 0"""
+
+
+SECONDS_SQL = "epoch_us(ts)::DOUBLE / 1000000.0::DOUBLE"
+RATE, BURST = "(1.0::DOUBLE / 7200.0::DOUBLE)", "2.0::DOUBLE"
+NOW_SQL = "greatest(t, CASE WHEN updated < 0 THEN t ELSE updated END)"
+HAVE_SQL = f"(CASE WHEN updated < 0 THEN {BURST} ELSE least({BURST}, tokens + ({NOW_SQL} - updated) * {RATE}) END)"
+TAKEN_SQL = f"CASE WHEN {HAVE_SQL} >= 1 THEN {HAVE_SQL} - 1 ELSE {HAVE_SQL} END"
+WAIT_SQL = f"round((1.0::DOUBLE - {HAVE_SQL}) / {RATE}, 3)"
+BUCKET_SQL = fold_sql(
+    f"(SELECT event_id, tenant, {SECONDS_SQL} AS t FROM {REQUESTS_SQL})", "tenant",
+    "0.0::DOUBLE AS tokens, -1.0::DOUBLE AS updated, true AS allowed, 0.0::DOUBLE AS wait",
+    f"{TAKEN_SQL}, {NOW_SQL}, {HAVE_SQL} >= 1, CASE WHEN {HAVE_SQL} >= 1 THEN 0.0 ELSE {WAIT_SQL} END",
+    "allowed, wait AS retry_after_s")
+
+
+@query("str_01_token_bucket", BUCKET_SQL)
 def token_bucket(spark, sf_dir):
     return G.token_bucket(admission_requests(spark, sf_dir))
 
@@ -350,13 +373,45 @@ def ledger_entries(spark, sf_dir):
                        (F.col("cost_usd") * 0.8).alias("actual_usd"), F.lit(0.3).alias("budget_usd"))
 
 
-@query("str_02_budget_ledger")
-def budget_ledger(spark, sf_dir):
-    done = G.budget_ledger(ledger_entries(spark, sf_dir))
+DEAD_SQL = f"t - seen >= {V.STATE_TTL_DAYS} * 86400.0"
+KEPT_SQL = "CASE WHEN {0} THEN 0.0 ELSE {1} END"
+RES_SQL = "(" + KEPT_SQL.format(DEAD_SQL, "reserved") + ")"
+SET_SQL = "(" + KEPT_SQL.format(DEAD_SQL, "settled") + ")"
+LEDGER_SQL = fold_sql(
+    f"""(SELECT event_id, tenant, {SECONDS_SQL} AS t, cost_usd::DOUBLE AS est, cost_usd::DOUBLE * 0.8::DOUBLE AS act,
+         CASE model WHEN 'purchase' THEN 'settle' WHEN 'error' THEN 'release' ELSE 'reserve' END AS kind FROM {REQUESTS_SQL})""", "tenant",
+    "0.0::DOUBLE AS reserved, 0.0::DOUBLE AS settled, -1e18::DOUBLE AS seen, true AS ok",
+    f"""CASE kind WHEN 'reserve' THEN CASE WHEN {RES_SQL} + est > 0.3::DOUBLE THEN {RES_SQL} ELSE {RES_SQL} + est END
+          WHEN 'settle' THEN greatest(0.0, {RES_SQL} - est + act) ELSE greatest(0.0, {RES_SQL} - est) END,
+        CASE WHEN kind = 'settle' THEN {SET_SQL} + act ELSE {SET_SQL} END, greatest(seen, t), kind <> 'reserve' OR NOT {RES_SQL} + est > 0.3::DOUBLE""",
+    "ok, round(reserved, 6) AS reserved_usd, round(settled, 6) AS settled_usd")
+
+
+def rounded_ledger(done):
     return done.select("event_id", "ok", F.round("reserved_usd", 6).alias("reserved_usd"), F.round("settled_usd", 6).alias("settled_usd"))
 
 
-@query("str_03_admission")
+@query("str_02_budget_ledger", LEDGER_SQL)
+def budget_ledger(spark, sf_dir):
+    return rounded_ledger(G.budget_ledger(ledger_entries(spark, sf_dir)))
+
+
+OVER_SQL = "reserved + est > budget"
+ADMIT_SQL = fold_sql(
+    f"""(SELECT event_id, tenant, {SECONDS_SQL} AS t, cost_usd::DOUBLE AS est, CASE WHEN tenant < 5 THEN 0.5 ELSE 1000.0 END::DOUBLE AS budget,
+         CASE WHEN k >= 95 THEN 'unknown_tenant' WHEN NOT (model IN ('view', 'signup', 'click') OR model LIKE 'p%') THEN 'model_not_allowed' END AS before
+         FROM {REQUESTS_SQL})""", "tenant",
+    "0.0::DOUBLE AS reserved, 0.0::DOUBLE AS tokens, -1.0::DOUBLE AS updated, true AS allowed, NULL::VARCHAR AS denial, NULL::DOUBLE AS wait",
+    f"""CASE WHEN before IS NOT NULL OR {OVER_SQL} THEN reserved WHEN {HAVE_SQL} >= 1 THEN reserved + est ELSE greatest(0.0, reserved + est - est) END,
+        CASE WHEN before IS NOT NULL OR {OVER_SQL} THEN tokens ELSE {TAKEN_SQL} END,
+        CASE WHEN before IS NOT NULL OR {OVER_SQL} THEN updated ELSE {NOW_SQL} END,
+        before IS NULL AND NOT {OVER_SQL} AND {HAVE_SQL} >= 1,
+        CASE WHEN before IS NOT NULL THEN before WHEN {OVER_SQL} THEN 'budget_exhausted' WHEN {HAVE_SQL} < 1 THEN 'rate_limit_exceeded' END,
+        CASE WHEN before IS NULL AND NOT {OVER_SQL} AND {HAVE_SQL} < 1 THEN {WAIT_SQL} END""",
+    "allowed, denial, wait AS retry_after_s")
+
+
+@query("str_03_admission", ADMIT_SQL)
 def admission(spark, sf_dir):
     return G.admit(admission_requests(spark, sf_dir))
 
@@ -367,6 +422,18 @@ def breaker_attempts(spark, sf_dir):
         F.lit(3).alias("failure_threshold"), F.lit(900.0).alias("probe_after_s"))
 
 
-@query("str_04_breaker")
+# An attempt finds the breaker open, or it is let through, as the probe if the interval has passed.
+PROBE_SQL = "(mode = 'open' AND t - opened >= 900)"
+SHUT_SQL = "(mode = 'open' AND NOT t - opened >= 900)"
+BREAKER_SQL = fold_sql(
+    f"(SELECT event_id, provider, {SECONDS_SQL} AS t, duration_s < 30 AS good FROM {REQUESTS_SQL} WHERE provider IS NOT NULL)", "provider",
+    "'closed' AS mode, 0 AS failures, -1.0::DOUBLE AS opened, true AS allowed",
+    f"""CASE WHEN {SHUT_SQL} THEN 'open' WHEN good THEN 'closed' WHEN {PROBE_SQL} OR failures + 1 >= 3 THEN 'open' ELSE mode END,
+        CASE WHEN {SHUT_SQL} THEN failures WHEN good THEN 0 WHEN {PROBE_SQL} THEN failures ELSE failures + 1 END,
+        CASE WHEN {SHUT_SQL} THEN opened WHEN good THEN -1.0 WHEN {PROBE_SQL} OR failures + 1 >= 3 THEN t ELSE opened END, NOT {SHUT_SQL}""",
+    "allowed, mode AS state, failures")
+
+
+@query("str_04_breaker", BREAKER_SQL)
 def breaker(spark, sf_dir):
     return G.breaker(breaker_attempts(spark, sf_dir))

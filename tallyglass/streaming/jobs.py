@@ -1,16 +1,15 @@
-"""Structured Streaming jobs. Each shares its logic with a batch twin in `operators`.
-
-Rows of a key are folded in (time, id) order inside a micro-batch; across micro-batches the
-source must deliver a key's rows in order up to the watermark, as a partitioned log does.
-"""
+"""Structured Streaming jobs. Each shares its logic with a batch twin in `operators`, and each state has an end."""
 
 from __future__ import annotations
 
+import itertools
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from .. import fixed_values as V
 from ..functions.folding import Step
@@ -19,40 +18,115 @@ from ..session import checkpoint_dir
 
 WATERMARK = "10 minutes"
 STATE_TTL_MS = V.STATE_TTL_DAYS * 24 * 3600 * 1000
+MILLIS = "at_ms"         # names that begin with an underscore do not reach the frames
+SLOT_MS = 60_000          # of rows that a fold holds at once, if a key's rows come in several frames
 
 
-def stateful_fold(stream: DataFrame, keys: list[str], order: list[str], step: Step, schema: str,
-                  state_schema: str, event_time: str | None = None, watermark: str = WATERMARK,
-                  ttl_ms: int = STATE_TTL_MS) -> DataFrame:
-    """Run a fold step over a stream with one state row per key.
+class KeyedFold(StatefulProcessor):
+    """A fold step over the rows of each key, in the order of `order` whatever frames and files they come in.
 
-    With `event_time`, state expires once the watermark is `ttl_ms` past a key's newest row.
-    (A processing-time timeout would keep an available-now run going for ever.) Without it, state
-    is kept, as for contexts that carry no time.
+    The state of a key is one value row. Rows of a micro-batch that come in several Arrow frames wait in the state
+    store by time slot and frame, so that no more than a slot's rows of one key are in memory; a single frame is
+    sorted as it is. `follow_up` names the time (ms) of the next timer of a state, `on_timer` what it does to the
+    state. The state is removed once the watermark is `ttl_ms` past the key's newest row.
     """
-    names = [part.split()[0] for part in schema.split(",")]
-    rows = stream.withWatermark(event_time, watermark) if event_time else stream
 
-    def run(key, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
+    def __init__(self, step: Step, order: list[str], names: list[str], state_schema: str, ttl_ms: int, slot_by: str, slot: int,
+                 follow_up: Callable[[tuple], int | None] | None = None, on_timer: Callable[[tuple], tuple] | None = None):
+        self.step, self.order, self.names, self.state_schema = step, order, names, state_schema
+        self.ttl_ms, self.slot_by, self.slot, self.follow_up, self.on_timer = ttl_ms, slot_by, slot, follow_up, on_timer
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.held = handle.getValueState("held", self.state_schema)
+        self.timers = handle.getValueState("timers", "expires long, next long")
+        self.waiting = handle.getMapState("waiting", "slot long, frame int", "rows binary")
+
+    def _frames(self, frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        first = next(frames, None)
+        if first is None:
+            return
+        second = next(frames, None)
+        if second is None:
+            yield first
             return
-        held = tuple(state.get) if state.exists else None
-        batch = pd.concat(list(frames), ignore_index=True).sort_values(order, kind="stable")
-        out = []
-        columns = list(batch.columns)
-        for values in batch.itertuples(index=False, name=None):
-            produced, held = step(dict(zip(columns, values)), held)
-            out.append(produced)
+        slots: dict[int, int] = {}
+        for frame in itertools.chain((first, second), frames):
+            for slot, part in frame.groupby(frame[self.slot_by] // self.slot):
+                n = slots[int(slot)] = slots.get(int(slot), 0) + 1
+                sink = pa.BufferOutputStream()
+                batch = pa.RecordBatch.from_pandas(part, preserve_index=False)
+                with pa.ipc.new_stream(sink, batch.schema) as writer:
+                    writer.write_batch(batch)
+                self.waiting.updateValue((int(slot), n), (sink.getvalue().to_pybytes(),))
+        for slot in sorted(slots):
+            parts = []
+            for n in range(1, slots[slot] + 1):
+                parts.append(pa.ipc.open_stream(self.waiting.getValue((slot, n))[0]).read_pandas())
+                self.waiting.removeKey((slot, n))
+            yield pd.concat(parts, ignore_index=True)
+
+    def _set_timers(self, held: tuple, newest: int, now: int) -> None:
+        old = self.timers.get() if self.timers.exists() else (-1, -1)
+        expires = max(newest, now) + self.ttl_ms
+        upcoming = self.follow_up(held) if self.follow_up else None
+        upcoming = -1 if upcoming is None or upcoming <= now else upcoming
+        for before, after in zip(old, (expires, upcoming)):
+            if before != after:
+                if before > now:
+                    self.handle.deleteTimer(before)
+                if after > 0:
+                    self.handle.registerTimer(after)
+        self.timers.update((expires, upcoming))
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        held = tuple(self.held.get()) if self.held.exists() else None
+        newest = 0
+        for frame in self._frames(rows):
+            frame = frame.sort_values(self.order, kind="stable")
+            newest, out, columns = max(newest, int(frame[MILLIS].max())), [], list(frame.columns)
+            for values in frame.itertuples(index=False, name=None):
+                produced, held = self.step(dict(zip(columns, values)), held)
+                out.append(produced)
+            yield pd.DataFrame(out, columns=self.names)
         if held is not None:
-            state.update(held)
-            if event_time:
-                newest_ms = int(batch[event_time].max().timestamp() * 1000)
-                state.setTimeoutTimestamp(max(newest_ms, state.getCurrentWatermarkMs()) + ttl_ms)
-        yield pd.DataFrame(out, columns=names)
+            self.held.update(held)
+            self._set_timers(held, newest, timerValues.getCurrentWatermarkInMs())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        at = expiredTimerInfo.getExpiryTimeInMs()
+        expires, upcoming = self.timers.get() if self.timers.exists() else (-1, -1)
+        if at == expires:
+            self.held.clear()
+            self.timers.clear()
+        elif at == upcoming and self.on_timer and self.held.exists():
+            self.held.update(self.on_timer(tuple(self.held.get())))
+            self.timers.update((expires, -1))
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def use_rocksdb(spark) -> None:
+    """State of many values and timers needs the provider that keeps it on disk; queries take it when they start."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass",
+                   "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
-    return rows.groupBy(*keys).applyInPandasWithState(
-        run, schema, state_schema, "append", "EventTimeTimeout" if event_time else "NoTimeout")
+
+def stateful_fold(stream: DataFrame, keys: list[str], order: list[str], step: Step, schema: str, state_schema: str, event_time: str,
+                  watermark: str = WATERMARK, ttl_ms: int = STATE_TTL_MS, slot_by: str = MILLIS, slot: int = SLOT_MS, **timers) -> DataFrame:
+    """Run a fold step over a stream with one state row per key; see `KeyedFold`.
+
+    Rows of a micro-batch may come in any order; across micro-batches the source must deliver a key's rows
+    in order up to the watermark, as a partitioned log does. `event_time` drives expiry and timers;
+    `slot_by` is an integer column that grows with `order`, cut in slots of `slot`.
+    """
+    use_rocksdb(stream.sparkSession)
+    names = [part.split()[0] for part in schema.split(",")]
+    rows = stream.withColumn(MILLIS, F.unix_millis(event_time)).withWatermark(event_time, watermark)
+    fold = KeyedFold(step, order, names, state_schema, ttl_ms, slot_by, slot, **timers)
+    return rows.groupBy(*keys).transformWithStateInPandas(fold, schema, "append", "EventTime")
 
 
 # ------------------------------------------------------- admission and health
@@ -67,7 +141,7 @@ def budget_ledger(entries: DataFrame) -> DataFrame:
     rows = entries.withColumn("t", G.seconds("ts")).select(
         "tenant", "ts", "t", "event_id", "kind", "estimated_usd", "actual_usd", "budget_usd")
     return stateful_fold(rows, ["tenant"], ["t", "event_id"], G.ledger_step, G.LEDGER_SCHEMA,
-                         "reserved double, settled double", "ts")
+                         "reserved double, settled double, seen double", "ts")
 
 
 def admit(requests: DataFrame) -> DataFrame:
@@ -82,8 +156,10 @@ def admit(requests: DataFrame) -> DataFrame:
 def breaker(attempts: DataFrame) -> DataFrame:
     rows = attempts.withColumn("t", G.seconds("ts")).select(
         "provider", "ts", "t", "event_id", "ok", "failure_threshold", "probe_after_s")
+    # An open breaker lets a probe through after its interval; the timer says so without waiting for a request.
     return stateful_fold(rows, ["provider"], ["t", "event_id"], G.breaker_step, G.BREAKER_SCHEMA,
-                         "mode string, failures int, opened double", "ts")
+                         "mode string, failures int, opened double, probe_after_s double", "ts",
+                         follow_up=G.breaker_probe_ms, on_timer=G.breaker_half_open)
 
 
 # -------------------------------------------------------------- service levels
@@ -102,11 +178,16 @@ def availability_buckets(requests: DataFrame, watermark: str = WATERMARK) -> Dat
 
 # ----------------------------------------------------------------------- spans
 
-def span_totals(spans: DataFrame, watermark: str = WATERMARK) -> DataFrame:
-    """Cost, tokens and errors per trace as spans arrive; a span that is sent twice counts once."""
+def span_totals(spans: DataFrame, lifetime: str = "1 day", watermark: str = WATERMARK) -> DataFrame:
+    """Cost, tokens and errors per trace, once, when it has ended; a span that is sent twice counts once.
+
+    A trace ends `lifetime` after its newest span; its totals are then final and its state is gone. A span
+    that comes later opens the trace again, as a row with another `opened`.
+    """
     timed = spans.withColumn("ended", F.timestamp_micros(F.floor(F.greatest("start_ns", "end_ns") / 1000).cast("long")))
     once = timed.withWatermark("ended", watermark).dropDuplicatesWithinWatermark(["span_id"])
-    return T.trace_totals(T.record_usage(once))
+    totals = T.trace_totals(T.record_usage(once), "trace_id", F.session_window("ended", lifetime).alias("life"))
+    return totals.withColumn("opened", F.col("life.start")).drop("life")
 
 
 # ----------------------------------------------------------------------- taint
@@ -123,13 +204,16 @@ def taint_step(row: dict, state):
     return (row["context_id"], row["position"], row["tool"], tainted, names.replace("\x1f", ", ")), (tainted, names)
 
 
-def gate_messages(segments: DataFrame) -> DataFrame:
-    """Gate decision for the tool call of every message, given what its context has read so far."""
-    rows = segments.select("context_id", "position", "source", "origin", "trust", "tool")
+def gate_messages(segments: DataFrame, lifetime_ms: int = STATE_TTL_MS) -> DataFrame:
+    """Gate decision for the tool call of every message, given what its context has read so far.
+
+    A context carries no time: it ends when no message arrived for `lifetime_ms`.
+    """
+    rows = segments.withColumn("arrived", F.current_timestamp()).select("arrived", "context_id", "position", "source", "origin", "trust", "tool")
     folded = stateful_fold(
         rows, ["context_id"], ["position"], taint_step,
         "context_id long, position long, tool string, tainted boolean, names string",
-        "tainted boolean, names string")
+        "tainted boolean, names string", "arrived", ttl_ms=lifetime_ms, slot_by="position", slot=1000)
     staged = S.with_capability(folded)
     decision, reason = S.decide("capability", "tainted", "names")
     return staged.withColumn("decision", decision).withColumn("reason", reason).drop("names")
