@@ -1,39 +1,39 @@
 """Order-dependent values without sending a whole key to one task.
 
-A hot key is cut into buckets of its order column; rows are numbered or summed inside a bucket,
-and the buckets' totals (a small table) supply the offsets. The results equal a single window
-over the key.
+A hot key is cut by ranges or buckets of its order column; rows are numbered or summed inside one,
+and the totals (a small table) supply the offsets. The results equal a single window over the key.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
-
-BUCKETS = 64
-
-
-def quantile_bucket(df: DataFrame, order: str, buckets: int = BUCKETS):
-    """Bucket number of a numeric order column. Any bounds give the right result; quantiles
-    make the buckets even."""
-    bounds = sorted(set(df.approxQuantile(order, [i / buckets for i in range(1, buckets)], 0.01)))
-    if not bounds:
-        return F.lit(0)
-    edges = F.array(*[F.lit(float(b)) for b in bounds])
-    return F.size(F.filter(edges, lambda b: b <= F.col(order).cast("double")))
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
+from ..session import materialise
 
 def global_position(df: DataFrame, within: list[str], major: list[str], order: str,
                     output: str = "position") -> DataFrame:
-    """0-based position of every row within `within`, ordered by `major` and then `order`."""
-    cut = df.withColumn("_bucket", quantile_bucket(df, order))
-    keys = [*within, *major, "_bucket"]
-    counts = cut.groupBy(*keys).agg(F.count("*").alias("_n"))
-    before = Window.partitionBy(*within).orderBy(*major, "_bucket") \
-        .rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(*keys, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
-    local = F.row_number().over(Window.partitionBy(*keys).orderBy(order)) - 1
-    placed = cut.withColumn("_local", local).join(offsets, keys)
-    return placed.withColumn(output, F.col("_offset") + F.col("_local")).drop("_bucket", "_local", "_offset")
+    """0-based position of every row within `within`, ordered by `major` and then `order`, of any type that sorts.
+
+    The rows are dealt by range of (within, major, order), so a hot key lies in several partitions; a row's
+    position is its place in its partition plus the counts of the partitions before. The dealt rows are
+    written once: ranges are sampled, so a second pass could cut them elsewhere. Nulls come first; rows of equal
+    order stand in any order, but each has a position of its own.
+    """
+    keys = [*within, *major, order]
+    # Equal rows cannot be told apart by range; the hash of the whole row splits copies of a key that differ otherwise.
+    tie = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns if not isinstance(df.schema[c].dataType, T.MapType)])
+    ranged = df.withColumn("_tie", tie).repartitionByRange(*keys, "_tie")
+    dealt = materialise(ranged.sortWithinPartitions(*keys, "_tie").withColumn("_part", F.spark_partition_id()))
+    local = Window.partitionBy("_part", *within).orderBy(*major, order, "_tie")
+    counts = dealt.groupBy("_part", *within).agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(*within).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("_part", *[F.col(c).alias(f"_k{i}") for i, c in enumerate(within)], F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset")) \
+        .withColumnRenamed("_part", "_p")
+    same = F.col("_part") == F.col("_p")
+    for i, c in enumerate(within):
+        same = same & F.col(c).eqNullSafe(F.col(f"_k{i}"))
+    placed = dealt.withColumn("_local", F.row_number().over(local) - 1).join(offsets, same)
+    return placed.withColumn(output, F.col("_offset") + F.col("_local")).drop("_tie", "_part", "_local", "_offset", "_p", *[f"_k{i}" for i in range(len(within))])
 
 
 def bucketed_running(df: DataFrame, key: list[str], bucket: str, order: list[str], delta: str):

@@ -64,24 +64,50 @@ def metric_summary(points: DataFrame, by: list[str], order: str = "seq", value:
                                    F.max_by(value, order).alias("latest"), F.count("*").alias("points"))
 
 
-def near_alerts(alerts: DataFrame, telemetry: DataFrame, key: str, lookback: float,
-                alert_ts: str = "fired_at", ts: str = "ts", until: float | None = None) -> DataFrame:
+def _covering(first: Column, end: Column, levels: int) -> Column:
+    """The dyadic nodes (level, node) that make up the slots [first, end): two of a level at most."""
+    def at(level: Column) -> Column:
+        size = F.pow(F.lit(2), level).cast("long")
+        low, high = F.ceil(first / size), F.floor(end / size)
+        odd_low = (low < high) & (low % 2 == 1)
+        odd_high = (F.when(odd_low, low + 1).otherwise(low) < high) & (high % 2 == 1)
+        node = lambda n: F.struct(level.alias("level"), n.cast("long").alias("node"))
+        return F.array(F.when(odd_low, node(low)), F.when(odd_high, node(high - 1)))
+
+    return F.filter(F.flatten(F.transform(F.sequence(F.lit(0), F.lit(levels)), at)), lambda n: n.isNotNull())
+
+
+def near_alerts(alerts: DataFrame, telemetry: DataFrame, key: str, lookback: float, alert_ts: str = "fired_at", ts: str = "ts",
+                until: float | None = None, grain_s: int = 60) -> DataFrame:
     """Telemetry of the same key from `lookback` minutes before an alert on, without an upper bound
     unless `until` (minutes after the alert) sets one.
 
-    With both bounds the two sides are cut into slices and an alert meets the slices of its range,
-    so that a hot key is joined slice by slice. Without an end every later row is a result.
+    Time is cut into slots of `grain_s` and a binary tree over them. A row of telemetry is under one node of
+    each level; an alert's range is a few whole nodes, whose rows all belong to it, and the slots at its ends, whose
+    rows are tested. So the pairs of a hot key are dealt by node, and only those in the end slots can fail.
     """
-    if until is None:
-        minutes = (F.unix_micros(F.col(alert_ts).cast("timestamp")) - F.unix_micros(F.col(ts).cast("timestamp"))) / F.lit(60_000_000.0)
-        return alerts.join(telemetry, key).withColumn("minutes_before", minutes).where(F.col("minutes_before") <= abs(lookback))
-    width, after = max(int(abs(lookback) * 60_000_000), int(until * 60_000_000), 1), int(until * 60_000_000)
-    slice_of = lambda c: F.floor(F.unix_micros(F.col(c).cast("timestamp")) / F.lit(width))
-    left = alerts.withColumn("_slice", F.explode(F.sequence(slice_of(alert_ts) - 1, slice_of(alert_ts) + int(after > 0))))
-    right = telemetry.withColumn("_slice", slice_of(ts))
-    gap = F.unix_micros(F.col(alert_ts).cast("timestamp")) - F.unix_micros(F.col(ts).cast("timestamp"))
-    joined = left.join(right, [key, "_slice"]).withColumn("minutes_before", gap / F.lit(60_000_000.0))
-    return joined.filter((gap >= -after) & (gap <= int(abs(lookback) * 60_000_000))).drop("_slice")
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    slot = lambda c: F.floor(c / F.lit(grain_s * 1_000_000))
+    back, after = int(round(abs(lookback) * 60_000_000)), None if until is None else int(round(until * 60_000_000))
+    low, high = telemetry.agg(F.min(slot(micros(ts))), F.max(slot(micros(ts)))).first()
+    base, top = low or 0, high or 0
+    levels = int(top - base + 1).bit_length()
+    begin = slot(micros(alert_ts) - back) - base
+    end = F.lit(top - base + 1) if after is None else slot(micros(alert_ts) + after) - base
+    ends = F.array(begin) if after is None else F.array_distinct(F.array(begin, end))
+    edges = F.transform(ends, lambda n: F.struct(F.lit(0).alias("level"), n.cast("long").alias("node"), F.lit(True).alias("edge")))
+    # Slots before the first row of telemetry are empty.
+    inner = F.transform(_covering(F.greatest(begin + 1, F.lit(0)), end, levels), lambda n: F.struct(n["level"].alias("level"), n["node"].alias("node"), F.lit(False).alias("edge")))
+    left = alerts.withColumn("_at", F.explode(F.concat(edges, inner))).select("*", F.col("_at.level").alias("_level"), F.col("_at.node").alias("_node"),
+                                                                              F.col("_at.edge").alias("_edge")).drop("_at")
+    place = (slot(micros(ts)) - base).cast("long")
+    right = telemetry.withColumn("_up", F.explode(F.transform(F.sequence(F.lit(0), F.lit(levels)), lambda n: F.struct(
+        n.alias("level"), F.floor(place / F.pow(F.lit(2), n)).cast("long").alias("node"))))) \
+        .select("*", F.col("_up.level").alias("_level"), F.col("_up.node").alias("_node")).drop("_up")
+    gap = micros(alert_ts) - micros(ts)
+    inside = (gap <= back) if after is None else (gap <= back) & (gap >= -after)
+    joined = left.join(right, [key, "_level", "_node"]).where(~F.col("_edge") | inside)
+    return joined.withColumn("minutes_before", gap / F.lit(60_000_000.0)).drop("_level", "_node", "_edge")
 
 
 def overlay(shared: DataFrame, local: DataFrame, key: str = "id") -> DataFrame:

@@ -184,7 +184,7 @@ def span_totals(spans: DataFrame, lifetime: str = "1 day", watermark: str = WATE
     A trace ends `lifetime` after its newest span; its totals are then final and its state is gone. A span
     that comes later opens the trace again, as a row with another `opened`.
     """
-    timed = spans.withColumn("ended", F.timestamp_micros(F.floor(F.greatest("start_ns", "end_ns") / 1000).cast("long")))
+    timed = spans.withColumn("ended", F.timestamp_micros(F.expr("greatest(start_ns, end_ns) div 1000")))
     once = timed.withWatermark("ended", watermark).dropDuplicatesWithinWatermark(["span_id"])
     totals = T.trace_totals(T.record_usage(once), "trace_id", F.session_window("ended", lifetime).alias("life"))
     return totals.withColumn("opened", F.col("life.start")).drop("life")
