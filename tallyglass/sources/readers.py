@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyarrow import fs as pa_fs
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .. import fixed_values as V
 from ..functions import text as X
+from ..functions.ordering import global_position
 
 DOCUMENT = "doc_id string, title string, url string, path string, content string"
 SPAN = ("name string, kind string, trace_id string, span_id string, parent_id string, start_ns bigint, "
@@ -56,35 +62,57 @@ def require(spark: SparkSession, path: str) -> str:
     return path
 
 
-def hidden_pages(spark: SparkSession, root: str) -> list[tuple[str, str]]:
-    """(text, file) of the `*.md` below a folder that Spark's listing hides by a leading underscore or dot, read by the driver."""
-    jvm = spark.sparkContext._jvm
-    top = jvm.org.apache.hadoop.fs.Path(root)
+def hidden_paths(spark: SparkSession, root: str) -> list[str]:
+    """Addresses of the `*.md` below a folder that Spark's listing hides by a leading underscore or dot."""
+    top = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
     fs = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     base = fs.makeQualified(top).toString().rstrip("/") + "/"
     found, files = [], fs.listFiles(top, True)
     while files.hasNext():
-        path = files.next().getPath()
-        parts = path.toString().removeprefix(base).split("/")
+        path = files.next().getPath().toString()
+        parts = path.removeprefix(base).split("/")
         if parts[-1].endswith(".md") and any(p.startswith(".") or p.startswith("_") and "=" not in p for p in parts):
-            stream = fs.open(path)
-            try:
-                found.append((jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"), path.toString()))
-            finally:
-                stream.close()
+            found.append(path)
     return found
 
 
+def read_files(spark: SparkSession, paths: list[str], per_task: int = 256) -> DataFrame:
+    """(value, file): whole text files by their addresses, opened in the tasks; the driver holds addresses only."""
+    def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path in batch.column(0).to_pylist():
+                # Hadoop writes file:/x where the standard form is file:///x.
+                fs, name = pa_fs.FileSystem.from_uri(re.sub("^file:/+", "file:///", path))
+                with fs.open_input_stream(name) as stream:
+                    text = stream.read().decode("utf-8", "replace")
+                yield pa.RecordBatch.from_arrays([pa.array([text]), pa.array([path])], names=["value", "file"])
+
+    rows = spark.createDataFrame([(p,) for p in paths], "path string").repartition(max(1, -(-len(paths) // per_task)))
+    return rows.mapInArrow(opened, "value string, file string")
+
+
+def append_order(rows: DataFrame, keep: list[str]) -> DataFrame:
+    """The rows of text or JSON files with `_at`, which sorts them as they were appended.
+
+    Files come by time of writing, then by name; inside a file blocks by where they begin and rows by their
+    place in the block. A block is read by one task from its start, so the order does not depend on how
+    files are cut or packed into tasks.
+    """
+    meta = lambda n: F.col(f"_metadata.{n}").alias(n)
+    return rows.select(*keep, F.struct(meta("file_modification_time"), meta("file_path"), meta("file_block_start"),
+                                       F.monotonically_increasing_id().alias("row")).alias("_at"))
+
+
 def markdown_corpus(spark: SparkSession, root: str, base_url: str, prefix: str = "") -> DataFrame:
     """Every `*.md` below a folder: front-matter title, cleaned body; untitled pages and bodies
     under 400 characters are left out. The id comes from the path relative to the folder.
 
     Spark treats file names that start with an underscore as hidden and does not list them; such
-    pages (`_index.md` of each section) are read by the driver, which has to hold their texts."""
+    pages (`_index.md` of each section) are listed by the driver and read by tasks."""
     raw = spark.read.text(require(spark, root), wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.md") \
         .select("value", F.col("_metadata.file_path").alias("file"))
-    if hidden := hidden_pages(spark, root):
-        raw = raw.union(spark.createDataFrame(hidden, raw.schema))
+    if hidden := hidden_paths(spark, root):
+        raw = raw.union(read_files(spark, hidden))
     base = root.rstrip("/").removeprefix("file:")
     path = F.regexp_replace("file", "^(file:)?/*" + X.re.escape(base.lstrip("/")) + "/", "")
     front = r"(?s)\A---\r?\n(.*?)\r?\n---\r?\n?"
@@ -178,10 +206,9 @@ def span_defaults(rows: DataFrame) -> DataFrame:
 
 def finished_scenarios(spark: SparkSession, path: str) -> DataFrame:
     """Checkpoint lines {score, trace}: the last line of a scenario wins."""
-    lines = spark.read.text(require(spark, path)).filter("trim(value) <> ''") \
-        .withColumn("_file", F.col("_metadata.file_path")).withColumn("_line", F.monotonically_increasing_id())
+    lines = append_order(spark.read.text(require(spark, path)), ["value"]).filter("trim(value) <> ''")
     rows = lines.withColumn("scenario_id", F.get_json_object("value", "$.score.scenario_id"))
-    return last_wins(rows.select("scenario_id", "value", "_file", "_line"), "scenario_id", ["_file", "_line"])
+    return last_wins(rows, "scenario_id", ["_at"])
 
 
 def conversations_as_workloads(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -216,9 +243,9 @@ def review_samples(spark: SparkSession, path: str) -> DataFrame:
 
 
 def change_requests(spark: SparkSession, path: str) -> DataFrame:
-    """Change-request events with their append order as `seq`."""
+    """Change-request events with their append order as `seq`, from 0."""
     rows = spark.read.schema(CHANGE_REQUEST).json(require(spark, path))
-    return rows.withColumn("seq", F.monotonically_increasing_id())
+    return global_position(append_order(rows, rows.columns), [], [], "_at", "seq").drop("_at")
 
 
 def baseline(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
