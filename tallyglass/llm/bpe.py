@@ -21,7 +21,7 @@ import os
 import re
 import unicodedata
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +32,7 @@ from tallyglass.plans.registry import query, table
 from tallyglass.session import materialise
 
 LONG = 4096
-CACHE = 400_000       # pieces a task remembers; then it starts anew
+CACHE_BYTES = 80 << 20   # of pieces that a task remembers; then it starts anew
 WINDOW = 8
 _PLAIN = 0x180        # below, NFC changes nothing and lower case works letter by letter
 
@@ -62,33 +62,54 @@ class Codec:
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        self.whole = Tokenizer.from_file(path)
-        self.whole.no_truncation()
-        self.whole.no_padding()
-        bare = spec | {"normalizer": None, "added_tokens": [], "post_processor": None, "decoder": None, "truncation": None, "padding": None}
-        build = lambda **x: Tokenizer.from_str(json.dumps(bare | x))
-        self.closed = build(pre_tokenizer=None)     # takes strings in the alphabet of the merges, one piece at a time
+        self.path, self.spec = path, spec
         self.suffix = spec["model"].get("end_of_word_suffix") or ""
-        self.open = build(pre_tokenizer=None, model=spec["model"] | {"end_of_word_suffix": None}) if self.suffix else self.closed
+        self.closed = self._bare()     # takes strings in the alphabet of the merges, one piece at a time
         self.lower = spec["normalizer"] is not None
         self.rule = _WORDS if self.lower else _SPACED
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.marks = re.compile("|".join(map(re.escape, self.special))) if self.special else None
         self.joins_blank = spec["decoder"] is None
-        self.tokens = [self.whole.id_to_token(i) for i in range(self.whole.get_vocab_size())]
         self.cache: dict[str, bytes] = {}
+        self.held = 0
+
+    def _bare(self, **model):
+        """The merges alone."""
+        from tokenizers import Tokenizer
+
+        bare = self.spec | {"normalizer": None, "added_tokens": [], "post_processor": None, "decoder": None, "truncation": None, "padding": None,
+                            "pre_tokenizer": None, "model": self.spec["model"] | model}
+        return Tokenizer.from_str(json.dumps(bare))
+
+    # Most texts need neither of these.
+
+    @cached_property
+    def whole(self):
+        from tokenizers import Tokenizer
+
+        whole = Tokenizer.from_file(self.path)
+        whole.no_truncation()
+        whole.no_padding()
+        return whole
+
+    @cached_property
+    def open(self):
+        return self._bare(end_of_word_suffix=None) if self.suffix else self.closed
+
+    @cached_property
+    def tokens(self) -> list[str]:
+        return [self.whole.id_to_token(i) for i in range(self.whole.get_vocab_size())]
 
     def _learn(self, pieces) -> None:
-        if len(self.cache) > CACHE:
+        if self.held > CACHE_BYTES:
             self.cache.clear()
-        new = list(pieces)
+            self.held = 0
         merge = self.closed.model.tokenize     # without the outer steps of the library, which cost more than the merges
-        for p in new:
-            self.cache[p] = np.array([t.id for t in merge(p.encode().decode("latin-1").translate(_ALPHABET))], "<u4").tobytes()
+        for p in list(pieces):
+            self.cache[p] = ids = np.array([t.id for t in merge(p.encode().decode("latin-1").translate(_ALPHABET))], "<u4").tobytes()
+            self.held += 2 * len(p) + len(ids) + 200
 
     def _plain(self, text: str) -> list[str] | None:
         """Pieces of a text that has plain characters and no special token, else nothing."""
@@ -108,7 +129,7 @@ class Codec:
                 out.append(b"".join(map(self.cache.__getitem__, pieces)))
             except KeyError:
                 known = self.cache
-                self._learn({p for p in pieces if p not in known} if len(known) <= CACHE else set(pieces))
+                self._learn({p for p in pieces if p not in known} if self.held <= CACHE_BYTES else set(pieces))
                 out.append(b"".join(map(self.cache.__getitem__, pieces)))
         return out
 

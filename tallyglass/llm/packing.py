@@ -45,18 +45,22 @@ PIECES = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id
 
 
 def _numbered(batches: Iterator[pa.RecordBatch], separator: int) -> Iterator[pa.RecordBatch]:
-    """(ids, queue, id) to (id, queue, part, first token in this task's share of the queue, tokens, ids)."""
+    """(ids, queue, id) to (id, queue, part, first token in this task's share of the queue, tokens, ids).
+
+    A document's ids are kept in 16 bits where they fit, which its number of bytes a token tells.
+    """
     part, served = TaskContext.get().partitionId(), {}
     end = np.array([separator], "<u4").tobytes()
     for batch in batches:
-        ids = [(x or b"") + end for x in batch.column(0).to_pylist()]
+        whole = [np.frombuffer((x or b"") + end, "<u4") for x in batch.column(0).to_pylist()]
+        ids = [(x.astype("<u2") if x.max() < 1 << 16 else x).tobytes() for x in whole]
         queues, first = batch.column(1).to_pylist(), []
-        for q, x in zip(queues, ids):
+        for q, x in zip(queues, whole):
             first.append(served.get(q, 0))
-            served[q] = first[-1] + len(x) // 4
+            served[q] = first[-1] + len(x)
         yield pa.RecordBatch.from_arrays(
             [batch.column(2), batch.column(1), pa.array([part] * len(ids), pa.int32()), pa.array(first, pa.int64()),
-             pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())],
+             pa.array([len(x) for x in whole], pa.int64()), pa.array(ids, pa.binary())],
             names=["id", "queue", "part", "first", "n", "ids"])
 
 
@@ -120,7 +124,8 @@ def _placed(batches: Iterator[pa.RecordBatch], names: dict[str, int], schedule:
             part = batch.slice(lo, 256)
             queue, first, n, ids = (part.column(k) for k in (1, 2, 3, 4))
             q = np.array([names[x] for x in queue.to_pylist()], np.int64)
-            raw, n = ids.to_pylist(), n.to_numpy(zero_copy_only=False)
+            n = n.to_numpy(zero_copy_only=False)
+            raw = [np.frombuffer(x, "<u2").astype("<u4").tobytes() if len(x) == 2 * k else x for x, k in zip(ids.to_pylist(), n.tolist())]
             doc, start, size, place = pieces_of(schedule, q, first.to_numpy(zero_copy_only=False), n, length)
             crc = [zlib.crc32(memoryview(raw[d])[4 * a:4 * (a + k)]) for d, a, k in zip(doc.tolist(), start.tolist(), size.tolist())]
             yield pa.RecordBatch.from_arrays(
