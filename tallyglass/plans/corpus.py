@@ -75,20 +75,33 @@ def fixed_windows(spark, sf_dir):
     return chunks.select("doc_id", "ordinal", F.md5("content").alias("digest"))
 
 
-RECURSIVE_SQL = f"""
-    WITH paras AS (
-      SELECT doc_id::VARCHAR AS doc_id, list_filter(list_transform(string_split(text, chr(10)),
-        lambda p: {strip("p")}), lambda p: p <> '') AS ps FROM documents),
-    steps AS (
-      SELECT doc_id, unnest(ps) AS p, generate_subscripts(ps, 1) AS i FROM paras),
-    sized AS (SELECT doc_id, i, p, len({words("p")})::INT AS n, {words("p")} AS w FROM steps),
-    last AS (SELECT doc_id, max(i) AS n_paras FROM sized GROUP BY doc_id)
-"""
-
-
-@query("chk_02_paragraph_packing")
+def recursive_sql(docs: str, content: str, separator: str) -> str:
+    """Paragraph packing over (doc_id, content), one paragraph per step: (doc_id, ordinal, content)."""
+    size, overlap, glue = V.CHUNK_SIZE, V.CHUNK_OVERLAP, separator
+    flushed = f"CASE WHEN len(buf) > 0 THEN [array_to_string(list_transform(buf, lambda x: x.p), {glue})] ELSE []::VARCHAR[] END"
+    total = "coalesce(list_sum(list_transform({0}, lambda y: y.n)), 0)"
+    tail = f"list_filter(buf, lambda x, i: {total.format('buf[i:]')} <= {overlap})"
+    cut = f"list_transform(range(0, n, {size}), lambda s: array_to_string(w[s + 1:s + {size}], ' '))"
+    return f"""(WITH RECURSIVE paras AS (SELECT doc_id, list_filter(list_transform(string_split({content}, {separator}), lambda p: {strip("p")}), lambda p: p <> '') AS ps FROM {docs}),
+      step AS (SELECT doc_id, unnest(ps) AS p, generate_subscripts(ps, 1) AS i, len(ps) AS last FROM paras),
+      sized AS (SELECT *, {words("p")} AS w, len({words("p")})::INT AS n FROM step),
+      r AS (SELECT doc_id, 0::BIGINT AS i, []::STRUCT(p VARCHAR, n INT)[] AS buf, 0::BIGINT AS held, []::VARCHAR[] AS done FROM paras
+        UNION ALL SELECT doc_id, i, CASE WHEN n > {size} THEN t WHEN held + n > {size} THEN list_append(t, here) ELSE list_append(buf, here) END,
+          CASE WHEN n > {size} THEN {total.format("t")} WHEN held + n > {size} THEN {total.format("t")} + n ELSE held + n END,
+          CASE WHEN n > {size} THEN list_concat({flushed}, {cut}) WHEN held + n > {size} THEN {flushed} ELSE []::VARCHAR[] END
+            || CASE WHEN i < last THEN []::VARCHAR[] WHEN n > {size} THEN {flushed.replace("buf", "t")}
+               ELSE [array_to_string(list_transform(CASE WHEN held + n > {size} THEN list_append(t, here) ELSE list_append(buf, here) END, lambda x: x.p), {glue})] END
+        FROM (SELECT s.*, r.buf, r.held, {tail.replace("buf", "r.buf")} AS t, {{'p': s.p, 'n': s.n}} AS here FROM r JOIN sized s ON s.doc_id = r.doc_id AND s.i = r.i + 1)),
+      flat AS (SELECT doc_id, i, unnest(done) AS content, generate_subscripts(done, 1) AS k FROM r)
+      SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY i, k) - 1)::INT AS ordinal, content FROM flat)"""
+
+
+PACKED_SQL = recursive_sql("(SELECT doc_id::VARCHAR AS doc_id, text FROM documents)", "text", "chr(10)")
+
+
+@query("chk_02_paragraph_packing", f"""
+    SELECT doc_id, ordinal, len({words("content")})::INT AS token_count, md5(content) AS digest FROM {PACKED_SQL}""")
 def paragraph_packing(spark, sf_dir):
-    """An order-dependent fold: checked against a plain loop in the tests, rows only here."""
     chunks = C.recursive_chunks(document_corpus(spark, sf_dir), separator=LINE)
     return chunks.select("doc_id", "ordinal", "token_count", F.md5("content").alias("digest"))
 
@@ -139,12 +152,17 @@ def chunk_rows(spark, sf_dir):
         "chunk_id", "doc_title", "url", "strategy", "token_count")
 
 
-@query("chk_06_dispatch", f"""
+PAGES_PACKED_SQL = recursive_sql(markdown_sql(), "content", "chr(10) || chr(10)")
+DISPATCH_SQL = f"""
     SELECT 'fixed' AS strategy, count(*) AS n_chunks, count(DISTINCT doc_id) AS n_docs FROM (
       SELECT doc_id, unnest(generate_series(0, len(w) - 1, 180)) AS s, len(w) AS n FROM (
         SELECT doc_id, {words("content")} AS w FROM {markdown_sql()})) WHERE s = 0 OR n - s >= 20
-    UNION ALL SELECT 'header', count(*), count(DISTINCT doc_id) FROM {HEADER_SQL}""")
+    UNION ALL SELECT 'header', count(*), count(DISTINCT doc_id) FROM {HEADER_SQL}
+    UNION ALL SELECT 'recursive', count(*), count(DISTINCT doc_id) FROM {PAGES_PACKED_SQL}"""
+
+
+@query("chk_06_dispatch", DISPATCH_SQL)
 def dispatch(spark, sf_dir):
-    chunks = C.chunk_documents(page_corpus(spark, sf_dir), ["fixed", "header"])
+    chunks = C.chunk_documents(page_corpus(spark, sf_dir), list(C.STRATEGIES))
     return chunks.groupBy("strategy").agg(
         F.count("*").alias("n_chunks"), F.countDistinct("doc_id").alias("n_docs"))

@@ -6,14 +6,15 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from .. import fixed_values as V
 from ..operators import chunking as C, embedding as E, evals, incidents as I, ranking_metrics as M
 from ..session import checkpoint_dir, spread
 from ..sources import readers, writers
 from ..streaming import jobs
-from .corpus import FIXED_SQL, HEADER_SQL, document_corpus, markdown_sql, page_corpus
+from .corpus import DISPATCH_SQL, FIXED_SQL, HEADER_SQL, document_corpus, markdown_sql, page_corpus
 from .registry import query, table
 from .retrieval import dense_ranking, scores
-from .runs import label_outcomes, runs_and_truth
+from .runs import OUTCOMES_SQL, label_outcomes, runs_and_truth
 from .sql_text import words
 
 
@@ -53,17 +54,13 @@ def resolve_label_paths(spark, sf_dir):
     return M.resolve_labels(labels, corpus, "path").select("query_id", "doc_id", "grade")
 
 
-def stored_index(spark, sf_dir, strategies=("fixed", "header")):
+def stored_index(spark, sf_dir, strategies=tuple(C.STRATEGIES)):
     path = folder(spark)
     counts = writers.build_index(page_corpus(spark, sf_dir), path, strategies)
     return path, counts
 
 
-INDEX_SQL = f"""
-    SELECT 'fixed' AS strategy, count(*) AS chunks, count(DISTINCT doc_id) AS documents, count(*) AS embedded FROM (
-      SELECT doc_id, unnest(generate_series(0, len(w) - 1, 180)) AS s, len(w) AS n FROM (
-        SELECT doc_id, {words("content")} AS w FROM {markdown_sql()})) WHERE s = 0 OR n - s >= 20
-    UNION ALL SELECT 'header', count(*), count(DISTINCT doc_id), count(*) FROM {HEADER_SQL}"""
+INDEX_SQL = f"SELECT strategy, n_chunks AS chunks, n_docs AS documents, n_chunks AS embedded FROM ({DISPATCH_SQL})"
 
 
 @query("snk_14_index_build", INDEX_SQL)
@@ -74,7 +71,7 @@ def index_build(spark, sf_dir):
 @query("agg_33_store_statistics", f"SELECT sum(chunks)::BIGINT AS chunks, max(documents) AS documents, sum(embedded)::BIGINT AS embedded FROM ({INDEX_SQL})")
 def store_statistics(spark, sf_dir):
     path, _ = stored_index(spark, sf_dir)
-    return writers.store_statistics(spark.read.parquet(path))
+    return writers.store_statistics(writers.read_store(spark, path))
 
 
 @query("src_15_chunk_scan", f"SELECT doc_id, ordinal, md5(content) AS digest FROM {FIXED_SQL}")
@@ -84,20 +81,38 @@ def chunk_scan(spark, sf_dir):
     return readers.chunk_scan(spark, path, "fixed").select("doc_id", "ordinal", F.md5("content").alias("digest"))
 
 
-@query("snk_01_save_documents")
+@query("snk_01_save_documents", "SELECT 'driver documents' AS source, 'test data' AS licence, count(*) AS documents FROM documents")
 def save_documents(spark, sf_dir):
     path = folder(spark)
     writers.save_documents(document_corpus(spark, sf_dir), path, "driver documents", "test data")
     return spark.read.schema("source string, licence string, documents long").json(f"{path}/provenance")
 
 
-@query("snk_02_rebuild_strategy")
+@query("snk_02_rebuild_strategy", f"""
+    SELECT 'fixed' AS strategy, count(*) AS chunks, count(DISTINCT doc_id) AS documents, count(*) AS embedded FROM (
+      SELECT doc_id, unnest(generate_series(0, len(w) - 1, 110 - {V.CHUNK_OVERLAP})) AS s, len(w) AS n FROM (
+        SELECT doc_id, {words("content")} AS w FROM {markdown_sql()})) WHERE s = 0 OR n - s >= 20
+    UNION ALL SELECT * FROM ({INDEX_SQL}) WHERE strategy <> 'fixed'""")
 def rebuild_strategy(spark, sf_dir):
-    """Both strategies are loaded, one is loaded again from half-size windows, the other stays."""
+    """All strategies are loaded, one is loaded again from half-size windows, the others stay."""
     path, _ = stored_index(spark, sf_dir)
     again = C.chunk_documents(page_corpus(spark, sf_dir), "fixed", size=110)
     writers.load_chunks(E.embed_passages(again, "content"), path)
-    return writers.store_statistics(spark.read.parquet(path), ["strategy"])
+    return writers.store_statistics(writers.read_store(spark, path), ["strategy"])
+
+
+@query("snk_03_upsert_store", f"""
+    SELECT doc_id, ordinal, title AS doc_title, md5(CASE WHEN ordinal = 0 THEN 'new: ' || content ELSE content END) AS digest, ordinal = 0 AS embedded_anew
+    FROM (SELECT doc_id, title, ordinal, content FROM {HEADER_SQL})""")
+def upsert_store(spark, sf_dir):
+    """First chunks are upserted with another title, text and vector: the stored title stays, text and vector change."""
+    path, _ = stored_index(spark, sf_dir, ("fixed", "header"))
+    first = writers.read_store(spark, path, ["header"]).filter("ordinal = 0")
+    new = first.withColumns({"doc_title": F.lit("changed"), "content": F.concat(F.lit("new: "), "content"),
+                             "embedding": F.transform("embedding", lambda x: F.lit(7.0).cast("float"))})
+    writers.upsert_store(new, path)
+    done = writers.read_store(spark, path, ["header"])
+    return done.select("doc_id", "ordinal", "doc_title", F.md5("content").alias("digest"), (F.col("embedding")[0] == 7).alias("embedded_anew"))
 
 
 @query("snk_03_upsert", """
@@ -112,7 +127,7 @@ def upsert(spark, sf_dir):
     return writers.upsert(old, new).select("chunk_id", "source", F.md5("content").alias("digest"))
 
 
-@query("snk_04_run_record")
+@query("snk_04_run_record", "SELECT 'run-1' AS run_id, count(DISTINCT label) AS queries, (count(DISTINCT label) * least(10, count(*)))::BIGINT AS stored FROM embeddings")
 def run_record(spark, sf_dir):
     path = folder(spark)
     ranking = dense_ranking(spark, sf_dir, 30).withColumnRenamed("id", "doc_id")
@@ -132,7 +147,7 @@ def scored_sweep(spark, sf_dir):
     return I.sweep_summary(spark.read.parquet(path), ["run_id"])
 
 
-@query("snk_06_write_baseline")
+@query("snk_06_write_baseline", f"SELECT count(*) AS cases, count(*) FILTER (WHERE NOT passed) > 0 AS refused_first FROM {OUTCOMES_SQL}")
 def write_baseline(spark, sf_dir):
     path = folder(spark)
     results = label_outcomes(spark, sf_dir)
@@ -146,7 +161,7 @@ def write_baseline(spark, sf_dir):
         .agg(F.count("*").alias("cases"), F.lit(refused).alias("refused_first"))
 
 
-@query("snk_09_verdict_cache_append")
+@query("snk_09_verdict_cache_append", "SELECT count(DISTINCT text) AS verdicts FROM benchmark")
 def verdict_cache_append(spark, sf_dir):
     path = folder(spark)
     schema = "verdict_key string, passed boolean"
@@ -158,7 +173,7 @@ def verdict_cache_append(spark, sf_dir):
     return writers.read_cache(spark, path, schema, "verdict_key").agg(F.count("*").alias("verdicts"))
 
 
-@query("snk_10_embedding_cache_append")
+@query("snk_10_embedding_cache_append", "SELECT count(DISTINCT text) AS first_pass, count(DISTINCT text) AS after_second FROM documents")
 def embedding_cache_append(spark, sf_dir):
     """Two passes over the documents: the second computes nothing."""
     path = folder(spark)

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import json
+import uuid
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators import chunking as C, embedding as E, evals, ranking_metrics as M, traces as T
@@ -30,25 +34,73 @@ def check_vectors(rows: DataFrame) -> int:
     return high or 0
 
 
-def stored_dimension(spark: SparkSession, path: str) -> int | None:
+# A store is a folder of versions, each written once, and a small pointer file that names the version of every
+# strategy. Readers follow the pointer they find: they see a load wholly or not at all.
+
+POINTER = "CURRENT.json"
+
+
+def _filesystem(spark: SparkSession, path: str):
+    name = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return name, name.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def store_parts(spark: SparkSession, path: str) -> dict[str, str]:
+    """Folder of each strategy's version; empty for a store that does not exist."""
+    name, fs = _filesystem(spark, f"{path}/{POINTER}")
+    if not fs.exists(name):
+        return {}
+    stream = fs.open(name)
     try:
-        row = spark.read.parquet(path).select(F.size("embedding").alias("n")).head()
-    except Exception as exc:  # noqa: BLE001
-        if "PATH_NOT_FOUND" in str(exc) or "UNABLE_TO_INFER_SCHEMA" in str(exc):
-            return None
-        raise
-    return row["n"] if row else None
+        return json.loads(spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+    finally:
+        stream.close()
+
+
+def _point(spark: SparkSession, path: str, parts: dict[str, str]) -> None:
+    """Swap the pointer: written aside, then moved over the old one in one step."""
+    aside, fs = _filesystem(spark, f"{path}/.{uuid.uuid4().hex}")
+    out = fs.create(aside, True)
+    try:
+        out.write(bytearray(json.dumps(parts, sort_keys=True).encode()))
+    finally:
+        out.close()
+    jvm = spark.sparkContext._jvm
+    options = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    options[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    context.rename(fs.makeQualified(aside), fs.makeQualified(_filesystem(spark, f"{path}/{POINTER}")[0]), options)
+
+
+def read_store(spark: SparkSession, path: str, strategies: list[str] | None = None) -> DataFrame:
+    """The chunks of a store, of some strategies or all; only their folders are listed."""
+    parts = {s: v for s, v in store_parts(spark, path).items() if strategies is None or s in strategies}
+    if not parts:
+        raise FileNotFoundError(f"{path} holds no chunks of {strategies or 'any strategy'}")
+    tables = [spark.read.parquet(v).filter(F.col("strategy").isin([s for s in parts if parts[s] == v])) for v in sorted(set(parts.values()))]
+    return reduce(DataFrame.unionByName, tables)
+
+
+def _publish(rows: DataFrame, path: str, keep: dict[str, str]) -> None:
+    """Write the rows as a new version and point their strategies to it; `keep` are the other strategies' versions."""
+    spark = rows.sparkSession
+    version = f"{path}/versions/{uuid.uuid4().hex}"
+    rows.write.partitionBy("strategy").parquet(version)
+    mine = [r[0] for r in spark.read.parquet(version).select("strategy").distinct().collect()]     # the registered names
+    _point(spark, path, {s: v for s, v in keep.items() if s not in mine} | {s: version for s in mine})
 
 
 def load_chunks(rows: DataFrame, path: str) -> int:
     """Replace the strategies present in `rows`; other strategies stay. A changed dimension
-    replaces the whole store. The rows are encoded once, then checked, then moved in."""
+    replaces the whole store. The rows are encoded once, then checked, then published."""
+    spark = rows.sparkSession
     ready = materialise(rows)
     dim = check_vectors(ready)
-    existing = stored_dimension(rows.sparkSession, path)
-    mode = "static" if existing is not None and existing != dim else "dynamic"
-    ready.write.mode("overwrite").option("partitionOverwriteMode", mode) \
-        .partitionBy("strategy").parquet(path)
+    keep = store_parts(spark, path)
+    if keep:
+        held = read_store(spark, path).select(F.size("embedding").alias("n")).head()
+        keep = {} if held and held["n"] != dim else keep
+    _publish(ready, path, keep)
     return dim
 
 
@@ -65,19 +117,22 @@ def upsert(existing: DataFrame, new: DataFrame, key: str = "chunk_id",
 
 
 def upsert_store(new: DataFrame, path: str) -> None:
-    """Upsert into a stored chunk table; only the partitions of the new rows are read and rewritten."""
+    """Upsert into a stored chunk table; only the strategies of the new rows are read and written anew."""
     spark = new.sparkSession
     strategies = [r[0] for r in new.select("strategy").distinct().collect()]  # the registered names
-    current = spark.read.parquet(path).filter(F.col("strategy").isin(strategies))
-    merged = materialise(upsert(current, new.select(*current.columns)))
-    merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("strategy").parquet(path)
+    parts = store_parts(spark, path)
+    if not set(strategies) & set(parts):
+        _publish(new, path, parts)
+        return
+    current = read_store(spark, path, strategies)
+    _publish(upsert(current, new.select(*current.columns)), path, parts)
 
 
 def build_index(docs: DataFrame, path: str, strategies=tuple(C.STRATEGIES), encoder=None) -> DataFrame:
     """Chunk, embed and store every strategy in one write; returns the counts per strategy."""
     chunks = C.chunk_documents(docs, strategies)
     load_chunks(E.embed_passages(chunks, "content", encoder=encoder), path)
-    return store_statistics(docs.sparkSession.read.parquet(path), ["strategy"])
+    return store_statistics(read_store(docs.sparkSession, path), ["strategy"])
 
 
 def store_statistics(store: DataFrame, by: list[str] = (), approximate: bool = False) -> DataFrame:

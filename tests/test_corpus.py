@@ -83,17 +83,17 @@ def test_store_reload_keeps_other_strategies(spark, tmp_path):
     path = str(tmp_path / "store")
     docs = doc(spark, "# A\n" + " ".join(["word"] * 300))
     writers.build_index(docs, path, ("fixed", "header"))
-    rows = spark.read.parquet(path)
+    rows = writers.read_store(spark, path)
     before = {r.strategy: r.chunks for r in writers.store_statistics(rows, ["strategy"]).collect()}
     half = C.fixed_chunks(docs, size=110).withColumn("embedding", F.array_repeat(F.lit(0.5).cast("float"), 256))
     assert writers.load_chunks(half, path) == 256
-    after = {r.strategy: r.chunks for r in writers.store_statistics(spark.read.parquet(path), ["strategy"]).collect()}
+    after = {r.strategy: r.chunks for r in writers.store_statistics(writers.read_store(spark, path), ["strategy"]).collect()}
     assert after["header"] == before["header"] and after["fixed"] > before["fixed"]
     with pytest.raises(ValueError):
         writers.load_chunks(half.withColumn("embedding", F.when(F.col("ordinal") > 0, F.col("embedding"))), path)
     smaller = half.withColumn("embedding", F.array(F.lit(1.0).cast("float")))
     assert writers.load_chunks(smaller, path) == 1
-    assert [r.strategy for r in spark.read.parquet(path).select("strategy").distinct().collect()] == ["fixed"]
+    assert [r.strategy for r in writers.read_store(spark, path).select("strategy").distinct().collect()] == ["fixed"]
 
 
 def test_markdown_scan(spark, tmp_path):
@@ -116,3 +116,26 @@ def test_section_index_pages_are_read(spark, tmp_path):
     rows = readers.markdown_corpus(spark, str(tmp_path / "docs"), "https://x.org").collect()
     assert {(r.title, r.path, r.url) for r in rows} == {("_index.md", "a/_index.md", "https://x.org/a/"), ("page.md", "a/page.md", "https://x.org/a/page/")}
     assert {r.content[-1] for r in rows} == {"é"}
+
+
+def test_store_is_swapped_by_its_pointer(spark, tmp_path):
+    """A reader sees the old store or the new one; a failed load changes nothing; an upsert touches text and vector only."""
+    path = f"{tmp_path}/store"
+    columns = "chunk_id string, doc_id string, doc_title string, ordinal int, content string, embedding array<float>, strategy string"
+    row = lambda s, i, title, text, v: (f"{s}{i}", f"d{i}", title, i, text, [v, v], s)
+    writers.load_chunks(spark.createDataFrame([row(s, i, "old", "text", 1.0) for s in ("fixed", "header") for i in range(4)], columns), path)
+    before = writers.read_store(spark, path)
+    writers.upsert_store(spark.createDataFrame([row("header", 3, "new", "changed", 2.0), row("header", 9, "new", "added", 2.0)], columns), path)
+    assert before.filter("content = 'text'").count() == 8 == before.count()
+    after = {r["chunk_id"]: r for r in writers.read_store(spark, path).collect()}
+    assert len(after) == 9 and after["header3"]["doc_title"] == "old" and after["header3"]["content"] == "changed"
+    assert list(after["header3"]["embedding"]) == [2.0, 2.0] and after["header9"]["doc_title"] == "new" and after["fixed3"]["content"] == "text"
+    parts = writers.store_parts(spark, path)
+    with pytest.raises(ValueError):
+        writers.load_chunks(spark.createDataFrame([row("fixed", 0, "x", "x", 1.0), ("fixed1", "d", "t", 1, "c", None, "fixed")], columns), path)
+    assert writers.store_parts(spark, path) == parts and len(set(parts.values())) == 2
+    assert {r["strategy"] for r in writers.read_store(spark, path, ["fixed"]).select("strategy").distinct().collect()} == {"fixed"}
+    with pytest.raises(FileNotFoundError):
+        writers.read_store(spark, path, ["recursive"])
+    writers.upsert_store(spark.createDataFrame([row("recursive", 0, "t", "c", 1.0)], columns), path)
+    assert writers.read_store(spark, path).count() == 10
