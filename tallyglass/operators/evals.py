@@ -117,11 +117,27 @@ def _one_of():
         F.lit("expected one of "), F.array_join("options", ", "), F.lit(", got "), _shown(got)))
 
 
+def significant(value: Column, digits: int = 4) -> Column:
+    """A number with so many significant digits and no trailing zeros; very large and small ones with an
+    exponent. Exact halves are rounded away from zero."""
+    power = F.floor(F.log10(F.abs(value)))
+    # Rounding may reach the next power of ten.
+    power = F.floor(F.log10(F.abs(F.round(value / F.pow(F.lit(10.0), power), digits - 1)))) + power
+    zeros = lambda c: F.regexp_replace(F.regexp_replace(c, r"(\.\d*?)0+$", "$1"), r"\.$", "")
+    mantissa = zeros(F.format_string(f"%.{digits - 1}f", value / F.pow(F.lit(10.0), power)))
+    sign = F.when(power < 0, "-").otherwise("+")
+    exponent = F.concat(mantissa, F.lit("e"), sign, F.lpad(F.abs(power).cast("string"), 2, "0"))
+    plain = F.lit(None).cast("string")
+    for p in range(-4, digits):
+        plain = F.when(power == p, zeros(F.format_string(f"%.{digits - 1 - p}f", value))).otherwise(plain)
+    return F.when(value == 0, F.lit("0")).when((power < -4) | (power >= digits), exponent).otherwise(plain)
+
+
 def budget_check(value: Column, limit: Column, unit: Column) -> tuple[Column, Column]:
-    """Meeting a budget exactly passes."""
+    """Meeting a budget exactly passes. Amounts have four significant digits; nothing is a share of a budget of 0."""
     ok = F.coalesce(value <= limit, F.lit(False))
-    text = lambda c: F.format_string("%.4f", c)
-    over = F.format_string("%.0f", F.coalesce(F.try_divide(value - limit, limit), F.lit(0.0)) * 100)
+    text = significant
+    over = F.when(limit == 0, F.lit("inf")).otherwise(F.format_string("%.0f", F.try_divide(value - limit, limit) * 100))
     return ok, F.when(ok, F.concat(text(value), unit, F.lit(" within "), text(limit), unit)).otherwise(
         F.concat(text(value), unit, F.lit(" exceeds "), text(limit), unit, F.lit(" by "), over, F.lit("%")))
 

@@ -10,7 +10,8 @@ from ..functions.arrays import unfold_structs
 from ..operators import evals as E, incidents as I
 from ..session import spread
 from .registry import query, table
-from .sql_text import collapse
+from .sql_text import collapse, q
+from .text import EVIDENCE_SQL, causal_sql
 from .traffic import K_SQL
 
 # --------------------------------------------------------------- assertions
@@ -230,17 +231,17 @@ def judge_probes(spark, sf_dir):
 
 
 @query("agg_23_judge_report", f"""
-    WITH v AS (SELECT criterion, id, damage, length(text) % 7 > 1 AS first, CASE WHEN length(text) % 5 = 0 THEN NOT (length(text) % 7 > 1) ELSE length(text) % 7 > 1 END AS again FROM {PROBE_SQL}
-      WHERE damage <> 'wrong_cause' AND damage <> 'no_evidence' AND damage <> 'no_causal_link')
-    SELECT criterion, count(*) FILTER (WHERE first) AS correct, count(*) AS total, round(avg(first::INT), 6) AS accuracy,
+    WITH p AS (SELECT criterion, damage = 'none' AS good, CASE damage WHEN 'none' THEN text WHEN 'wrong_cause' THEN {q(V.WRONG_CAUSE)}
+        WHEN 'no_evidence' THEN {EVIDENCE_SQL} ELSE {causal_sql("text")} END AS subject FROM {PROBE_SQL}),
+      v AS (SELECT criterion, good, length(subject) % 7 > 1 AS first, CASE WHEN length(subject) % 5 = 0 THEN NOT (length(subject) % 7 > 1) ELSE length(subject) % 7 > 1 END AS again FROM p)
+    SELECT criterion, count(*) FILTER (WHERE first = good) AS correct, count(*) AS total, round(avg((first = good)::INT), 6) AS accuracy,
       count(*) FILTER (WHERE first <> again) AS inconsistent, NOT bool_or(first <> again) AS consistent FROM v GROUP BY criterion""")
 def judge_report(spark, sf_dir):
-    """A stand-in judge that decides by the length of the answer and sometimes changes its mind."""
-    probes = probe_rows(spark, sf_dir).filter("should_pass")
+    """A stand-in judge that decides by the length of the answer, damaged ones too, and sometimes changes its mind."""
     n = F.length("subject")
     first = n % 7 > 1
     again = F.when(n % 5 == 0, ~first).otherwise(first)
-    verdicts = unfold_structs(probes, F.array(
+    verdicts = unfold_structs(probe_rows(spark, sf_dir), F.array(
         F.struct(F.lit(1).alias("repeat"), first.alias("passed")), F.struct(F.lit(2).alias("repeat"), again.alias("passed"))),
         ["criterion", "probe_id", "should_pass"])
     return E.judge_report(verdicts).withColumn("accuracy", F.round("accuracy", 6))
