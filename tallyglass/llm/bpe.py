@@ -20,12 +20,12 @@ import json
 import os
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from tallyglass.plans.registry import query, table
@@ -273,15 +273,34 @@ def encode(docs: DataFrame, text: str, path: str, keep: list[str]) -> DataFrame:
     return _both_ways(docs, text, path, keep, "ids binary", finish, ["ids"])
 
 
+def encode_once(docs: DataFrame, text: str, path: str, keep: list[str], then: Callable, shape: str) -> tuple[DataFrame, Observation, Callable[[], DataFrame]]:
+    """`encode` for a caller that writes the result: (rows of short texts, observation, rows of long texts).
+
+    `then` turns the batches (ids and the `keep` columns) into those of `shape` in the worker that encoded them. The texts
+    are read once: when the first part is written, `long` of the observation says how many long texts there are,
+    and only if there are any the second part is needed.
+    """
+    columns, seen = [F.col(f"`{k}`") for k in keep], Observation()
+    finish = lambda c, ids: [pa.array(ids, pa.binary())]
+    marked = docs.select(F.col(text).alias("_text"), *columns, is_long(F.col(text)).alias("_long")).observe(seen, F.count_if("_long").alias("long"))
+    short = marked.where("NOT _long").drop("_long").mapInArrow(lambda it: then(_encoded(it, path, finish, ["ids", *keep])), shape)
+    kinds = ", ".join(["ids binary", *(f"`{k}` {dict(docs.dtypes)[k]}" for k in keep)])
+    return short, seen, lambda: _long_ways(docs, text, path, keep, kinds, finish, ["ids"]).mapInArrow(then, shape)
+
+
 def _both_ways(docs, text, path, keep, kinds, finish, names):
     columns = [F.col(f"`{k}`") for k in keep]
     shape = ", ".join([kinds, *(f"`{k}` {dict(docs.dtypes)[k]}" for k in keep)])
     short = docs.where(~is_long(F.col(text))).select(F.col(text).alias("_text"), *columns).mapInArrow(
         lambda it: _encoded(it, path, finish, [*names, *keep]), shape)
-    long = docs.where(is_long(F.col(text))).select(F.monotonically_increasing_id().alias("_row"), F.col(text).alias("_text"), *columns)
-    if long.isEmpty():   # stops at the first such row
+    if docs.where(is_long(F.col(text))).isEmpty():   # stops at the first such row
         return short
-    long = materialise(long)
+    return short.unionByName(_long_ways(docs, text, path, keep, shape, finish, names))
+
+
+def _long_ways(docs, text, path, keep, shape, finish, names):
+    columns = [F.col(f"`{k}`") for k in keep]
+    long = materialise(docs.where(is_long(F.col(text))).select(F.monotonically_increasing_id().alias("_row"), F.col(text).alias("_text"), *columns))
     ids = long.select("_row", *columns).join(encode_long(long, "_text", path, ["_row"]), "_row", "left").select(
         F.coalesce("ids", F.expr("cast('' as binary)")).alias("ids"), *columns)
 
@@ -290,7 +309,7 @@ def _both_ways(docs, text, path, keep, kinds, finish, names):
         for batch in batches:
             yield pa.RecordBatch.from_arrays([*finish(c, batch.column(0).to_pylist()), *batch.columns[1:]], names=[*names, *keep])
 
-    return short.unionByName(ids.mapInArrow(finished, shape))
+    return ids.mapInArrow(finished, shape)
 
 
 def digests(c: Codec, ids: list[bytes]) -> list[pa.Array]:

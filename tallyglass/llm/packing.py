@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tallyglass.llm.bpe import encode, token_path
+from tallyglass.llm.bpe import encode_once, token_path
 from tallyglass.plans.registry import query, table
 from tallyglass.session import checkpoint_dir, materialise
 
@@ -151,9 +151,11 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text: str = "text",
     rows = docs.select(F.col(text).alias("pk_text"), queue.alias("pk_queue"), F.col(id_col).alias("pk_id"))
     kind = dict(rows.dtypes)["pk_id"]
     folder = f"{checkpoint_dir(spark).rstrip('/')}/tables/{uuid.uuid4().hex}"
-    encode(rows, "pk_text", path, ["pk_queue", "pk_id"]).mapInArrow(
-        lambda it: _numbered(it, separator), f"id {kind}, queue string, part int, first long, n long, ids binary") \
-        .write.option("compression", "zstd").parquet(folder)
+    short, seen, long = encode_once(rows, "pk_text", path, ["pk_queue", "pk_id"], lambda it: _numbered(it, separator),
+                                    f"id {kind}, queue string, part int, first long, n long, ids binary")
+    short.write.option("compression", "zstd").parquet(folder)
+    if seen.get["long"]:    # parts of their own
+        long().withColumn("part", F.col("part") + (1 << 30)).write.mode("append").option("compression", "zstd").parquet(folder)
     tokens = spark.read.parquet(folder)
     shares = tokens.groupBy("queue", "part").agg(F.sum("n").alias("n"))     # a row for each task and queue
     before = F.coalesce(F.sum("n").over(Window.partitionBy("queue").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
