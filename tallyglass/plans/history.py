@@ -8,7 +8,7 @@ from .. import fixed_values as V
 from ..functions.ordering import global_position
 from ..operators import reviews as R, traces as T
 from ..session import spread
-from .registry import query, table
+from .registry import as_files, query, table
 from .sql_text import q
 from .text import SUBJECT_SQL, subject_column
 from .traffic import K_SQL
@@ -48,9 +48,11 @@ def spans(spark, sf_dir):
 
 @query("src_08_span_log", f"SELECT trace_id, count(*) AS n, count(parent_id) AS n_children FROM {PARENTS_SQL} GROUP BY 1")
 def span_log(spark, sf_dir):
-    from ..sources.readers import span_defaults
+    """Spans written as a log of several files and read back with the defaults of absent fields."""
+    from ..sources import readers
 
-    return span_defaults(spans(spark, sf_dir)).groupBy("trace_id").agg(F.count("*").alias("n"), F.count("parent_id").alias("n_children"))
+    log = as_files(spans(spark, sf_dir).drop("status", "kind"))
+    return readers.spans(spark, log).where("status = 'unset' AND kind = 'internal'").groupBy("trace_id").agg(F.count("*").alias("n"), F.count("parent_id").alias("n_children"))
 
 
 @query("prj_25_span_duration", f"SELECT span_id, CASE WHEN end_ns = 0 THEN 0.0 ELSE (end_ns - start_ns) / 1000000 END::DOUBLE AS duration_ms FROM {SPANS_SQL}")
@@ -143,7 +145,14 @@ ORIGIN_SQL = f"""(SELECT p_partkey, path, op FROM (SELECT *, row_number() OVER (
 
 @query("src_17_history_tables", f"SELECT kind, count(DISTINCT p_partkey) AS n_commits, count(*) AS n_files FROM {PARSED_SQL} JOIN {CODE_SQL} ON l_partkey = p_partkey GROUP BY kind")
 def history_tables(spark, sf_dir):
-    commits, files, _, _ = history(spark, sf_dir)
+    """The four tables exported as files, read back by their reader, which keeps source files only."""
+    from ..sources import readers
+
+    root = as_files(spark.range(0))
+    for name, rows in zip(("commits", "files", "diffs", "blame"), history(spark, sf_dir)):
+        as_files(rows, f"{root}/{name}.json")
+    found = readers.history_tables(spark, root)
+    commits, files = found["commits"], found["files"]
     joined = R.parse_commits(commits).select("sha", "kind").join(files, "sha")
     return joined.groupBy("kind").agg(F.countDistinct("sha").alias("n_commits"), F.count("*").alias("n_files"))
 

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import checkpoint_dir
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -27,3 +30,11 @@ def query(name: str, sql: str | None = None):
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     return df.select(*columns) if columns else df
+
+
+def as_files(df: DataFrame, path: str | None = None, text: bool = False) -> str:
+    """Write rows as JSON lines (or a text column as lines) in several files, for a reader to read; returns the folder."""
+    path = path or f"{checkpoint_dir(df.sparkSession).rstrip('/')}/stores/{uuid.uuid4().hex}"
+    several = df.repartition(3)
+    several.write.text(path) if text else several.write.json(path)
+    return path
