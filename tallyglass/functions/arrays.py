@@ -26,8 +26,6 @@ def unfold_structs(df: DataFrame, array, keep=()) -> DataFrame:
     return rows.select(*names, "_item.*")
 
 
-
-
 def keep_where(df: DataFrame, condition: Column) -> DataFrame:
     """Filter on an expensive computed column without recomputing it.
 

@@ -318,7 +318,7 @@ def bucket_step(row: dict, state):
     """Token bucket: refill up to the burst, then take one token. State is (tokens, updated)."""
     rate, burst, now = row["rate"], float(row["burst"]), row["t"]
     tokens, updated = (burst, now) if state is None else state
-    now = max(now, updated)  # a clock that goes backwards must not mint tokens
+    now = max(now, updated)  # late rows refill nothing
     tokens = min(burst, tokens + (now - updated) * rate)
     if tokens >= 1.0:
         return (row["event_id"], True, 0.0), (tokens - 1.0, now)

@@ -6,7 +6,6 @@ Rankings are (query_id, rank, doc_id); labels are (query_id, doc_id, grade); que
 
 from __future__ import annotations
 
-from functools import reduce
 
 from pyspark.sql import DataFrame, Window, functions as F
 
@@ -108,8 +107,3 @@ def stored_rankings(rankings: DataFrame, keep: int = V.STORED_RANKING) -> DataFr
     kept = rankings.filter(F.col("rank") <= keep)
     return kept.groupBy("query_id").agg(F.transform(
         F.array_sort(F.collect_list(F.struct("rank", "doc_id"))), lambda r: r["doc_id"]).alias("retrieved"))
-
-
-def union_runs(runs: dict[str, DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, [
-        df.withColumn("configuration", F.lit(name)) for name, df in runs.items()])

@@ -235,9 +235,5 @@ def gate_calls(calls: DataFrame, segments: DataFrame, key: str = "context_id",
         .drop("_names", "named", "tainted_from")
 
 
-def explain(decision="decision", capability="capability", reason="reason") -> Column:
-    return F.concat(F.col(decision), F.lit(" ["), F.col(capability), F.lit("] "), F.col(reason))
-
-
 def union_predictions(parts: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .. import fixed_values as V
 from ..functions import price as P, text as X
 from ..functions.arrays import unfold
 from ..session import materialise
@@ -129,6 +128,3 @@ def redact_content(spans: DataFrame, keep: bool = False) -> DataFrame:
         return spans.withColumn("attributes", F.map_filter("attributes", lambda k, v: ~k.isin(*secret)))
     return spans.withColumn("attributes", F.transform_values(
         "attributes", lambda k, v: F.when(k.isin(*secret), X.redact(v)).otherwise(v)))
-
-
-DEFAULT_MODEL = V.STRONG_MODEL

@@ -11,7 +11,7 @@ from ..operators import chunking as C
 from ..session import spread
 from .registry import query, table
 from .sql_text import clean, q, strip, sub, words
-from .text import ARTICLE, BASE_URL, PAGE_PATH, TITLE
+from .text import ARTICLE, BASE_URL, TITLE
 
 LINE = "\n"
 

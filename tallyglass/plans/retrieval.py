@@ -10,12 +10,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import fixed_values as V
-from ..functions import text as X
 from ..operators import chunking as C, embedding as E, lexical as L, ranking_metrics as M, retrieval as R, vectors as N
 from ..session import materialise, spread
 from .corpus import FIXED_SQL, document_corpus
 from .registry import query, table
-from .sql_text import collapse, q, strip
+
 from .text import TOKENS_SQL
 
 

@@ -4,7 +4,6 @@ import random
 from datetime import datetime, timedelta
 
 import pytest
-from pyspark.sql import functions as F
 
 from tallyglass.functions.ordering import global_position
 from tallyglass.operators import incidents
