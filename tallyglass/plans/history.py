@@ -107,9 +107,9 @@ def otlp_spans(spark, sf_dir):
 
 
 # ----------------------------------------------------------------- reviews
-# A part is a commit, a supplier of it a file; the part's size is the changed line.
+# A part is a commit, a supplier of it one of a hundred files; the part's size is the changed line.
 
-FILES_SQL = "(SELECT DISTINCT l_partkey, CASE WHEN l_suppkey < 10 THEN 'tests/t' ELSE 'src/m' END || l_suppkey || CASE WHEN l_suppkey > 95 THEN '.md' ELSE '.py' END AS path FROM lineitem)"
+FILES_SQL = "(SELECT DISTINCT l_partkey, CASE WHEN l_suppkey < 10 THEN 'tests/t' ELSE 'src/m' END || l_suppkey || '_' || l_partkey % 100 || CASE WHEN l_suppkey > 95 THEN '.md' ELSE '.py' END AS path FROM lineitem)"
 CODE_SQL = f"(SELECT * FROM {FILES_SQL} WHERE path LIKE '%.py' AND path NOT LIKE 'tests/%')"
 COMMITS_SQL = f"(SELECT p_partkey, p_size, sha1(p_partkey::VARCHAR) AS sha, {SUBJECT_SQL} AS s FROM part)"
 PARSED_SQL = f"(SELECT *, regexp_extract(s, {q(V.CONVENTIONAL_COMMIT)}, 1) AS kind, regexp_extract(s, {q(V.CONVENTIONAL_COMMIT)}, 3) AS subject FROM {COMMITS_SQL} WHERE regexp_matches(s, {q(V.CONVENTIONAL_COMMIT)}))"
@@ -122,7 +122,7 @@ def history(spark, sf_dir):
     sha = F.sha1(F.col("p_partkey").cast("string"))
     commits = parts.select(F.lit("shop").alias("repo"), sha.alias("sha"), "p_partkey", "p_size", subject_column().alias("subject_line"))
     supp = F.col("l_suppkey")
-    path = F.concat(F.when(supp < 10, "tests/t").otherwise("src/m"), supp.cast("string"), F.when(supp > 95, ".md").otherwise(".py"))
+    path = F.concat(F.when(supp < 10, "tests/t").otherwise("src/m"), supp.cast("string"), F.lit("_"), (F.col("l_partkey") % 100).cast("string"), F.when(supp > 95, ".md").otherwise(".py"))
     touched = table(spark, sf_dir, "lineitem", "l_partkey", "l_suppkey").distinct().select(F.col("l_partkey").alias("p_partkey"), path.alias("path"))
     files = code_files(touched.join(commits, "p_partkey").select("repo", "sha", "path", "p_partkey", "p_size"))
     diff = F.concat(F.lit("--- a\n+++ b\n-  line "), F.col("p_size").cast("string"), F.lit(" \n+  line "), (F.col("p_size") + 1).cast("string"))

@@ -135,16 +135,33 @@ def redact(spark, sf_dir):
     return docs.select("doc_id", F.md5(X.redact("text")).alias("digest"), *counts)
 
 
+# The documents hold no per-request values, so the prefixes of requests are audited too: each event has one.
+PREFIXES_SQL = """(SELECT doc_id, text FROM documents UNION ALL SELECT event_id, 'You are the on-call agent. ' || CASE event_type
+    WHEN 'view' THEN 'Now: ' || strftime(ts, '%Y-%m-%d %H:%M:%S') || ', tools follow.' WHEN 'purchase' THEN 'epoch ' || (epoch_us(ts) // 1000000) || ';'
+    WHEN 'click' THEN 'session ' || substr(m, 1, 8) || '-' || substr(m, 9, 4) || '-' || substr(m, 13, 4) || '-' || substr(m, 17, 4) || '-' || substr(m, 21)
+    WHEN 'error' THEN 'request_id: r' || event_id || ' trace-id=' || user_id ELSE 'Answer in one line.' END FROM (SELECT *, md5(event_id::VARCHAR) AS m FROM events))"""
 INVALIDATOR_SQL = " UNION ALL ".join(
     f"""SELECT doc_id, {q(kind)} AS kind, substr(e, 1, {V.EVIDENCE_CHARS}) AS evidence, {q(why)} AS why
         FROM (SELECT doc_id, unnest(list_slice(regexp_extract_all(text, {q(re2(p))}), 1, 3)) AS e
-              FROM documents)""" for kind, p, why in V.INVALIDATORS)
+              FROM {PREFIXES_SQL})""" for kind, p, why in V.INVALIDATORS)
+
+
+def prompt_prefixes(spark, sf_dir):
+    events = table(spark, sf_dir, "events").withColumn("m", F.md5(F.col("event_id").cast("string")))
+    ts, kind = F.col("ts").cast("timestamp"), F.col("event_type")
+    uuid = F.concat_ws("-", *[F.substring("m", a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))])
+    value = F.when(kind == "view", F.concat(F.lit("Now: "), F.date_format(ts, "yyyy-MM-dd HH:mm:ss"), F.lit(", tools follow."))) \
+        .when(kind == "purchase", F.concat(F.lit("epoch "), F.unix_seconds(ts).cast("string"), F.lit(";"))) \
+        .when(kind == "click", F.concat(F.lit("session "), uuid)) \
+        .when(kind == "error", F.concat(F.lit("request_id: r"), F.col("event_id").cast("string"), F.lit(" trace-id="), F.col("user_id").cast("string"))) \
+        .otherwise("Answer in one line.")
+    made = events.select(F.col("event_id").alias("doc_id"), F.concat(F.lit("You are the on-call agent. "), value).alias("text"))
+    return spread(table(spark, sf_dir, "documents", "doc_id", "text")).unionByName(made)
 
 
 @query("prj_09_prefix_audit", INVALIDATOR_SQL)
 def prefix_audit(spark, sf_dir):
-    docs = spread(table(spark, sf_dir, "documents", "doc_id", "text"))
-    return unfold_structs(docs, X.invalidators("text"), ["doc_id"])
+    return unfold_structs(prompt_prefixes(spark, sf_dir), X.invalidators("text"), ["doc_id"])
 
 
 ROUTE_CASE = " ".join(f"WHEN contains(lower(text), {q(m)}) THEN {q(m)}" for m in V.REASONING_MARKERS)
