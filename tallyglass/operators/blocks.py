@@ -19,12 +19,12 @@ SLICE = 1024              # queries scored together
 SCORE_DIGITS = 9          # copies must tie, whatever order their terms were summed in
 
 
-def row_blocks(rows: DataFrame, size: Callable[[Row], int], most: int = BLOCK_BYTES) -> Iterator[list[Row]]:
-    """The rows in lists of at most `most` bytes (or one row); read one partition after the other."""
+def row_blocks(rows: DataFrame, size: Callable[[Row], int], most: int = BLOCK_BYTES, count: int | None = None) -> Iterator[list[Row]]:
+    """The rows in lists of at most `most` bytes (or one row) and `count` rows; read one partition after the other."""
     block, held = [], 0
     for row in materialise(rows).toLocalIterator():
         n = size(row)
-        if block and held + n > most:
+        if block and (held + n > most or len(block) == count):
             yield block
             block, held = [], 0
         block.append(row)

@@ -1,6 +1,7 @@
 """What is done with rankings: fusion, reranking, gated and two-source search.
 
-A ranking is a DataFrame of (query_id, rank, id, score); `vectors` and `lexical` make them.
+A ranking is a DataFrame of (query_id, rank, id, score); `vectors` and `lexical` make them, and their
+searches are at hand here too.
 """
 
 from __future__ import annotations
@@ -16,6 +17,8 @@ from .. import fixed_values as V
 from ..functions import text as X
 from ..session import materialise
 from .blocks import rank_rows
+from .lexical import bm25_search, keyword_search  # noqa: F401
+from .vectors import exact_search, side_search  # noqa: F401
 
 
 # --------------------------------------------------------- fusion and rerank

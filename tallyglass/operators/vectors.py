@@ -49,8 +49,9 @@ def _check(vectors: np.ndarray, queries: np.ndarray) -> None:
 
 
 def exact_search(corpus: DataFrame, queries: DataFrame, k: int, *, id_col: str, vector: str, query_id: str,
-                 query_vector: str, where: Column | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """(query_id, id, score, rank), best first. `where` restricts the corpus, as to one chunking strategy.
+                 query_vector: str, where: Column | None = None, block: int | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """(query_id, id, score, rank), best first. `where` restricts the corpus, as to one chunking strategy;
+    `block` is the most queries in a block, which `block_bytes` bounds besides.
 
     Each task multiplies its Arrow batches with one block of queries and keeps k rows per query, so only
     tasks x queries x k rows are shuffled, whatever the corpus size.
@@ -60,8 +61,8 @@ def exact_search(corpus: DataFrame, queries: DataFrame, k: int, *, id_col: str,
     arrow = to_arrow_schema(schema)
     side = _vectors(corpus if where is None else corpus.filter(where), id_col, vector)
     passes = []
-    for block in row_blocks(_vectors(queries, query_id, query_vector), _row_bytes, block_bytes):
-        held = spark.sparkContext.broadcast(_held(block))
+    for some in row_blocks(_vectors(queries, query_id, query_vector), _row_bytes, block_bytes, block):
+        held = spark.sparkContext.broadcast(_held(some))
 
         def best(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             names, asked = held.value
