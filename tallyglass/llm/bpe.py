@@ -32,7 +32,7 @@ from tallyglass.plans.registry import query, table
 from tallyglass.session import materialise
 
 LONG = 4096
-CACHE_BYTES = 80 << 20   # of pieces that a task remembers; then it starts anew
+CACHE_BYTES = 240 << 20  # of pieces that a task remembers; then it starts anew
 WINDOW = 8
 _PLAIN = 0x180        # below, NFC changes nothing and lower case works letter by letter
 

@@ -153,9 +153,9 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text: str = "text",
     folder = f"{checkpoint_dir(spark).rstrip('/')}/tables/{uuid.uuid4().hex}"
     short, seen, long = encode_once(rows, "pk_text", path, ["pk_queue", "pk_id"], lambda it: _numbered(it, separator),
                                     f"id {kind}, queue string, part int, first long, n long, ids binary")
-    short.write.option("compression", "zstd").parquet(folder)
+    short.write.option("compression", "snappy").parquet(folder)
     if seen.get["long"]:    # parts of their own
-        long().withColumn("part", F.col("part") + (1 << 30)).write.mode("append").option("compression", "zstd").parquet(folder)
+        long().withColumn("part", F.col("part") + (1 << 30)).write.mode("append").option("compression", "snappy").parquet(folder)
     tokens = spark.read.parquet(folder)
     shares = tokens.groupBy("queue", "part").agg(F.sum("n").alias("n"))     # a row for each task and queue
     before = F.coalesce(F.sum("n").over(Window.partitionBy("queue").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
