@@ -191,15 +191,27 @@ def invalidators(text) -> Column:
 
 # ------------------------------------------------------------ model replies
 
+def whole_json(text) -> Column:
+    """The text as a VARIANT if all of it is one JSON value, else null.
+
+    `try_parse_json` stops after the first value and ignores what follows. So the text is parsed as the first
+    of two array items; the second is the text's own digest, which the text cannot hold.
+    """
+    text = _col(text)
+    digest = F.sha2(text, 256)
+    pair = F.try_parse_json(F.concat(F.lit("["), text, F.lit(',"'), digest, F.lit('"]')))
+    return F.when(F.try_variant_get(pair, "$[1]", "string") == digest, F.try_variant_get(pair, "$[0]", "variant"))
+
+
 def json_object(text) -> Column:
     """The JSON object in a reply: the whole text, else first `{` to last `}`; null on failure."""
     text = _col(text)
-    whole = F.try_parse_json(text)
+    whole = whole_json(text)
     start = F.instr(text, "{")
     end = F.length(text) - F.instr(F.reverse(text), "}") + 1
     inner = F.when((start > 0) & (F.instr(text, "}") > 0) & (end > start),
                    F.substring(text, start, end - start + 1))
-    return F.coalesce(whole, F.try_parse_json(inner))
+    return F.coalesce(whole, whole_json(inner))
 
 
 def correlation_id(request_id, correlation, traceparent, fallback=None) -> Column:

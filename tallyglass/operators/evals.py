@@ -86,7 +86,7 @@ def _did_not_call():
 
 
 def _valid_json():
-    ok = F.try_parse_json("text").isNotNull()
+    ok = X.whole_json("text").isNotNull()
     return ok, F.when(ok, "parses as JSON").otherwise("not valid JSON")
 
 
