@@ -42,3 +42,10 @@ def test_numbers_before_prose_are_not_json(spark, tmp_path):
                                  "doc_id long, text string, lang string, source string, n_chars long")
     for name in ("agg_15_assertion_battery", "agg_17_case_run"):
         assert twin(spark, tmp_path, name, documents=docs)[0] == ""
+
+
+@pytest.mark.parametrize("n, found", [(17, 0), (18, 1)])
+def test_base64_runs_begin_at_eighteen_bytes(spark, tmp_path, n, found):
+    docs = spark.createDataFrame([(1, "Inly onhe hastion ble"[:n])], "doc_id long, text string")
+    text, done = twin(spark, tmp_path, "prj_07_decode_base64", documents=docs)
+    assert text == "" and done.count() == found
