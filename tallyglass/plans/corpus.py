@@ -45,13 +45,14 @@ def page_corpus(spark, sf_dir):
 
 
 def markdown_sql():
+    """The pages as markdown; two pages of one address share a doc_id, and only page_id tells them apart."""
     body = f"regexp_extract(html, {q(ARTICLE)}, 1)"
     for pattern, text in MARKDOWN:
         body = sub(body, pattern, text)
-    return f"""(SELECT substr(sha1(path), 1, 12) AS doc_id, title,
+    return f"""(SELECT page_id, substr(sha1(path), 1, 12) AS doc_id, title,
         '{BASE_URL}/' || regexp_replace(regexp_replace(path, '\\.[^./]+$', ''), '/_index$', '') || '/' AS url,
         path, content FROM (
-          SELECT regexp_replace(url, '^[a-z]+://', '') || '.md' AS path,
+          SELECT page_id, regexp_replace(url, '^[a-z]+://', '') || '.md' AS path,
                  {strip(f"regexp_extract(html, {q(TITLE)}, 1)")} AS title, {clean(body)} AS content FROM pages)
         WHERE title <> '' AND length(content) >= {V.MIN_BODY_CHARS})"""
 
@@ -76,27 +77,27 @@ def fixed_windows(spark, sf_dir):
 
 
 def recursive_sql(docs: str, content: str, separator: str) -> str:
-    """Paragraph packing over (doc_id, content), one paragraph per step: (doc_id, ordinal, content)."""
+    """Paragraph packing over (page_id, doc_id, content), one paragraph per step: (doc_id, ordinal, content)."""
     size, overlap, glue = V.CHUNK_SIZE, V.CHUNK_OVERLAP, separator
     flushed = f"CASE WHEN len(buf) > 0 THEN [array_to_string(list_transform(buf, lambda x: x.p), {glue})] ELSE []::VARCHAR[] END"
     total = "coalesce(list_sum(list_transform({0}, lambda y: y.n)), 0)"
     tail = f"list_filter(buf, lambda x, i: {total.format('buf[i:]')} <= {overlap})"
     cut = f"list_transform(range(0, n, {size}), lambda s: array_to_string(w[s + 1:s + {size}], ' '))"
-    return f"""(WITH RECURSIVE paras AS (SELECT doc_id, list_filter(list_transform(string_split({content}, {separator}), lambda p: {strip("p")}), lambda p: p <> '') AS ps FROM {docs}),
-      step AS (SELECT doc_id, unnest(ps) AS p, generate_subscripts(ps, 1) AS i, len(ps) AS last FROM paras),
+    return f"""(WITH RECURSIVE paras AS (SELECT page_id, doc_id, list_filter(list_transform(string_split({content}, {separator}), lambda p: {strip("p")}), lambda p: p <> '') AS ps FROM {docs}),
+      step AS (SELECT page_id, doc_id, unnest(ps) AS p, generate_subscripts(ps, 1) AS i, len(ps) AS last FROM paras),
       sized AS (SELECT *, {words("p")} AS w, len({words("p")})::INT AS n FROM step),
-      r AS (SELECT doc_id, 0::BIGINT AS i, []::STRUCT(p VARCHAR, n INT)[] AS buf, 0::BIGINT AS held, []::VARCHAR[] AS done FROM paras
-        UNION ALL SELECT doc_id, i, CASE WHEN n > {size} THEN t WHEN held + n > {size} THEN list_append(t, here) ELSE list_append(buf, here) END,
+      r AS (SELECT page_id, doc_id, 0::BIGINT AS i, []::STRUCT(p VARCHAR, n INT)[] AS buf, 0::BIGINT AS held, []::VARCHAR[] AS done FROM paras
+        UNION ALL SELECT page_id, doc_id, i, CASE WHEN n > {size} THEN t WHEN held + n > {size} THEN list_append(t, here) ELSE list_append(buf, here) END,
           CASE WHEN n > {size} THEN {total.format("t")} WHEN held + n > {size} THEN {total.format("t")} + n ELSE held + n END,
           CASE WHEN n > {size} THEN list_concat({flushed}, {cut}) WHEN held + n > {size} THEN {flushed} ELSE []::VARCHAR[] END
             || CASE WHEN i < last THEN []::VARCHAR[] WHEN n > {size} THEN {flushed.replace("buf", "t")}
                ELSE [array_to_string(list_transform(CASE WHEN held + n > {size} THEN list_append(t, here) ELSE list_append(buf, here) END, lambda x: x.p), {glue})] END
-        FROM (SELECT s.*, r.buf, r.held, {tail.replace("buf", "r.buf")} AS t, {{'p': s.p, 'n': s.n}} AS here FROM r JOIN sized s ON s.doc_id = r.doc_id AND s.i = r.i + 1)),
-      flat AS (SELECT doc_id, i, unnest(done) AS content, generate_subscripts(done, 1) AS k FROM r)
-      SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY i, k) - 1)::INT AS ordinal, content FROM flat)"""
+        FROM (SELECT s.*, r.buf, r.held, {tail.replace("buf", "r.buf")} AS t, {{'p': s.p, 'n': s.n}} AS here FROM r JOIN sized s ON s.page_id = r.page_id AND s.i = r.i + 1)),
+      flat AS (SELECT page_id, doc_id, i, unnest(done) AS content, generate_subscripts(done, 1) AS k FROM r)
+      SELECT doc_id, (row_number() OVER (PARTITION BY page_id ORDER BY i, k) - 1)::INT AS ordinal, content FROM flat)"""
 
 
-PACKED_SQL = recursive_sql("(SELECT doc_id::VARCHAR AS doc_id, text FROM documents)", "text", "chr(10)")
+PACKED_SQL = recursive_sql("(SELECT doc_id AS page_id, doc_id::VARCHAR AS doc_id, text FROM documents)", "text", "chr(10)")
 
 
 @query("chk_02_paragraph_packing", f"""
@@ -107,14 +108,14 @@ def paragraph_packing(spark, sf_dir):
 
 
 SECTIONS_SQL = f"""(
-    SELECT doc_id, title, url, sec, any_value(heading) AS heading, {strip("string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT head)")} AS body
-    FROM (SELECT *, sum(head::INT) OVER (PARTITION BY doc_id ORDER BY i) AS sec,
+    SELECT page_id, doc_id, title, url, sec, any_value(heading) AS heading, {strip("string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT head)")} AS body
+    FROM (SELECT *, sum(head::INT) OVER (PARTITION BY page_id ORDER BY i) AS sec,
                  CASE WHEN head THEN {strip(sub(f"regexp_extract(line, {q('^#{1,4}' + V.WS + '+(.*)$')}, 1)", r"\s*\{#[^}]*\}\s*$"))} END AS heading
           FROM (SELECT *, fences % 2 = 0 AND regexp_matches(line, {q('^#{1,4}' + V.WS + '+')}) AS head
-                FROM (SELECT *, sum(starts_with(line, '```')::INT) OVER (PARTITION BY doc_id ORDER BY i) AS fences
-                      FROM (SELECT doc_id, title, url, unnest(ls) AS line, generate_subscripts(ls, 1) AS i
+                FROM (SELECT *, sum(starts_with(line, '```')::INT) OVER (PARTITION BY page_id ORDER BY i) AS fences
+                      FROM (SELECT page_id, doc_id, title, url, unnest(ls) AS line, generate_subscripts(ls, 1) AS i
                             FROM (SELECT *, string_split(content, chr(10)) AS ls FROM {markdown_sql()})))))
-    GROUP BY doc_id, title, url, sec)"""
+    GROUP BY page_id, doc_id, title, url, sec)"""
 
 
 @query("chk_03_heading_sections", f"""
@@ -126,9 +127,9 @@ def heading_sections(spark, sf_dir):
 
 
 HEADER_SQL = f"""(
-    SELECT doc_id, section, url, title, content, (row_number() OVER (PARTITION BY doc_id ORDER BY sec, s) - 1)::INT AS ordinal
-    FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY sec, s) AS first
-          FROM (SELECT doc_id, title, url, sec, heading AS section, s, least(len(w) - s, {V.CHUNK_SIZE}) AS n,
+    SELECT page_id, doc_id, section, url, title, content, (row_number() OVER (PARTITION BY page_id ORDER BY sec, s) - 1)::INT AS ordinal
+    FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY sec, s) AS first
+          FROM (SELECT page_id, doc_id, title, url, sec, heading AS section, s, least(len(w) - s, {V.CHUNK_SIZE}) AS n,
                        title || CASE WHEN coalesce(heading, '') <> '' THEN ' — ' || heading ELSE '' END
                        || chr(10) || chr(10) || array_to_string(w[s + 1:s + {V.CHUNK_SIZE}], ' ') AS content
                 FROM (SELECT *, unnest(generate_series(0, len(w) - 1, 180)) AS s

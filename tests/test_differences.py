@@ -49,3 +49,27 @@ def test_base64_runs_begin_at_eighteen_bytes(spark, tmp_path, n, found):
     docs = spark.createDataFrame([(1, "Inly onhe hastion ble"[:n])], "doc_id long, text string")
     text, done = twin(spark, tmp_path, "prj_07_decode_base64", documents=docs)
     assert text == "" and done.count() == found
+
+
+def pages(spark):
+    """Two pages of one address with different text, and one of its own."""
+    body = "<article><h1>Top</h1><p><b>Lead</b> {0}<br>{0}</p><p>{1}</p></article>"
+    made = [(1, "https://a.example/x", body.format("one two three four " * 40, "five six " * 90)),
+            (2, "https://a.example/x", body.format("other words of it " * 50, "seven eight " * 20)),
+            (3, "https://a.example/y", body.format("last page here now " * 60, "nine ten " * 10))]
+    return spark.createDataFrame([(i, u, f"<html><head><title>T</title></head><body>{h}</body></html>") for i, u, h in made],
+                                 "page_id long, url string, html string")
+
+
+@pytest.mark.parametrize("name", ["chk_03_heading_sections", "chk_04_heading_chunks", "chk_06_dispatch", "snk_14_index_build",
+                                  "agg_33_store_statistics", "snk_02_rebuild_strategy", "snk_03_upsert_store"])
+def test_pages_of_one_address(spark, tmp_path, name):
+    text, done = twin(spark, tmp_path, name, pages=pages(spark))
+    assert text == "" and done.count() > 0
+
+
+def test_upsert_of_a_key_given_twice(spark):
+    old = spark.createDataFrame([(1, "s", "a", [1.0]), (1, "s", "b", [1.0]), (2, "s", "c", [1.0])], "chunk_id int, source string, content string, embedding array<float>")
+    new = spark.createDataFrame([(1, "t", "x", [2.0]), (1, "t", "y", [3.0]), (3, "t", "z", [4.0]), (3, "t", "z", [4.0])], old.schema)
+    done = sorted(tuple(r) for r in writers.upsert(old, new).select("chunk_id", "source", "content").collect())
+    assert done == [(1, "s", "y"), (1, "s", "y"), (2, "s", "c"), (3, "t", "z")]
