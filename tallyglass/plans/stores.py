@@ -102,7 +102,7 @@ def rebuild_strategy(spark, sf_dir):
 
 
 @query("snk_03_upsert_store", f"""
-    SELECT doc_id, ordinal, title AS doc_title, md5(CASE WHEN ordinal = 0 THEN 'new: ' || content ELSE content END) AS digest, ordinal = 0 AS embedded_anew
+    SELECT doc_id, ordinal, title AS doc_title, md5(CASE WHEN ordinal = 0 THEN 'new: ' || max(content) OVER (PARTITION BY doc_id, ordinal) ELSE content END) AS digest, ordinal = 0 AS embedded_anew
     FROM (SELECT doc_id, title, ordinal, content FROM {HEADER_SQL})""")
 def upsert_store(spark, sf_dir):
     """First chunks are upserted with another title, text and vector: the stored title stays, text and vector change."""

@@ -106,10 +106,14 @@ def load_chunks(rows: DataFrame, path: str) -> int:
 
 def upsert(existing: DataFrame, new: DataFrame, key: str = "chunk_id",
            updated: tuple[str, ...] = ("content", "embedding")) -> DataFrame:
-    """Rows of both sides by key. For a key on both sides only `updated` columns change."""
+    """Rows of both sides by key. For a key on both sides only `updated` columns change.
+
+    Of several new rows with one key the greatest by its updated columns counts, so no row is multiplied.
+    """
     others = [c for c in existing.columns if c != key]
     old = existing.select(key, F.struct(*others).alias("_old"))
-    add = new.select(key, F.struct(*others).alias("_new"))
+    ranked = [*updated, *[c for c in others if c not in updated]]
+    add = new.groupBy(key).agg(F.max(F.struct(*ranked)).alias("_new"))
     joined = old.join(add, key, "full")
     pick = lambda c: F.when(F.col("_new").isNull(), F.col(f"_old.{c}")).when(
         F.col("_old").isNull(), F.col(f"_new.{c}")).otherwise(F.col(f"_new.{c}" if c in updated else f"_old.{c}"))
