@@ -194,8 +194,8 @@ def review_samples(spark, sf_dir):
     from ..operators import reviews as R
 
     path = folder(spark)
-    commits, files, diffs, blame = history(spark, sf_dir)
-    samples = R.defect_samples(commits, files, diffs, blame).unionByName(R.clean_samples(commits, files, diffs))
+    split = history(spark, sf_dir, split=True)
+    samples = R.defect_samples(*history(spark, sf_dir)).unionByName(R.clean_samples(*split[:3]))
     writers.save_samples(samples, path)
     return spark.read.schema(readers.REVIEW_SAMPLE).json(path).groupBy("has_defect").agg(F.count("*").alias("n"))
 

@@ -73,3 +73,18 @@ def test_upsert_of_a_key_given_twice(spark):
     new = spark.createDataFrame([(1, "t", "x", [2.0]), (1, "t", "y", [3.0]), (3, "t", "z", [4.0]), (3, "t", "z", [4.0])], old.schema)
     done = sorted(tuple(r) for r in writers.upsert(old, new).select("chunk_id", "source", "content").collect())
     assert done == [(1, "s", "y"), (1, "s", "y"), (2, "s", "c"), (3, "t", "z")]
+
+
+@pytest.mark.parametrize("name", ["agg_39_blame_origin", "jon_09_defect_samples"])
+def test_blame_follows_whole_files(spark, name):
+    paths = {r["path"] for r in entry.queries()[name](spark, "/root/testdata/sf0.01").collect()}
+    assert paths and all(p.removeprefix("src/m").removesuffix(".py").isdigit() for p in paths)
+
+
+@pytest.mark.parametrize("name", ["agg_39_blame_origin", "jon_09_defect_samples", "src_17_history_tables"])
+def test_history_is_not_sent_through_the_driver(spark, sf_dir, name, monkeypatch):
+    from tallyglass.plans import history
+
+    tables = history.history(spark, sf_dir, split=name.startswith("src"))
+    done = tables[3] if name.startswith("src") else entry.queries()[name](spark, sf_dir)
+    assert "Broadcast" not in done._jdf.queryExecution().sparkPlan().toString()
