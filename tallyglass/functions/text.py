@@ -255,7 +255,7 @@ def strip_causal_link(text) -> Column:
 
 def strip_evidence(text) -> Column:
     text = F.regexp_replace(
-        _col(text), unicode_pattern(r"\b\d+(\.\d+)?\s*(ms|s|%|/\d+|gib?|mib?)\b", "i"), "some amount")
+        _col(text), unicode_pattern(rf"\b\d+(\.\d+)?[{V.JVM_WS_CHARS}]*(ms|s|%|/\d+|gib?|mib?)\b", "i"), "some amount")
     text = F.regexp_replace(text, unicode_pattern(r"\bv\d+\.\d+\.\d+\b"), "a recent release")
     return F.regexp_replace(text, unicode_pattern(r"\b\d{2,}\b"), "several")
 

@@ -88,3 +88,12 @@ def test_history_is_not_sent_through_the_driver(spark, sf_dir, name, monkeypatch
     tables = history.history(spark, sf_dir, split=name.startswith("src"))
     done = tables[3] if name.startswith("src") else entry.queries()[name](spark, sf_dir)
     assert "Broadcast" not in done._jdf.queryExecution().sparkPlan().toString()
+
+
+def test_evidence_next_to_other_letters(spark, tmp_path):
+    texts = ["12é ms", "é12 ms", "7%é", "12 msé", "12 mſ", "٣٤ ms", "12٣", "v1.2.3é", "3/45é and 3/45", "12\x1cms", "ß12 12", "12 ms 34 gib", None, ""]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    text, done = twin(spark, tmp_path, "prj_30_damage", documents=docs)
+    assert text == ""
+    cut = docs.select(X.strip_evidence("text")).collect()
+    assert [r[0] for r in cut[:2]] == ["12é ms", "é12 ms"] and cut[9][0] == "some amount"
