@@ -202,7 +202,9 @@ def review_samples(spark, sf_dir):
 
 def event_stream(spark, sf_dir, name="events"):
     schema = table(spark, sf_dir, name).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+    # A table is a file or a folder of files. A filter by name would drop the files of a folder, a plain path a single
+    # file; a pattern finds both.
+    return spark.readStream.schema(schema).parquet(f"{sf_dir}/{name}.parque[t]")
 
 
 @query("snk_07_span_append", "SELECT count(*) AS spans, count(DISTINCT event_id) AS distinct_spans FROM events")

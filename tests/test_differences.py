@@ -97,3 +97,9 @@ def test_evidence_next_to_other_letters(spark, tmp_path):
     assert text == ""
     cut = docs.select(X.strip_evidence("text")).collect()
     assert [r[0] for r in cut[:2]] == ["12é ms", "é12 ms"] and cut[9][0] == "some amount"
+
+
+def test_streams_of_folders(spark, tmp_path):
+    rows = spark.read.parquet("/root/testdata/sf0.001/conversations.parquet")
+    text, done = twin(spark, tmp_path, "str_09_taint_stream", conversations=rows)
+    assert text == "" and done.count() == rows.count()
