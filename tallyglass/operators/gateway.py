@@ -303,10 +303,11 @@ def near_budget_alert(spend: DataFrame, budgets: DataFrame, ts: str = "ts") -> D
     Utilisation is a gauge: it keeps its last value in buckets without spend, so the time above
     the limit counts from the first bucket that crossed it.
     """
-    cut = spend.groupBy("tenant", bucket_start(ts).alias("bucket")).agg(F.sum("cost_usd").alias("cost_usd"))
+    exact = F.col("cost_usd").cast("decimal(28,12)")      # a sum of doubles depends on their order, and the limit is met exactly
+    cut = spend.groupBy("tenant", bucket_start(ts).alias("bucket")).agg(F.sum(exact).alias("cost_usd"))
     running = F.sum("cost_usd").over(Window.partitionBy("tenant").orderBy("bucket"))
     used = cut.withColumn("_used", running).join(budgets.select("tenant", "budget_usd"), "tenant")
-    rows = used.withColumn("utilisation", F.coalesce(F.try_divide("_used", "budget_usd"), F.lit(0.0)))
+    rows = used.withColumn("utilisation", F.coalesce(F.try_divide(F.col("_used").cast("double"), "budget_usd"), F.lit(0.0)))
     since = rows.filter(F.col("utilisation") > V.NEAR_BUDGET).groupBy("tenant").agg(F.min("bucket").alias("_since"))
     firing = F.coalesce(F.col("bucket") - F.col("_since") >= V.NEAR_BUDGET_HELD_S, F.lit(False))
     return rows.join(since, "tenant", "left").withColumn("firing", firing).select("tenant", "bucket", "utilisation", "firing")

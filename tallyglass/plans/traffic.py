@@ -312,9 +312,9 @@ def held_for(spark, sf_dir):
     SELECT 'latency' AS alert, NULL::BIGINT AS tenant, bucket, firing FROM {held_sql(p95_sql("bucket", SERVED_BUCKETS_SQL), "p95 > 30", 600, "n")}
     UNION ALL SELECT 'upstream', NULL, bucket, firing FROM {held_sql(f"(SELECT bucket, count(*) FILTER (WHERE denial IS NULL AND provider IS NULL) AS n FROM {BUCKETED_SQL} GROUP BY 1)", "n > 0", 180, "n")}
     UNION ALL SELECT 'near_budget', tenant, bucket, coalesce(bucket - since >= 1800, false) FROM (
-      SELECT *, min(bucket) FILTER (WHERE used > 0.9) OVER (PARTITION BY tenant) AS since FROM (
-        SELECT tenant, bucket, sum(c) OVER (PARTITION BY tenant ORDER BY bucket) / 1.0 AS used FROM (
-          SELECT tenant, bucket, sum(cost_usd) AS c FROM {SERVED_BUCKETS_SQL} GROUP BY 1, 2)))""")
+      SELECT *, min(bucket) FILTER (WHERE used > 0.9::DOUBLE) OVER (PARTITION BY tenant) AS since FROM (
+        SELECT tenant, bucket, (sum(c) OVER (PARTITION BY tenant ORDER BY bucket))::DOUBLE / 1.0 AS used FROM (
+          SELECT tenant, bucket, sum(cost_usd::DECIMAL(28,12)) AS c FROM {SERVED_BUCKETS_SQL} GROUP BY 1, 2)))""")
 def other_alerts(spark, sf_dir):
     rows = requests(spark, sf_dir)
     none = F.lit(None).cast("long").alias("tenant")

@@ -103,3 +103,13 @@ def test_streams_of_folders(spark, tmp_path):
     rows = spark.read.parquet("/root/testdata/sf0.001/conversations.parquet")
     text, done = twin(spark, tmp_path, "str_09_taint_stream", conversations=rows)
     assert text == "" and done.count() == rows.count()
+
+
+def test_spend_that_meets_the_limit(spark):
+    from tallyglass.operators import gateway
+
+    for costs in ([0.1] * 9, [0.3, 0.1, 0.2, 0.3], [0.3, 0.3, 0.2, 0.1]):
+        spend = spark.createDataFrame([(1, i * 300, c) for i, c in enumerate(costs + [0.0] * 8)], "tenant long, s long, cost_usd double") \
+            .withColumn("ts", F.timestamp_seconds("s"))
+        done = gateway.near_budget_alert(spend, spark.createDataFrame([(1, 1.0)], "tenant long, budget_usd double"))
+        assert not done.where("firing OR utilisation > 0.9").count() and done.agg(F.max("utilisation")).head()[0] == 0.9
