@@ -5,7 +5,7 @@ from __future__ import annotations
 import warnings
 
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, functions as F
 
 from .. import fixed_values as V
@@ -32,10 +32,15 @@ def train(samples: DataFrame, vector: str = "embedding", strength: float = STREN
 
 
 def score(model, samples: DataFrame, vector: str = "embedding") -> DataFrame:
-    rows = samples.withColumn("features", array_to_vector(F.col(vector).cast("array<double>")))
-    scored = model.transform(rows)
-    return scored.withColumn("score", vector_to_array("probability")[1]) \
-        .drop("features", "rawPrediction", "probability", "prediction")
+    """The model's probability as a column expression of its weights; the fitted model, with its training
+    summary, is no part of what is sent to the tasks. A vector of another length is an error."""
+    weights = [float(w) for w in model.coefficients.toArray()]
+    asked = F.col(vector)
+    checked = F.when(F.size(asked) == len(weights), asked).otherwise(F.raise_error(F.concat(
+        F.lit(f"the model has {len(weights)} weights, the vector "), F.size(asked).cast("string"), F.lit(" values"))))
+    dot = F.aggregate(F.zip_with(checked, F.array(*[F.lit(w) for w in weights]), lambda x, w: x.cast("double") * w),
+                      F.lit(0.0), lambda s, x: s + x)
+    return samples.withColumn("score", 1.0 / (1.0 + F.exp(-(dot + F.lit(float(model.intercept))))))
 
 
 def scan(model, samples: DataFrame, threshold: float = V.CLASSIFIER_FIRE, vector: str = "embedding") -> DataFrame:

@@ -113,3 +113,18 @@ def test_spend_that_meets_the_limit(spark):
             .withColumn("ts", F.timestamp_seconds("s"))
         done = gateway.near_budget_alert(spend, spark.createDataFrame([(1, 1.0)], "tenant long, budget_usd double"))
         assert not done.where("firing OR utilisation > 0.9").count() and done.agg(F.max("utilisation")).head()[0] == 0.9
+
+
+def test_scores_need_no_model_in_the_tasks(spark, sf_dir):
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from tallyglass.operators import learned
+    from tallyglass.plans import guard
+
+    rows = guard.vector_samples(spark, sf_dir)
+    model = learned.train(rows)
+    done = learned.score(model, rows)
+    assert "UDF" not in done._jdf.queryExecution().optimizedPlan().toString()
+    ready = rows.withColumn("features", array_to_vector(F.col("embedding").cast("array<double>")))
+    want = model.transform(ready).select("id", vector_to_array("probability")[1].alias("p"))
+    assert done.columns == [*rows.columns, "score"]
+    assert done.join(want, "id").agg(F.max(F.abs(F.col("score") - F.col("p")))).head()[0] < 1e-12
