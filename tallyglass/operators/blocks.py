@@ -17,6 +17,7 @@ from ..session import materialise
 BLOCK_BYTES = 8 << 20     # of queries that a task holds at once
 SLICE = 1024              # queries scored together
 SCORE_DIGITS = 9          # copies must tie, whatever order their terms were summed in
+CELLS = 1 << 22           # scores (rows x queries) that a task computes at once
 
 
 def row_blocks(rows: DataFrame, size: Callable[[Row], int], most: int = BLOCK_BYTES, count: int | None = None) -> Iterator[list[Row]]:
@@ -62,6 +63,34 @@ class BestRows:
         return [(name, i, -s) for name, best in zip(names, self.best) for s, i in best]
 
 
+class NearRows:
+    """The rows of every query that can be among its k best, from scores that are off by an error at most.
+
+    A row is dropped once k others are certainly better, so a query holds few rows more than k, whatever the
+    corpus size; of more than `most` the best by score are kept, ties by id.
+    """
+
+    def __init__(self, queries: int, k: int, most: int):
+        self.k, self.most, self.best, self.floor = k, most, [[] for _ in range(queries)], np.full(queries, -np.inf)
+
+    def add(self, scores: np.ndarray, errors: np.ndarray, ids: list, queries: np.ndarray) -> None:
+        """`scores` and `errors` of rows (first axis, in the order of their ids) for queries (second axis)."""
+        floor = self.floor[queries]
+        if len(ids) >= self.k:
+            floor = np.maximum(floor, np.partition(scores - errors, len(ids) - self.k, axis=0)[len(ids) - self.k])
+        near = scores + errors >= floor
+        for j in np.flatnonzero(near.any(axis=0)).tolist():
+            at, q = np.flatnonzero(near[:, j]), int(queries[j])
+            rows = sorted([*self.best[q], *((-s, ids[i], e) for s, i, e in zip(scores[at, j].tolist(), at.tolist(), errors[at, j].tolist()))])
+            if len(rows) >= self.k:
+                self.floor[q] = max(floor[j], sorted((-s - e for s, _, e in rows), reverse=True)[self.k - 1])
+                rows = [r for r in rows if -r[0] + r[2] >= self.floor[q]]
+            self.best[q] = rows[:self.most]
+
+    def rows(self, names: list) -> list[tuple]:
+        return [(name, i, -s) for name, best in zip(names, self.best) for s, i, _ in best]
+
+
 def by_id(ids: list) -> list[int]:
     return sorted(range(len(ids)), key=ids.__getitem__)
 

@@ -21,9 +21,19 @@ from .. import fixed_values as V
 from ..functions import text as X
 from ..functions.arrays import unfold
 from ..session import materialise
-from .blocks import BLOCK_BYTES, SCORE_DIGITS, BestRows, by_id, hit_batch, hit_schema, plain_ids, rank_rows, row_blocks
+from .blocks import BLOCK_BYTES, CELLS, SCORE_DIGITS, BestRows, by_id, hit_batch, hit_schema, plain_ids, rank_rows, row_blocks
 
-CELLS = 1 << 22           # scores (chunks x queries) that a task computes at once
+TOKENS = 1 << 20          # words that are counted at once
+
+
+def _runs(weights: np.ndarray, most: int, rows: int) -> Iterator[tuple[int, int]]:
+    """(first, number) of consecutive rows that weigh at most `most` together (or one row), `rows` at most."""
+    ends, low = np.cumsum(weights), 0
+    while low < len(weights):
+        before = int(ends[low - 1]) if low else 0
+        high = max(low + 1, min(int(np.searchsorted(ends, before + most, side="right")), low + rows))
+        yield low, high - low
+        low = high
 
 
 class LexicalIndex(NamedTuple):
@@ -54,7 +64,8 @@ def build_lexical_index(chunks: DataFrame, *, id_col: str, text: str, where: Col
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(id, tokens) to (id, number of tokens, distinct terms in order, their counts)."""
-    for batch in batches:
+    lengths = lambda b: pc.list_value_length(b.column(1)).to_numpy(zero_copy_only=False)
+    for batch in (b.slice(low, n) for b in batches for low, n in _runs(lengths(b), TOKENS, b.num_rows)):
         lists = batch.column(1)
         words = lists.flatten().dictionary_encode()
         n = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
@@ -94,10 +105,14 @@ def _scorer(held, k: int, arrow: pa.Schema, average: float, k1: float, b: float,
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, vocabulary, first, query, weight = held.value
         kept, known = BestRows(len(names), k), pa.array(vocabulary, pa.string())
-        size = max(1, CELLS // max(1, len(names)))
+        size, asked = max(1, CELLS // max(1, len(names))), np.append(np.diff(first), 0)
         for whole in batches:
-            for low in range(0, whole.num_rows, size):
-                batch = whole.slice(low, size)
+            # A frequent word meets most queries: its pairs are bounded as the scores are.
+            met = asked[pc.index_in(whole.column(2).flatten(), value_set=known).fill_null(-1).to_numpy(zero_copy_only=False)]
+            ends = np.cumsum(np.append(0, pc.list_value_length(whole.column(2)).to_numpy(zero_copy_only=False)))
+            pairs = np.diff(np.append(0, np.cumsum(met))[ends])
+            for low, n in _runs(pairs, CELLS, size):
+                batch = whole.slice(low, n)
                 ids = plain_ids(batch.column(0))
                 order = np.array(by_id(ids), np.int64)
                 place = np.empty(len(ids), np.int64)

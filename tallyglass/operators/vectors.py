@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..session import checkpoint_dir, materialise
-from .blocks import BLOCK_BYTES, SCORE_DIGITS, SLICE, BestRows, by_id, hit_batch, hit_schema, plain_ids, rank_rows, row_blocks
+from .blocks import BLOCK_BYTES, CELLS, SCORE_DIGITS, SLICE, BestRows, NearRows, by_id, hit_batch, hit_schema, plain_ids, rank_rows, row_blocks
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -48,6 +48,14 @@ def _check(vectors: np.ndarray, queries: np.ndarray) -> None:
         raise ValueError(f"corpus vectors have {vectors.shape[1]} values, query vectors {queries.shape[1]}")
 
 
+def _cut(batches: Iterator[pa.RecordBatch], queries: int) -> Iterator[pa.RecordBatch]:
+    """Batches of no more rows than `CELLS` scores allow."""
+    size = max(1, CELLS // max(1, min(queries, SLICE)))
+    for batch in batches:
+        for low in range(0, batch.num_rows, size):
+            yield batch.slice(low, size)
+
+
 def exact_search(corpus: DataFrame, queries: DataFrame, k: int, *, id_col: str, vector: str, query_id: str,
                  query_vector: str, where: Column | None = None, block: int | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(query_id, id, score, rank), best first. `where` restricts the corpus, as to one chunking strategy;
@@ -67,9 +75,7 @@ def exact_search(corpus: DataFrame, queries: DataFrame, k: int, *, id_col: str,
         def best(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             names, asked = held.value
             kept = BestRows(len(names), k)
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
+            for batch in _cut(batches, len(names)):
                 ids = plain_ids(batch.column(0))
                 order = by_id(ids)
                 ids, vectors = [ids[i] for i in order], _matrix(batch.column(1))[order]
@@ -206,8 +212,9 @@ def cell_search(index: CellIndex, queries: DataFrame, k: int, *, query_id: str,
     """Approximate neighbours: (query_id, id, score, rank, n_read, n_rescored).
 
     Only the files of the nearest `probes` cells of each query are read. First their codes, a quarter of
-    the vectors' bytes, choose `rescore` rows per query; then those alone are scored exactly. n_read and
-    n_rescored count the query's rows in its cells and those scored exactly.
+    the vectors' bytes, choose the rows that can be among the best k, by the most a code can be off, and
+    `rescore` per query at most; then those alone are scored exactly. n_read and n_rescored count the
+    query's rows in its cells and those scored exactly.
     """
     spark = queries.sparkSession
     if not len(index.centres):
@@ -228,8 +235,8 @@ def cell_search(index: CellIndex, queries: DataFrame, k: int, *, query_id: str,
 
         def chosen(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             names, asked, by_cell = held.value
-            kept = BestRows(len(names), rescore)
-            for batch in batches:
+            kept, length = NearRows(len(names), k, rescore), np.linalg.norm(asked, axis=1)
+            for batch in _cut(batches, len(names)):
                 cell, scale = batch.column(0).to_numpy(), batch.column(2).to_numpy()
                 for c in np.unique(cell):
                     at = np.flatnonzero(cell == c)
@@ -240,7 +247,10 @@ def cell_search(index: CellIndex, queries: DataFrame, k: int, *, query_id: str,
                     mine = by_cell[int(c)]
                     for low in range(0, len(mine), SLICE):
                         q = mine[low:low + SLICE]
-                        kept.add(np.round(codes @ asked[q].T * scale[at][order][:, None], SCORE_DIGITS), [ids[i] for i in order], q)
+                        # A code is off by half a step in every place at most, and the sums by their rounding.
+                        off = scale[at][order] / 2 * codes.shape[1] ** 0.5
+                        kept.add(np.round(codes @ asked[q].T * scale[at][order][:, None], SCORE_DIGITS),
+                                 off[:, None] * length[q] + 1e-8, [ids[i] for i in order], q)
             yield hit_batch(kept.rows(names), arrow)
 
         near = some.select("cell", "id", "scale", "code").mapInArrow(chosen, schema)

@@ -128,3 +128,35 @@ def test_scores_need_no_model_in_the_tasks(spark, sf_dir):
     want = model.transform(ready).select("id", vector_to_array("probability")[1].alias("p"))
     assert done.columns == [*rows.columns, "score"]
     assert done.join(want, "id").agg(F.max(F.abs(F.col("score") - F.col("p")))).head()[0] < 1e-12
+
+
+def test_rows_held_for_a_query_do_not_grow_with_the_corpus():
+    import numpy as np
+    from tallyglass.operators.blocks import NearRows
+
+    rng = np.random.default_rng(7)
+    for n in (2_000, 40_000):
+        true = rng.normal(size=(n, 3))
+        off = rng.uniform(0.001, 0.01, size=(n, 3))
+        seen = true + off * rng.uniform(-1, 1, size=(n, 3))
+        near = NearRows(3, 10, n)
+        for low in range(0, n, 700):
+            near.add(seen[low:low + 700], off[low:low + 700], list(range(low, min(low + 700, n))), np.arange(3))
+        held = near.rows(["a", "b", "c"])
+        for j, name in enumerate("abc"):
+            mine = {i for q, i, _ in held if q == name}
+            assert set(np.argsort(-true[:, j])[:10].tolist()) <= mine and len(mine) < 60
+
+
+def test_frequent_words_are_scored_in_bounded_pieces(spark, monkeypatch):
+    import numpy as np
+    from tallyglass.operators import lexical
+
+    assert list(lexical._runs(np.array([3, 3, 9, 1, 0, 2]), 6, 2)) == [(0, 2), (2, 1), (3, 2), (5, 1)]
+    chunks = spark.createDataFrame([(i, "the the cat " + f"w{i % 7} " * (i % 5)) for i in range(300)], "id long, content string")
+    asked = spark.createDataFrame([(i, f"the cat w{i % 7}") for i in range(40)], "q long, query string")
+    find = lambda: [tuple(r) for r in lexical.bm25_search(chunks, asked, 5, id_col="id", text="content", query_id="q", query="query").orderBy("query_id", "rank").collect()]
+    whole = find()
+    monkeypatch.setattr(lexical, "CELLS", 50)
+    monkeypatch.setattr(lexical, "TOKENS", 20)
+    assert find() == whole and len(whole) == 200
