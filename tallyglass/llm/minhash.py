@@ -18,6 +18,7 @@ depends on how often a text was copied; the plain one does not. The query and th
 Groups. `ROWS` samples in a row form a band; texts that share a band are candidates, linked through
 `linking.link_buckets` (no pairs inside a group, none across groups lost), compared by the last bits of
 their samples and verified by the exact Jaccard similarities of their whole texts. Equal texts are one class before that.
+Texts are sent to cells of about `CELL` characters, once for all pairs there, not with each pair.
 
 Edge cases: null text counts as empty; equal texts, empty ones too, are one class. A text of fewer
 than five words has one shingle, all its words; texts without words only match their equals. The
@@ -51,6 +52,7 @@ RARE = 100
 # 6.4 of 64 are expected to, with a deviation of 2.4, so that fewer than one link in 100,000 is missed.
 MAX_BITS = 18
 SKETCHES = ("weighted", "plain")
+CELL = 1 << 22    # characters of the texts that are compared in one task at a time
 _DRAWS = 1 << 20  # draws held at once for empty bins
 
 
@@ -186,7 +188,8 @@ def _signed(batches: Iterator[pa.RecordBatch], idf: np.ndarray, plain: bool) ->
             has = np.bincount(of, minlength=b - a) > 0
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(has * keys.shape[1]))), pa.int32()),
                                              pa.array(keys[has].reshape(-1)))
-            yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), lists, *map(pa.array, sketches)], names=["id", "bands", *SKETCHES[:len(sigs)]])
+            sizes = pa.array([len(t) for t in texts[a:b]], pa.int64())
+            yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), lists, *map(pa.array, sketches), sizes], names=["id", "bands", *SKETCHES[:len(sigs)], "size"])
 
 
 def weighted_jaccard(a: tuple, b: tuple) -> float:
@@ -203,22 +206,38 @@ def plain_jaccard(a: tuple, b: tuple) -> float:
     return weighted_jaccard(*((x[0], np.ones(len(x[0]))) for x in (a, b)))
 
 
-def _verified(batches: Iterator[pa.RecordBatch], idf: np.ndarray, least: float, plain: float | None) -> Iterator[pa.RecordBatch]:
-    def vector(text):
-        _, h, tf = text_shingles([text], SHINGLE)
-        return h, tf * idf[(h % np.uint64(DF_BINS)).astype(np.int64)]
-
-    known: tuple = (None, None)   # the pairs of a leader come in a row
-    for batch in batches:
-        a, b, ta, tb = (c.to_pylist() for c in batch.columns)
-        keep = []
-        for i in range(len(a)):
-            if known[0] != a[i]:
-                known = (a[i], vector(ta[i]))
-            other = vector(tb[i])
-            keep.append(weighted_jaccard(known[1], other) >= least or plain is not None and plain_jaccard(known[1], other) >= plain)
-        yield pa.RecordBatch.from_pydict({"a": [x for x, k in zip(a, keep) if k], "b": [x for x, k in zip(b, keep) if k]},
-                                         schema=pa.schema([("a", pa.int64()), ("b", pa.int64())]))
+def _cell_links(pairs: pa.Table, texts: pa.Table, idf: np.ndarray, least: float, plain: float | None) -> pa.Table:
+    """The links among the pairs of a cell; each of its texts is cut into shingles once."""
+    at = {t: i for i, t in enumerate(texts.column("tid").to_pylist())}
+    whole = texts.column("t").to_pylist()
+    vectors = []
+    for lo, hi in in_chunks(whole):
+        of, h, tf = text_shingles(whole[lo:hi], SHINGLE)
+        weight = tf * idf[(h % np.uint64(DF_BINS)).astype(np.int64)]
+        ends = np.searchsorted(of, np.arange(hi - lo + 1))
+        vectors += [(h[i:j], weight[i:j]) for i, j in zip(ends[:-1], ends[1:])]
+    a, b = pairs.column("a").to_pylist(), pairs.column("b").to_pylist()
+    keep = []
+    for x, y in zip(a, b):
+        u, v = vectors[at[x]], vectors[at[y]]
+        keep.append(weighted_jaccard(u, v) >= least or plain is not None and plain_jaccard(u, v) >= plain)
+    return pairs.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+
+def _cells(pairs: DataFrame, sizes: DataFrame) -> DataFrame:
+    """`cell, a, b`: pairs dealt so that the texts of a cell have about 2 * CELL characters at most.
+
+    Small families share cells. A large one is dealt into blocks by hash, and a cell is two blocks: a text goes to as
+    many cells as its family has blocks, however many pairs it is in.
+    """
+    nodes = pairs.select("family", F.explode(F.array("a", "b")).alias("tid")).distinct().join(sizes, "tid")
+    nodes = materialise(nodes)
+    parts = max(1, (nodes.agg(F.sum("size")).first()[0] or 0) // CELL)
+    of = nodes.groupBy("family").agg(F.ceil(F.sum("size") / CELL).alias("blocks"))
+    block = lambda n: F.pmod(F.xxhash64(n), F.greatest("blocks", F.lit(1)))
+    large = F.xxhash64("family", F.least(block("a"), block("b")), F.greatest(block("a"), block("b")))
+    return pairs.join(of, "family").select(
+        F.when(F.col("blocks") > 1, large).otherwise(F.pmod(F.xxhash64("family"), F.lit(parts))).alias("cell"), "a", "b")
 
 
 def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
@@ -232,20 +251,26 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text: str =
     counts, n_docs = document_frequencies(clean.select("t"))
     idf = spark.sparkContext.broadcast(idf_table(counts, n_docs))   # DF_BINS doubles
     kinds = SKETCHES if plain is not None else SKETCHES[:1]
-    signed = materialise(clean.mapInArrow(lambda it: _signed(it, idf.value, plain is not None), "id long, bands array<long>" + "".join(f", {k} long" for k in kinds)))
-    members = signed.select("id", F.struct(*kinds).alias("payload"), F.explode("bands").alias("bucket")).distinct()
+    sign = clean.mapInArrow(lambda it: _signed(it, idf.value, plain is not None),
+                            "id long, bands array<long>" + "".join(f", {k} long" for k in kinds) + ", size long")
+    signed = materialise(sign.dropDuplicates(["id"]))
+    members = signed.select(F.explode("bands").alias("bucket"), "id")
+    payloads = signed.select("id", F.struct(*kinds).alias("payload"))
     near = lambda a, b, k: F.bit_count(a[k].bitwiseXOR(b[k])) <= MAX_BITS
     alike = lambda a, b: reduce(lambda x, y: x | y, [near(a, b, k) for k in kinds])
+    known: list[DataFrame] = []   # the texts that share a band with another, shuffled once for all rounds
+
+    def prepare(ids: DataFrame) -> None:
+        known.append(materialise(clean.join(ids.withColumnRenamed("id", "tid"), "tid", "left_semi").dropDuplicates(["tid"])))
 
     def verify(pairs: DataFrame) -> DataFrame:
-        pairs = materialise(pairs)
-        asked = pairs.select(F.col("a").alias("tid")).union(pairs.select(F.col("b").alias("tid"))).distinct()
-        texts = materialise(clean.join(asked, "tid", "left_semi").dropDuplicates(["tid"]))
-        side = lambda n: texts.select(F.col("tid").alias(n), F.col("t").alias(f"t{n}"))
-        both = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "ta", "tb")
-        return both.mapInArrow(lambda it: _verified(it, idf.value, least, plain), "a long, b long")
-
-    links, groups = link_buckets(members, verify, alike)
+        pairs = materialise(_cells(materialise(pairs), signed.select(F.col("id").alias("tid"), "size")))
+        asked = pairs.select(F.col("cell").alias("cell_of"), F.explode(F.array("a", "b")).alias("tid")).distinct()
+        texts = known[0].join(asked, "tid").select("cell_of", "tid", "t")
+        return pairs.groupBy("cell").cogroup(texts.groupBy("cell_of")).applyInArrow(
+            lambda p, t: _cell_links(p, t, idf.value, least, plain), "a long, b long")
+
+    links, groups = link_buckets(members, verify, alike, payloads, prepare)
     ends = links.select(F.explode(F.array("a", "b")).alias("tid")).groupBy("tid").agg(F.count("*").alias("n_links"))
     texts = signed.select(F.col("id").alias("tid")).distinct() \
         .join(groups.select(F.col("id").alias("tid"), "root"), "tid", "left").join(ends, "tid", "left")

@@ -257,6 +257,20 @@ def test_no_link_between_groups_is_lost(spark):
     assert {r["id"]: r["root"] for r in groups.collect()} == {i: 0 if i < 40 else 60 for i in ids}
 
 
+def test_an_id_is_first_compared_with_one_leader(spark):
+    """Sixty copies in five buckets of different leaders: a pair for each copy, not for each copy and bucket."""
+    members = spark.createDataFrame([(k, i) for k in range(5) for i in range(k, 60)], "bucket long, id long")
+    seen = []
+
+    def verify(pairs):
+        seen.extend((r["a"], r["b"]) for r in pairs.collect())
+        return pairs
+
+    _, groups = link_buckets(members, verify)
+    assert {r["id"]: r["root"] for r in groups.collect()} == dict.fromkeys(range(60), 0)
+    assert len(seen) == 59
+
+
 def brute_weighted(texts, idf):
     out = {}
     for i, t in texts.items():
