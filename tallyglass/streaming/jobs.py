@@ -19,15 +19,17 @@ from ..session import checkpoint_dir
 WATERMARK = "10 minutes"
 STATE_TTL_MS = V.STATE_TTL_DAYS * 24 * 3600 * 1000
 MILLIS = "at_ms"         # names that begin with an underscore do not reach the frames
-SLOT_MS = 60_000          # of rows that a fold holds at once, if a key's rows come in several frames
+SLOT_MS = 60_000          # of rows that a fold holds at once, if a key's rows come in several frames and more than HELD_ROWS
+HELD_ROWS = 1 << 19       # of one key, at once, unless a slot has more
+FAN = 32                  # parts into which a frame is cut at a time
 
 
 class KeyedFold(StatefulProcessor):
     """A fold step over the rows of each key, in the order of `order` whatever frames and files they come in.
 
     The state of a key is one value row. Rows of a micro-batch that come in several Arrow frames wait in the state
-    store by time slot and frame, so that no more than a slot's rows of one key are in memory; a single frame is
-    sorted as it is. `follow_up` names the time (ms) of the next timer of a state, `on_timer` what it does to the
+    store, dealt by time into about `FAN` parts a frame; parts with more than `HELD_ROWS` rows are dealt again, down to a slot,
+    so that no more than those or a slot's rows of one key are in memory. A single frame is sorted as it is. `follow_up` names the time (ms) of the next timer of a state, `on_timer` what it does to the
     state. The state is removed once the watermark is `ttl_ms` past the key's newest row.
     """
 
@@ -50,21 +52,35 @@ class KeyedFold(StatefulProcessor):
         if second is None:
             yield first
             return
-        slots: dict[int, int] = {}
-        for frame in itertools.chain((first, second), frames):
-            for slot, part in frame.groupby(frame[self.slot_by] // self.slot):
-                n = slots[int(slot)] = slots.get(int(slot), 0) + 1
+        self.parts = 0
+        span = [x for f in (first, second) for x in (int(f[self.slot_by].min()), int(f[self.slot_by].max()))]
+        yield from self._in_order(itertools.chain((first, second), frames), max(self.slot, (max(span) - min(span)) // FAN))
+
+    def _in_order(self, frames: Iterator[pd.DataFrame], width: int) -> Iterator[pd.DataFrame]:
+        """The rows dealt into ranges of `width`, one range after the other; each part has a number of its own."""
+        ranges: dict[int, list[int]] = {}
+        rows: dict[int, int] = {}
+        for frame in frames:
+            for at, part in frame.groupby(frame[self.slot_by] // width):
+                self.parts += 1
+                ranges.setdefault(int(at), []).append(self.parts)
+                rows[int(at)] = rows.get(int(at), 0) + len(part)
                 sink = pa.BufferOutputStream()
                 batch = pa.RecordBatch.from_pandas(part, preserve_index=False)
                 with pa.ipc.new_stream(sink, batch.schema) as writer:
                     writer.write_batch(batch)
-                self.waiting.updateValue((int(slot), n), (sink.getvalue().to_pybytes(),))
-        for slot in sorted(slots):
-            parts = []
-            for n in range(1, slots[slot] + 1):
-                parts.append(pa.ipc.open_stream(self.waiting.getValue((slot, n))[0]).read_pandas())
-                self.waiting.removeKey((slot, n))
-            yield pd.concat(parts, ignore_index=True)
+                self.waiting.updateValue((int(at), self.parts), (sink.getvalue().to_pybytes(),))
+        for at in sorted(ranges):
+            stored = self._taken(at, ranges[at])
+            if rows[at] > HELD_ROWS and width > self.slot:
+                yield from self._in_order(stored, max(self.slot, width // FAN))
+            else:
+                yield pd.concat(list(stored), ignore_index=True)
+
+    def _taken(self, at: int, parts: list[int]) -> Iterator[pd.DataFrame]:
+        for n in parts:
+            yield pa.ipc.open_stream(self.waiting.getValue((at, n))[0]).read_pandas()
+            self.waiting.removeKey((at, n))
 
     def _set_timers(self, held: tuple, newest: int, now: int) -> None:
         old = self.timers.get() if self.timers.exists() else (-1, -1)

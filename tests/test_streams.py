@@ -1,6 +1,8 @@
 """Stateful streams over several files and batches: equal to the batch, bounded by a slot of rows, and with an end."""
 
 from datetime import datetime, timedelta
+
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -89,3 +91,42 @@ def test_probe_timer(spark):
     held = ("open", 3, 100.0, 30.0)
     assert G.breaker_probe_ms(held) == 130_000 and G.breaker_half_open(held)[0] == "half_open"
     assert G.breaker_probe_ms(("closed", 0, -1.0, 30.0)) is None
+
+
+class Waiting(dict):
+    """Stands in for the map state, counting what is written."""
+    puts = 0
+
+    def updateValue(self, key, value):
+        self.puts += 1
+        self[key] = value
+
+    def getValue(self, key):
+        return self[key]
+
+    def removeKey(self, key):
+        del self[key]
+
+
+@pytest.mark.parametrize("held", [1 << 19, 500])
+def test_frames_wait_in_few_parts(monkeypatch, held):
+    """Four frames of a month, in disorder: not a part for each minute; ranges with too many rows are dealt again."""
+    monkeypatch.setattr(jobs, "HELD_ROWS", held)
+    times = [(i * 7919 % 8000) * 324_000 for i in range(8000)]
+    frames = [pd.DataFrame({jobs.MILLIS: times[k::4]}) for k in range(4)]
+    fold = jobs.KeyedFold(None, [jobs.MILLIS], [], "", 0, jobs.MILLIS, jobs.SLOT_MS)
+    fold.waiting = Waiting()
+    out = [sorted(f[jobs.MILLIS]) for f in fold._frames(iter(frames))]
+    assert [t for part in out for t in part] == sorted(times)
+    assert max(map(len, out)) <= held and not fold.waiting
+    assert fold.waiting.puts <= 4 * 2 * jobs.FAN
+    assert [len(f) for f in fold._frames(iter(frames[:1]))] == [2000]
+
+
+def test_large_ranges_are_dealt_again(monkeypatch):
+    monkeypatch.setattr(jobs, "HELD_ROWS", 50)
+    times = [(i * 7919 % 8000) * 324_000 for i in range(8000)]
+    fold = jobs.KeyedFold(None, [jobs.MILLIS], [], "", 0, jobs.MILLIS, jobs.SLOT_MS)
+    fold.waiting = Waiting()
+    out = [sorted(f[jobs.MILLIS]) for f in fold._frames(iter([pd.DataFrame({jobs.MILLIS: times[k::4]}) for k in range(4)]))]
+    assert [t for part in out for t in part] == sorted(times) and max(map(len, out)) <= 50 and not fold.waiting
