@@ -514,3 +514,17 @@ def test_warc_round_trip(spark, tmp_path):
     for r in rows.values():
         assert all(back[r["record_id"]][c] == r[c] for c in ("record_type", "refers_to", "target_uri", "block_digest", "block", "content_length"))
     assert warc.derive(warc.responses(pages.limit(0))).count() == 0
+
+
+def test_few_window_keys_and_bounds_of_the_edit_distance(spark):
+    """Each long line had 20 band keys of samples that unlike lines share; a moved line keeps its windows."""
+    rnd = random.Random(12)
+    word = lambda: "".join(rnd.choice("abcdeghinorst") for _ in range(rnd.randint(2, 8)))
+    x = " ".join(word() for _ in range(60))
+    pairs = spark.createDataFrame([(x, "new " + x), (x, " ".join(word() for _ in range(60))), (x, x[:150] + x[160:])], "a string, b string")
+    keys = [line_dedup.window_keys(F.col(c)) for c in "ab"]
+    got = pairs.select(F.size(keys[0]).alias("n"), F.size(F.array_intersect(*keys)).alias("both"),
+                       line_dedup.edit_similar(F.col("a"), F.col("b"), 0.9).alias("near")).collect()
+    assert all(0 < r["n"] <= line_dedup.KEPT for r in got)
+    assert got[0]["both"] and not got[1]["both"] and got[2]["both"]
+    assert [r["near"] for r in got] == [True, False, True]
