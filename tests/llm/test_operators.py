@@ -528,3 +528,38 @@ def test_few_window_keys_and_bounds_of_the_edit_distance(spark):
     assert all(0 < r["n"] <= line_dedup.KEPT for r in got)
     assert got[0]["both"] and not got[1]["both"] and got[2]["both"]
     assert [r["near"] for r in got] == [True, False, True]
+
+
+def test_a_passage_in_unlike_lines_makes_no_candidates(spark, monkeypatch):
+    """Lines that share a passage in other places, or of other lengths, met in its buckets until all pairs were verified."""
+    rnd = random.Random(14)
+    word = lambda: "".join(rnd.choice("abcdeghinorst") for _ in range(rnd.randint(2, 8)))
+    words = lambda n: [word() for _ in range(n)]
+    passage, base = words(12), words(60)
+    unlike = [" ".join(words(12 * k) + passage + words(60 - 12 * k)) for k in (0, 2, 4)] + [" ".join(passage + words(n)) for n in (20, 120, 300)]
+    near = [" ".join(base), " ".join(base[:30] + ["new"] + base[30:]), " ".join(base[2:])]
+    met = []
+    monkeypatch.setattr(line_dedup, "link_buckets", lambda members, *_: met.append({r["id"] for r in members.collect()}) or (None, None))
+    for lines in (unlike, near):
+        rows = frame(spark, [(i, x, None, None, None) for i, x in enumerate(lines)])
+        line_dedup.line_groups(line_dedup.lines_of(rows, "doc_id", "text"))
+    assert not met[0] and len(met[1]) == 3
+
+
+def test_bounds_of_the_edit_distance(spark):
+    rnd = random.Random(15)
+    pairs = []
+    for i in range(120):
+        x = " ".join("".join(rnd.choice("abcdeé") for _ in range(rnd.randint(1, 9))) for _ in range(rnd.randint(7, 60)))
+        y = list(x)
+        for _ in range(rnd.randint(0, len(x) // 7)):
+            at = rnd.randrange(len(y))
+            y[at] = rnd.choice(("", "a", " ", y[at] + "b", y[at] + " c"))
+        pairs.append((x, " ".join("".join(y).split())))
+    a, b = F.col("a"), F.col("b")
+    got = spark.createDataFrame(pairs, "a string, b string").select(
+        F.levenshtein(a, b).alias("d"), F.greatest(F.length(a), F.length(b)).alias("n"), line_dedup.edit_similar(a, b, 0.9).alias("near"),
+        line_dedup._pair(a, b, 0.9, line_dedup._walked).alias("most"), line_dedup._pair(a, b, 0.9, line_dedup._lost).alias("least")).collect()
+    allowed = [int(r["n"] * 0.1 + 1e-9) for r in got]
+    assert all(r["near"] == (r["d"] <= k) for r, k in zip(got, allowed)) and len({r["near"] for r in got}) == 2
+    assert all(r["most"] >= min(r["d"], k + 1) and (r["d"] > k or r["least"] <= r["d"]) for r, k in zip(got, allowed))
