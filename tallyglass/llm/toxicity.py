@@ -50,6 +50,7 @@ WIDTH = 1 << 18
 EPOCHS = 5
 THRESHOLD = 0.7
 BEGINNINGS = (4, 5, 6)
+CHUNK = 1 << 19       # characters whose words and beginnings a task holds at a time
 
 
 def terms_of(texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -93,7 +94,7 @@ def _one_of_copies(sample: DataFrame) -> DataFrame:
         for batch in batches:
             texts, order = batch.column(1).to_pylist(), batch.column(0).to_pylist()
             least = np.array(order, np.int64).view(np.uint64)      # a text without words stands for itself
-            for a, b in in_chunks(texts):
+            for a, b in in_chunks(texts, CHUNK):
                 of, h, _ = text_shingles(texts[a:b])               # sorted: the first of a text is its least
                 own, first = np.unique(of, return_index=True)
                 least[a + own] = h[first]
@@ -109,7 +110,7 @@ def mine_terms(sample: DataFrame) -> np.ndarray:
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, label = batch.column(0).to_pylist(), np.array(batch.column(1).to_pylist())
-            for a, b in in_chunks(texts):
+            for a, b in in_chunks(texts, CHUNK):
                 of, h, _ = terms_of(texts[a:b])
                 of, h = _distinct(of, h)
                 names, at = np.unique(h, return_inverse=True)
@@ -228,7 +229,7 @@ def posteriors(docs: DataFrame, sample: DataFrame, terms: np.ndarray) -> tuple[D
 def _voted(batches: Iterator[pa.RecordBatch], terms: np.ndarray) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = batch.column(1).to_pylist()
-        for a, b in in_chunks(texts):
+        for a, b in in_chunks(texts, CHUNK):
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(votes(texts[a:b], terms))],
                                              names=["order", "pattern"])
 
